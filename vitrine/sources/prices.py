@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BOOK_SCHEMA = (
+    "updated STRING, currency STRING, source STRING, "
+    "prices MAP<STRING, MAP<STRING, STRUCT<m: DOUBLE, l: DOUBLE, h: DOUBLE>>>"
+)
+
 
 def read_price_feed(rows: DataFrame, product: str = "product_id", position: str = "feed_pos") -> DataFrame:
     """Usable feed rows, the last one per (product, variant) winning.
@@ -21,3 +26,51 @@ def read_price_feed(rows: DataFrame, product: str = "product_id", position: str
         .agg(F.max_by(F.struct(*values), F.col(position)).alias("last"))
         .select(product, "variant", "last.*")
     )
+
+
+def nest_book(book: DataFrame) -> DataFrame:
+    """One row per card: a map from variant to ``{m, l, h}``."""
+    price = F.struct(F.col("market").alias("m"), F.col("low").alias("l"), F.col("high").alias("h"))
+    return book.groupBy("card_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("variant", price.alias("price"))))).alias("variants")
+    )
+
+
+def write_price_book(
+    book: DataFrame, path: str, as_of: str, currency: str = "USD", source: str = "price feed",
+) -> None:
+    """Write a book as JSON lines, one card per line, below ``as_of=``.
+
+    A document holding the whole map would have to be built by one task. Lines
+    carry the same nesting per card plus the header fields, and any number of
+    tasks write them. The manifest is written after the book has committed.
+    """
+    from vitrine.operators.book import manifest
+
+    out = f"{path}/book/as_of={as_of}"
+    (
+        nest_book(book)
+        .select(
+            F.lit(as_of).alias("updated"), F.lit(currency).alias("currency"), F.lit(source).alias("source"),
+            F.create_map(F.col("card_id").cast("string"), F.col("variants")).alias("prices"),
+        )
+        .write.mode("overwrite").json(out)
+    )
+    written = read_price_book(book.sparkSession, out)
+    manifest(written).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_price_book(spark: SparkSession, path: str) -> DataFrame:
+    """Long rows of a nested book document, whole or in lines."""
+    doc = spark.read.schema(BOOK_SCHEMA).json(path)
+    per_card = doc.select("updated", F.explode("prices").alias("card_id", "variants"))
+    return per_card.select("card_id", F.explode("variants").alias("variant", "p"), "updated").select(
+        "card_id", "variant", F.col("p.m").alias("market"), F.col("p.l").alias("low"), F.col("p.h").alias("high"),
+        F.col("updated").alias("as_of"),
+    )
+
+
+def write_manifest(book: DataFrame, path: str, as_of: str = "as_of") -> None:
+    from vitrine.operators.book import manifest
+
+    manifest(book, as_of).coalesce(1).write.mode("overwrite").json(path)
