@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "pricing", "ledger"]
+MODULES = ["scalars", "pricing", "ledger", "timeline"]
 
 
 def _load():
