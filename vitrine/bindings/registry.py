@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "pricing", "ledger", "timeline"]
+MODULES = ["scalars", "pricing", "ledger", "timeline", "matching"]
 
 
 def _load():
