@@ -56,9 +56,9 @@ def map_blocks(
     n_r = max(1, math.ceil(n_refs / block_rows))
     n_q = max(1, math.ceil(queries.count() / block_rows))
     q = queries.withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(n_q))).withColumn(
-        "_rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1))).cast("bigint"))
+        "_rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1)).cast("array<bigint>")))
     r = refs.withColumn("_rb", F.pmod(F.xxhash64(ref_id), F.lit(n_r))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("bigint"))
+        "_qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.drop_columns(["_qb", "_rb"])
