@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["scalars", "pricing", "ledger", "timeline", "matching", "fingerprint", "frames"]
+MODULES = ["scalars", "pricing", "ledger", "timeline", "matching", "fingerprint", "frames", "evaluation"]
 
 
 def _load():

@@ -36,30 +36,32 @@ def _join_on(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
 
 def running(
     df: DataFrame, keys: list[str], order: list, bucket: Column,
-    sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None,
+    sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, tops: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums and running last-non-null values.
+    """Add inclusive running sums, running last-non-null values and running maxima.
 
     ``order`` must be a total order inside a key, and ``bucket`` must not
     decrease along it. Three steps: a summary per (key, chunk) by hash
     aggregation, a scan of that small summary, and a window per (key, chunk).
     """
-    sums, lasts = sums or {}, lasts or {}
+    sums, lasts, tops = sums or {}, lasts or {}, tops or {}
     df = with_chunk(df, bucket)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    for name, value in {**sums, **lasts}.items():
+    for name, value in {**sums, **lasts, **tops}.items():
         df = df.withColumn("_v_" + name, value)
     position = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     aggs = [F.coalesce(F.sum("_v_" + n), F.lit(0)).alias("_b_" + n) for n in sums]
     aggs += [
         F.max_by("_v_" + n, F.when(F.col("_v_" + n).isNotNull(), position)).alias("_b_" + n) for n in lasts
     ]
+    aggs += [F.max("_v_" + n).alias("_b_" + n) for n in tops]
     summary = df.groupBy(*keys, CHUNK).agg(*aggs)
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     carried = summary.select(
         *keys, CHUNK,
         *[F.coalesce(F.sum("_b_" + n).over(before), F.lit(0)).alias("_c_" + n) for n in sums],
         *[F.last("_b_" + n, ignorenulls=True).over(before).alias("_c_" + n) for n in lasts],
+        *[F.max("_b_" + n).over(before).alias("_c_" + n) for n in tops],
     )
     inside = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     out = df
@@ -67,12 +69,16 @@ def running(
         out = out.withColumn("_w_" + n, F.coalesce(F.sum("_v_" + n).over(inside), F.lit(0)))
     for n in lasts:
         out = out.withColumn("_w_" + n, F.last("_v_" + n, ignorenulls=True).over(inside))
+    for n in tops:
+        out = out.withColumn("_w_" + n, F.max("_v_" + n).over(inside))
     out = _join_on(out, carried, [*keys, CHUNK])
+    for n in tops:
+        out = out.withColumn(n, F.greatest("_w_" + n, "_c_" + n))
     for n in sums:
         out = out.withColumn(n, F.col("_w_" + n) + F.col("_c_" + n))
     for n in lasts:
         out = out.withColumn(n, F.coalesce(F.col("_w_" + n), F.col("_c_" + n)))
-    temp = [p + n for n in [*sums, *lasts] for p in ("_v_", "_w_", "_c_")]
+    temp = [p + n for n in [*sums, *lasts, *tops] for p in ("_v_", "_w_", "_c_")]
     return out.drop(*temp)
 
 
