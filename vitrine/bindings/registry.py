@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
-MODULES = ["scalars", "pricing", "ledger", "timeline", "matching", "fingerprint", "frames", "evaluation"]
+from vitrine.session import ship_package
+
+MODULES = ["scalars", "pricing", "ledger", "timeline", "matching", "fingerprint", "frames", "evaluation", "files", "streams", "composites"]
 
 
 def _load():
@@ -12,13 +15,22 @@ def _load():
         yield importlib.import_module(f"vitrine.bindings.{name}")
 
 
+def _shipped(fn):
+    @functools.wraps(fn)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict:
     out: dict = {}
     for module in _load():
         for name, fn in module.QUERIES.items():
             if name in out:
                 raise ValueError(f"query registered twice: {name}")
-            out[name] = fn
+            out[name] = _shipped(fn)
     return out
 
 

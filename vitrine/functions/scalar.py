@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values -------------------------------------------------------------
 SERIES_PREFIX = r"^(sv|swsh|sm|xy|bw|hgss|dp|ex|me)\d*\s*:\s*"
@@ -68,7 +69,7 @@ def id_abbrevs(c: Column) -> Column:
     return F.when(c.rlike(pattern), forms).otherwise(F.array().cast("array<string>"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; one matcher is kept per distinct right side."""
     out = []

@@ -193,16 +193,22 @@ def noise_ablation(
     """
     targets = refs.withColumnRenamed("row_id", "ref_id")
     keep_rest = [~m & (2**64 - 1) for m in B.span_masks(first, length, n_words)]
+    # All rates are searched together; a query's id tells its row and its rate.
+    noisy = None
+    for i, rate in enumerate(rates):
+        one = H.corrupt_bits(refs, first, length, rate, seed, n_words).select(
+            (F.col("row_id") * len(rates) + i).alias("query_id"), "desc")
+        noisy = one if noisy is None else noisy.unionByName(one)
+    index = F.pmod("query_id", F.lit(len(rates)))
+    rate_of = F.element_at(F.array(*[F.lit(float(r)) for r in rates]), (index + 1).cast("int"))
     out = None
-    for rate in rates:
-        noisy = H.corrupt_bits(refs, first, length, rate, seed, n_words).withColumnRenamed("row_id", "query_id").drop("name")
-        for variant, mask in (("with", None), ("without", keep_rest)):
-            m = exact_name_margin(noisy, targets, n_words, mask)
-            row = m.agg(
-                F.count("*").alias("n"), F.avg("best").alias("mean_best"), F.avg(F.least("margin", F.lit(bits))).alias("mean_margin"),
-                _count(F.col("winner") == F.col("query_id")).alias("correct"),
-            ).select(F.lit(float(rate)).alias("rate"), F.lit(variant).alias("variant"), "*")
-            out = row if out is None else out.unionByName(row)
+    for variant, mask in (("with", None), ("without", keep_rest)):
+        m = exact_name_margin(noisy, targets, n_words, mask)
+        rows = m.groupBy(rate_of.alias("rate")).agg(
+            F.count("*").alias("n"), F.avg("best").alias("mean_best"), F.avg(F.least("margin", F.lit(bits))).alias("mean_margin"),
+            _count(F.col("winner") == F.floor(F.col("query_id") / len(rates))).alias("correct"),
+        ).withColumn("variant", F.lit(variant))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

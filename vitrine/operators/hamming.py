@@ -365,13 +365,16 @@ def corrupt_bits(refs: DataFrame, first: int, length: int, rate: float, seed: in
     """Flip bits of a span at a given rate, the same ones for the same seed."""
     words = []
     for w in range(n_words):
-        flips = F.lit(0).cast("bigint")
-        for bit in range(64):
-            at = w * 64 + bit
-            if first <= at < first + length:
-                value = 1 << (63 - bit)
-                signed = value - (1 << 64) if value >= 1 << 63 else value
-                draw = F.pmod(F.xxhash64(F.col(key), F.lit(at), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-                flips = flips.bitwiseOR(F.when(draw < rate, F.lit(signed).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+        low, high = max(first, w * 64), min(first + length, (w + 1) * 64)
+        if low >= high:
+            words.append(F.col("desc")[w])
+            continue
+
+        def flip(acc, at):
+            draw = F.pmod(F.xxhash64(F.col(key), at, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(63) - F.pmod(at, F.lit(64)))
+            return acc.bitwiseOR(F.when(draw < rate, bit).otherwise(F.lit(0).cast("bigint")))
+
+        flips = F.aggregate(F.sequence(F.lit(low), F.lit(high - 1)), F.lit(0).cast("bigint"), flip)
         words.append(F.col("desc")[w].bitwiseXOR(flips))
     return refs.withColumn("desc", F.array(*words))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BASE_NAME = r"([^/=]+)\.json(?:$|/)"
+
 SET_SCHEMA = (
     "id STRING, name STRING, series STRING, printedTotal INT, releaseDate STRING, ptcgoCode STRING, "
     "images STRUCT<symbol: STRING, logo: STRING>"
@@ -28,10 +30,14 @@ def read_sets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_catalogue(spark: SparkSession, sets_path: str, cards_glob: str) -> tuple[DataFrame, DataFrame]:
-    """Sets, and the cards of every set file whose base name is a known set."""
+    """Sets, and the cards of every set file whose base name is a known set.
+
+    A set may also be a folder of that name (``sm1.json/`` or
+    ``file=sm1.json/``) with the parts of it.
+    """
     sets = read_sets(spark, sets_path)
     cards = spark.read.schema(CARD_SCHEMA).option("multiLine", True).json(cards_glob)
-    file_set = F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1)
+    file_set = F.regexp_extract(F.input_file_name(), _BASE_NAME, 1)
     cards = cards.select(
         F.col("id").alias("card_id"), "name", "number", "rarity", "supertype",
         F.coalesce("subtypes", F.array().cast("array<string>")).alias("subtypes"), "artist",
@@ -49,7 +55,7 @@ def read_product_feed(spark: SparkSession, groups: DataFrame, products_glob: str
     raw = (
         spark.read.schema(FEED_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_bad").json(products_glob)
-        .withColumn("group_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).cast("bigint"))
+        .withColumn("group_id", F.regexp_extract(F.input_file_name(), _BASE_NAME, 1).cast("bigint"))
     )
     fine = F.col("_bad").isNull() & F.col("results").isNotNull()
     read = raw.filter(fine).select("group_id", F.explode("results").alias("p"))

@@ -21,3 +21,25 @@ def read_images(spark: SparkSession, path: str, wanted: DataFrame | None = None)
         absent = wanted.select("image_id").join(raw.select("image_id"), "image_id", "left_anti")
         bad = bad.unionByName(absent.withColumn("reason", F.lit("missing")))
     return good, bad
+
+
+def write_files(files: DataFrame, path: str) -> DataFrame:
+    """Write ``name, content`` rows as files below a folder every task can reach.
+
+    Files are put in place by a rename, so a task that runs twice leaves one
+    whole file. The result lists what was written; it is what triggers the job.
+    """
+    def over(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        where.create_dir(root, recursive=True)
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"]):
+                with where.open_output_stream(f"{root}/_{name}.part") as out:
+                    out.write(content)
+                where.move(f"{root}/_{name}.part", f"{root}/{name}")
+            yield pd.DataFrame({"name": pdf["name"], "bytes": [len(x) for x in pdf["content"]]})
+
+    return files.select("name", "content").mapInPandas(over, "name string, bytes bigint")
