@@ -46,8 +46,10 @@ def _printing(c):
     )
 
 
-def price_feed(spark, sf_dir) -> DataFrame:
+def price_feed(spark, sf_dir, where=None, keep=()) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
+    if where is not None:
+        li = li.filter(where)
     unit = F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity")) / 100.0
     return li.select(
         F.col("l_partkey").alias("product_id"),
@@ -55,9 +57,9 @@ def price_feed(spark, sf_dir) -> DataFrame:
         F.when(F.col("l_discount") < 0.09, unit).alias("market"),
         F.when(F.col("l_tax") < 0.07, F.floor(unit * 80) / 100.0).alias("low"),
         (F.floor(unit * 150) / 100.0).alias("high"),
-        F.struct(
-            "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate",
-        ).alias("feed_pos"),
+        # order, line and supplier in one number: a total order per part
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + F.col("l_suppkey")).alias("feed_pos"),
+        *keep,
     )
 
 
@@ -67,7 +69,7 @@ PRICE_FEED = """feed AS (
          CASE WHEN l_discount < 0.09 THEN floor(l_extendedprice * 100 / l_quantity) / 100.0::DOUBLE END AS market,
          CASE WHEN l_tax < 0.07 THEN floor((floor(l_extendedprice * 100 / l_quantity) / 100.0::DOUBLE) * 80) / 100.0::DOUBLE END AS low,
          floor((floor(l_extendedprice * 100 / l_quantity) / 100.0::DOUBLE) * 150) / 100.0::DOUBLE AS high,
-         row(l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_shipdate) AS feed_pos
+         (l_orderkey * 8 + l_linenumber) * 1048576 + l_suppkey AS feed_pos, l_shipdate
   FROM lineitem)"""
 
 PRICES = PRICE_FEED + """,
@@ -121,20 +123,22 @@ def pile_lines(spark, sf_dir) -> DataFrame:
 
 
 def fold_lines(lines: DataFrame, *by: str) -> DataFrame:
-    """Lines to piles: quantities add, the rest follows the newest line."""
-    newest = F.max_by(
-        F.struct("card_id", "variant", "condition", "grader", "score"), F.col("updated_at"),
-    )
+    """Lines to piles: quantities add, the dates and prices are extremes.
+
+    A key stands for its parts, so the parts are the grouping columns: all
+    aggregates are of fixed width and stay in a hash aggregate.
+    """
+    parts = ["card_id", "variant", "condition", "grader", "score"]
     return (
-        lines.groupBy(*by, "key").agg(
-            newest.alias("a"),
+        lines.groupBy(*by, *parts).agg(
             F.sum("quantity").alias("quantity"),
             F.min("unit_price").alias("unit_price"),
             F.min("updated_at").alias("added_at"),
             F.max("updated_at").alias("updated_at"),
             F.max("needs_printing").alias("needs_printing"),
         )
-        .select(*by, "key", "a.*", "quantity", "unit_price", "added_at", "updated_at", "needs_printing")
+        .withColumn("key", S.pile_key(*[F.col(x) for x in parts]))
+        .select(*by, "key", *parts, "quantity", "unit_price", "added_at", "updated_at", "needs_printing")
     )
 
 

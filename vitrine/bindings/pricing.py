@@ -138,7 +138,7 @@ def _(spark, d):
 
 # an earlier book: what was known before 2000
 def _old_book(spark, d):
-    old = T.price_feed(spark, d).filter(c("feed_pos.l_shipdate") < F.lit("1999-01-01").cast("timestamp"))
+    old = T.price_feed(spark, d, c("l_shipdate") < F.lit("1999-01-01").cast("timestamp"))
     return SP.read_price_feed(old).withColumnRenamed("product_id", "card_id").withColumn("as_of", F.lit("2024-01-31"))
 
 
@@ -147,7 +147,7 @@ def _new_book(spark, d):
 
 
 OLD_BOOK = """old_book AS (SELECT DISTINCT product_id AS card_id, variant FROM feed
-  WHERE (market IS NOT NULL OR low IS NOT NULL) AND feed_pos[6] < TIMESTAMP '1999-01-01')"""
+  WHERE (market IS NOT NULL OR low IS NOT NULL) AND l_shipdate < TIMESTAMP '1999-01-01')"""
 
 
 def _gate_sql(keep, least):

@@ -227,7 +227,7 @@ def _(spark, d):
 WITH y AS (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem WHERE l_discount < 0.09 OR l_tax < 0.07)
 SELECT y || '-12-31' AS as_of, 'updated' AS status FROM y""")
 def _(spark, d):
-    feed = T.price_feed(spark, d).withColumn("y", F.year("feed_pos.l_shipdate"))
+    feed = T.price_feed(spark, d, keep=["l_shipdate"]).withColumn("y", F.year("l_shipdate"))
     books = feed.filter(c("market").isNotNull() | c("low").isNotNull()).groupBy("y", c("product_id").alias("card_id"), "variant").agg(
         F.max("market").alias("market"), F.max("low").alias("low"), F.max("high").alias("high")).select(
         "card_id", "variant", "market", "low", "high", F.concat(c("y").cast("string"), F.lit("-12-31")).alias("as_of"),

@@ -15,16 +15,16 @@ def read_price_feed(rows: DataFrame, product: str = "product_id", position: str
     """Usable feed rows, the last one per (product, variant) winning.
 
     A row is usable when it carries a market or a low price. ``position`` must
-    be a total order of the feed: files have none of their own. The choice is
-    one hash aggregate with map-side combining, so a product that fills a third
-    of the feed is reduced before it is shuffled.
+    be a total order of a product's rows: files have none of their own. With a
+    numeric position every value is picked on its own, which keeps the aggregate
+    buffers of fixed width and the plan a hash aggregate, combined on the map
+    side: a product that fills a third of the feed is reduced before the shuffle.
     """
     values = [x for x in rows.columns if x not in (product, "variant", position)]
     return (
         rows.filter(F.col("market").isNotNull() | F.col("low").isNotNull())
         .groupBy(product, "variant")
-        .agg(F.max_by(F.struct(*values), F.col(position)).alias("last"))
-        .select(product, "variant", "last.*")
+        .agg(*[F.max_by(v, position).alias(v) for v in values])
     )
 
 
