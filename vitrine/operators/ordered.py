@@ -18,20 +18,17 @@ from pyspark.sql import functions as F
 CHUNK = "_chunk"
 
 
-def with_chunk(df: DataFrame, bucket: Column) -> DataFrame:
-    return df.withColumn(CHUNK, bucket)
+def _orders(order: list) -> list[Column]:
+    return [F.col(o) if isinstance(o, str) else o for o in order]
 
 
-def _join_on(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join on keys that may be NULL."""
-    renamed = other
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, "_r_" + k)
-    cond = None
-    for k in keys:
-        one = F.col(k).eqNullSafe(F.col("_r_" + k))
-        cond = one if cond is None else cond & one
-    return df.join(renamed, cond, "left").drop(*["_r_" + k for k in keys])
+def _with_headers(df: DataFrame, summary: DataFrame) -> DataFrame:
+    """Rows plus one header row per chunk that carries the state before it.
+
+    The header takes part in the chunk's window and is dropped after it, so the
+    carried state needs no join: the rows are shuffled once.
+    """
+    return df.withColumn("_header", F.lit(1)).unionByName(summary.withColumn("_header", F.lit(0)), allowMissingColumns=True)
 
 
 def running(
@@ -41,45 +38,39 @@ def running(
     """Add inclusive running sums, running last-non-null values and running maxima.
 
     ``order`` must be a total order inside a key, and ``bucket`` must not
-    decrease along it. Three steps: a summary per (key, chunk) by hash
-    aggregation, a scan of that small summary, and a window per (key, chunk).
+    decrease along it. Three steps: a summary per (key, chunk) by aggregation
+    that combines before the shuffle, a scan of that small summary, and a window
+    per (key, chunk).
     """
     sums, lasts, tops = sums or {}, lasts or {}, tops or {}
-    df = with_chunk(df, bucket)
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    names = [*sums, *lasts, *tops]
+    kept = df.columns
+    df = df.withColumn(CHUNK, bucket)
+    order = _orders(order)
     for name, value in {**sums, **lasts, **tops}.items():
         df = df.withColumn("_v_" + name, value)
-    position = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    aggs = [F.coalesce(F.sum("_v_" + n), F.lit(0)).alias("_b_" + n) for n in sums]
-    aggs += [
-        F.max_by("_v_" + n, F.when(F.col("_v_" + n).isNotNull(), position)).alias("_b_" + n) for n in lasts
-    ]
+    # One ordering column is compared as it is; several as a struct.
+    position = order[0] if len(order) == 1 else F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    aggs = [F.sum("_v_" + n).alias("_b_" + n) for n in sums]
+    aggs += [F.max_by("_v_" + n, F.when(F.col("_v_" + n).isNotNull(), position)).alias("_b_" + n) for n in lasts]
     aggs += [F.max("_v_" + n).alias("_b_" + n) for n in tops]
     summary = df.groupBy(*keys, CHUNK).agg(*aggs)
     before = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     carried = summary.select(
         *keys, CHUNK,
-        *[F.coalesce(F.sum("_b_" + n).over(before), F.lit(0)).alias("_c_" + n) for n in sums],
-        *[F.last("_b_" + n, ignorenulls=True).over(before).alias("_c_" + n) for n in lasts],
-        *[F.max("_b_" + n).over(before).alias("_c_" + n) for n in tops],
+        *[F.sum("_b_" + n).over(before).alias("_v_" + n) for n in sums],
+        *[F.last("_b_" + n, ignorenulls=True).over(before).alias("_v_" + n) for n in lasts],
+        *[F.max("_b_" + n).over(before).alias("_v_" + n) for n in tops],
     )
-    inside = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = df
-    for n in sums:
-        out = out.withColumn("_w_" + n, F.coalesce(F.sum("_v_" + n).over(inside), F.lit(0)))
-    for n in lasts:
-        out = out.withColumn("_w_" + n, F.last("_v_" + n, ignorenulls=True).over(inside))
-    for n in tops:
-        out = out.withColumn("_w_" + n, F.max("_v_" + n).over(inside))
-    out = _join_on(out, carried, [*keys, CHUNK])
-    for n in tops:
-        out = out.withColumn(n, F.greatest("_w_" + n, "_c_" + n))
-    for n in sums:
-        out = out.withColumn(n, F.col("_w_" + n) + F.col("_c_" + n))
-    for n in lasts:
-        out = out.withColumn(n, F.coalesce(F.col("_w_" + n), F.col("_c_" + n)))
-    temp = [p + n for n in [*sums, *lasts, *tops] for p in ("_v_", "_w_", "_c_")]
-    return out.drop(*temp)
+    inside = W.partitionBy(*keys, CHUNK).orderBy("_header", *order).rowsBetween(W.unboundedPreceding, 0)
+    out = _with_headers(df, carried)
+    out = out.select(
+        *kept, "_header",
+        *[F.coalesce(F.sum("_v_" + n).over(inside), F.lit(0)).alias(n) for n in sums],
+        *[F.last("_v_" + n, ignorenulls=True).over(inside).alias(n) for n in lasts],
+        *[F.max("_v_" + n).over(inside).alias(n) for n in tops],
+    )
+    return out.filter(F.col("_header") == 1).select(*kept, *names)
 
 
 def previous(df: DataFrame, keys: list[str], order: list, bucket: Column, columns: dict[str, Column]) -> DataFrame:
@@ -88,27 +79,23 @@ def previous(df: DataFrame, keys: list[str], order: list, bucket: Column, column
     Values are wrapped in a struct so that a NULL on the previous row is told
     apart from there being none; ``has_previous`` says which it was.
     """
-    df = with_chunk(df, bucket)
-    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    kept = df.columns
+    df = df.withColumn(CHUNK, bucket)
+    order = _orders(order)
     df = df.withColumn("_v", F.struct(*[v.alias(n) for n, v in columns.items()]))
-    position = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    position = order[0] if len(order) == 1 else F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
     summary = df.groupBy(*keys, CHUNK).agg(F.max_by("_v", position).alias("_b"))
-    carried = summary.select(*keys, CHUNK, F.lag("_b").over(W.partitionBy(*keys).orderBy(CHUNK)).alias("_c"))
-    inside = W.partitionBy(*keys, CHUNK).orderBy(*order)
-    out = _join_on(df.withColumn("_w", F.lag("_v").over(inside)), carried, [*keys, CHUNK])
-    prev = F.coalesce(F.col("_w"), F.col("_c"))
-    return (
-        out.withColumn("_p", prev)
-        .withColumn("has_previous", F.col("_p").isNotNull())
-        .select("*", *[F.col("_p." + n).alias(n) for n in columns])
-        .drop("_v", "_w", "_c", "_p", CHUNK)
-    )
+    carried = summary.select(*keys, CHUNK, F.lag("_b").over(W.partitionBy(*keys).orderBy(CHUNK)).alias("_v"))
+    inside = W.partitionBy(*keys, CHUNK).orderBy("_header", *order)
+    out = _with_headers(df, carried).withColumn("_p", F.lag("_v").over(inside)).filter(F.col("_header") == 1)
+    return out.select(
+        *kept, F.col("_p").isNotNull().alias("has_previous"), *[F.col("_p." + n).alias(n) for n in columns])
 
 
 def row_index(df: DataFrame, keys: list[str], order: list, bucket: Column, name: str = "row_no") -> DataFrame:
     """Dense 0-based position in the order, per key."""
     out = running(df, keys, order, bucket, sums={"_n": F.lit(1).cast("bigint")})
-    return out.withColumn(name, F.col("_n") - 1).drop("_n", CHUNK)
+    return out.withColumn(name, F.col("_n") - 1).drop("_n")
 
 
 def trailing(

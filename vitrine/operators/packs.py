@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.ordered import CHUNK, previous, running
+from vitrine.operators.ordered import previous, running
 
 
 def pack_offsets(blobs: DataFrame, order_by: str, len_col: str, bucket: Column | None = None) -> DataFrame:
@@ -17,7 +17,7 @@ def pack_offsets(blobs: DataFrame, order_by: str, len_col: str, bucket: Column |
     bucket = F.floor(F.col(order_by) / 1_000_000) if bucket is None else bucket
     rows = blobs.withColumn("len", F.coalesce(F.col(len_col), F.lit(0)).cast("bigint"))
     out = running(rows, [], [order_by], bucket, sums={"_end": F.col("len")})
-    return out.withColumn("off", F.col("_end") - F.col("len")).drop("_end", CHUNK)
+    return out.withColumn("off", F.col("_end") - F.col("len")).drop("_end")
 
 
 def read_ranges(pack: DataFrame, offsets: DataFrame, row: str = "row_id", content: str = "content") -> DataFrame:

@@ -145,20 +145,21 @@ def add_scans(piles: DataFrame, scans: DataFrame) -> DataFrame:
     if "quantity" not in scans.columns:
         scans = scans.withColumn("quantity", F.lit(1).cast("bigint"))
     if "seq" not in scans.columns:
-        scans = scans.withColumn("seq", F.lit(0).cast("bigint"))
-    scans = scans.withColumn(
-        "key", S.pile_key(F.col("card_id"), F.col("variant"), F.col("condition")),
-    )
-    attrs = [a for a in attrs_of(piles) if a not in ("unit_price", "needs_printing", "grader", "score")]
-    attrs = [a for a in attrs if a in scans.columns]
-    at = F.struct("scanned_at", "seq", F.coalesce("unit_price", F.lit(-1.0)))
-    fresh = scans.groupBy("collection_id", "key").agg(
+        # scans of one moment: the dearest price counts as the last
+        scans = scans.withColumn("seq", F.floor(F.coalesce("unit_price", F.lit(0.0)) * 100))
+    attrs = [a for a in attrs_of(piles) if a not in ("unit_price", "needs_printing", "grader", "score") and a in scans.columns]
+    # Time and sequence in one number keep the buffers of fixed width, and the
+    # card's own columns are grouping columns: the raw scans are hash-aggregated.
+    at = F.unix_micros("scanned_at").cast("decimal(17,0)") * F.lit("1" + "0" * 20).cast("decimal(21,0)") + F.col("seq").cast("decimal(19,0)")
+    folded = scans.groupBy("collection_id", *attrs).agg(
         F.sum("quantity").alias("_q"),
         F.max_by("unit_price", F.when(F.col("unit_price").isNotNull(), at)).alias("_price"),
-        F.max("scanned_at").alias("_at"),
-        F.min("scanned_at").alias("_first"),
-        F.max("needs_printing").alias("_needs"),
-        *[F.min(a).alias("_n_" + a) for a in attrs],
+        F.max(F.when(F.col("unit_price").isNotNull(), at)).alias("_price_at"),
+        F.max("scanned_at").alias("_at"), F.min("scanned_at").alias("_first"), F.max("needs_printing").alias("_needs"),
+    )
+    fresh = folded.withColumn("key", S.pile_key(F.col("card_id"), F.col("variant"), F.col("condition"))).groupBy("collection_id", "key").agg(
+        F.sum("_q").alias("_q"), F.max_by("_price", "_price_at").alias("_price"), F.max("_at").alias("_at"),
+        F.min("_first").alias("_first"), F.max("_needs").alias("_needs"), *[F.min(a).alias("_n_" + a) for a in attrs],
     )
     joined = piles.join(fresh, ["collection_id", "key"], "full_outer")
     out = (
@@ -196,26 +197,23 @@ def rekey(piles: DataFrame, moved: DataFrame) -> DataFrame:
 
     ``moved`` holds the rows of ``piles`` that change, with ``key`` still the
     old one, ``new_key`` the new one, all attributes already updated and
-    ``changed_at``. Stayers and movers are united and grouped by the key they
-    end up under: one shuffle, quantities add, attributes follow the mover.
+    ``changed_at``. Only the movers are aggregated; the ledger meets them in two
+    joins on the same key. Quantities add, attributes follow the mover; of
+    several, one that came from another key, then the latest.
     """
-    moved = moved.filter(F.col("new_key") != F.col("key"))
-    gone = moved.select("collection_id", "key", F.lit(True).alias("_gone"))
-    stay = piles.join(gone, ["collection_id", "key"], "left").filter(F.col("_gone").isNull()).drop("_gone")
-    attrs = attrs_of(piles)
-    united = stay.withColumn("_moved", F.lit(0)).withColumn("_from", F.col("key")).unionByName(
-        moved.withColumn("_from", F.col("key")).withColumn("key", F.col("new_key"))
-        .withColumn("updated_at", F.col("changed_at")).withColumn("_moved", F.lit(1))
-        .select(*piles.columns, "_moved", "_from")
-    )
-    order = F.struct("_moved", "updated_at", "_from")
+    attrs = [*attrs_of(piles), "added_at"]
+    stay = piles.join(moved.select("collection_id", "key"), ["collection_id", "key"], "left_anti")
+    order = F.struct((F.col("new_key") != F.col("key")).alias("m"), "changed_at", "key")
+    landed = moved.groupBy("collection_id", "new_key").agg(
+        F.max_by(F.struct(*attrs), order).alias("_a"), F.sum("quantity").alias("_q"), F.max_by("changed_at", order).alias("_at"),
+    ).withColumnRenamed("new_key", "key")
+    out = stay.join(landed, ["collection_id", "key"], "full_outer")
+    arrived = F.col("_a").isNotNull()
+    for a in attrs:
+        out = out.withColumn(a, F.when(arrived, F.col("_a." + a)).otherwise(F.col(a)))
     return (
-        united.groupBy("collection_id", "key").agg(
-            F.max_by(F.struct(*attrs, "added_at"), order).alias("a"),
-            F.sum("quantity").alias("quantity"), F.max_by("updated_at", order).alias("updated_at"),
-        )
-        .select("collection_id", "key", "a.*", "quantity", "updated_at")
-        .select(*piles.columns)
+        out.withColumn("quantity", F.coalesce("quantity", F.lit(0)) + F.coalesce("_q", F.lit(0)))
+        .withColumn("updated_at", F.coalesce("_at", "updated_at")).select(*piles.columns)
     )
 
 
@@ -236,7 +234,7 @@ def regrade(piles: DataFrame, changes: DataFrame) -> DataFrame:
         .withColumn("new_key", S.pile_key(F.col("card_id"), F.col("variant"), F.col("condition"), F.col("grader"), F.col("score")))
         .drop("_ch")
     )
-    return rekey(piles, moved)
+    return rekey(piles, moved.filter(F.col("new_key") != F.col("key")))
 
 
 def reclassify(piles: DataFrame, changes: DataFrame) -> DataFrame:
@@ -256,10 +254,7 @@ def reclassify(piles: DataFrame, changes: DataFrame) -> DataFrame:
         .withColumn("new_key", S.pile_key(F.col("card_id"), F.col("variant"), F.col("condition"), F.col("grader"), F.col("score")))
         .drop("_ch")
     )
-    in_place = changed.filter(F.col("new_key") == F.col("key")).withColumn("updated_at", F.col("changed_at"))
-    touched = in_place.select(*piles.columns)
-    rest = piles.join(touched.select("collection_id", "key"), ["collection_id", "key"], "left_anti")
-    return rekey(rest.unionByName(touched), changed)
+    return rekey(piles, changed)
 
 
 def repoint(piles: DataFrame, changes: DataFrame) -> DataFrame:
@@ -274,9 +269,7 @@ def repoint(piles: DataFrame, changes: DataFrame) -> DataFrame:
         .withColumn("new_key", S.pile_key(F.col("card_id"), F.col("variant"), F.col("condition"), F.col("grader"), F.col("score")))
         .drop("_ch")
     )
-    same = moved.filter(F.col("new_key") == F.col("key")).withColumn("updated_at", F.col("changed_at")).select(*piles.columns)
-    rest = piles.join(same.select("collection_id", "key"), ["collection_id", "key"], "left_anti")
-    return rekey(rest.unionByName(same), moved)
+    return rekey(piles, moved)
 
 
 def apply_deltas(piles: DataFrame, deltas: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import bits as B
 from vitrine.functions import scalar as S
-from vitrine.operators.ordered import CHUNK, previous, running, trailing
+from vitrine.operators.ordered import previous, running, trailing
 
 # Thresholds of the recogniser.
 MAX_DISTANCE, MIN_NAME_MARGIN, NAME_MARGIN_K = 240, 24, 16
@@ -151,9 +151,9 @@ def runs(frames: DataFrame, identity: str, bucket: Column, device: str = "device
     )
     # position of the run's first row, carried forward
     out = running(
-        out.drop(CHUNK), [device], [order], bucket, lasts={"_from": F.when(F.col("_start"), F.col("_pos"))},
+        out, [device], [order], bucket, lasts={"_from": F.when(F.col("_start"), F.col("_pos"))},
     )
-    return out.withColumn("run_length", F.col("_pos") - F.col("_from") + 1).drop("_prev", "has_previous", "_start", "_pos", "_from", CHUNK)
+    return out.withColumn("run_length", F.col("_pos") - F.col("_from") + 1).drop("_prev", "has_previous", "_start", "_pos", "_from")
 
 
 def best_of_burst(df: DataFrame, group: list[str], score: Column, order: str) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators.piles import attrs_of
-from vitrine.operators.ordered import _join_on
 
 # mine wins ties: a higher number is preferred
 _MINE, _THEIRS, _BASE = 2, 1, 0
