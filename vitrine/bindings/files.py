@@ -20,7 +20,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 c = F.col
-AT = F.lit("2024-02-01 00:00:00").cast("timestamp")
+AT = lambda: F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
 def _arrays(df, folder, key, struct, path):
@@ -143,7 +143,7 @@ UNION ALL SELECT o_orderkey, 'b' || o_orderkey, 'Untitled', 0, 1706745600000, CA
 UNION ALL SELECT o_orderkey, o_orderkey || '-1', 'My collection', CASE WHEN o_orderstatus = 'O' THEN 2 ELSE 0 END, 1706745600000, o_orderkey || '-1' FROM orders WHERE o_orderstatus <> 'F'
 UNION ALL SELECT o_orderkey, NULL, 'quarantined', NULL, NULL, NULL FROM orders WHERE o_orderstatus = 'P'""")
 def _(spark, d):
-    collections, active, quarantine = SL.load_library(_docs(spark, d), AT)
+    collections, active, quarantine = SL.load_library(_docs(spark, d), AT())
     rows = collections.join(active, "owner").select(
         "owner", "collection_id", "name", F.size("entries").cast("bigint").alias("entries"), "created_at", "active_id")
     return rows.unionByName(quarantine.select("owner", F.lit("quarantined").alias("name")), allowMissingColumns=True)

@@ -14,8 +14,8 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 c = F.col
-BY_FRAME = F.floor(F.col("frame_no") / 2000)
-BY_DAY = F.date_trunc("day", F.col("ts"))
+BY_FRAME = lambda: F.floor(F.col("frame_no") / 2000)
+BY_DAY = lambda: F.date_trunc("day", F.col("ts"))
 
 RUNS = T.FRAMES + """,
 st AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR identity IS DISTINCT FROM lag(identity) OVER w THEN 1 ELSE 0 END AS s FROM frames WINDOW w AS (PARTITION BY device ORDER BY frame_no)),
@@ -24,7 +24,7 @@ runs AS (SELECT device, frame_no, identity, distance, CAST(run_no AS BIGINT) AS
 
 
 def runs(spark, d):
-    return R.runs(T.frames(spark, d), "identity", BY_FRAME)
+    return R.runs(T.frames(spark, d), "identity", BY_FRAME())
 
 
 @query("w8_runs", "WITH " + RUNS + " SELECT device, frame_no, identity, run_no, run_length FROM runs")
@@ -51,13 +51,13 @@ g AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY device ORDER
 r AS (SELECT *, CASE WHEN gap > 0 THEN 1000000.0::DOUBLE / gap END AS rate FROM g)
 SELECT device, frame_no, rate, round(avg(rate) OVER (PARTITION BY device ORDER BY ts, frame_no ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 9) AS rolling_rate FROM r""")
 def _(spark, d):
-    out = R.rolling_rate(T.frames(spark, d), BY_DAY)
+    out = R.rolling_rate(T.frames(spark, d), BY_DAY())
     return out.select("device", "frame_no", "rate", F.round("rolling_rate", 9).alias("rolling_rate"))
 
 
 @query("w12_smooth_rate")
 def _(spark, d):
-    return R.smooth_rate(T.frames(spark, d), BY_DAY).select("device", "frame_no", "smoothed_rate")
+    return R.smooth_rate(T.frames(spark, d), BY_DAY()).select("device", "frame_no", "smoothed_rate")
 
 
 # a label is a good read; errors are blanks, expensive reads are refused ones
@@ -67,7 +67,7 @@ k AS (SELECT *, CASE WHEN label IS NOT NULL OR NOT detected THEN {'v': label} EN
 SELECT device, frame_no, label, last_value(mark IGNORE NULLS) OVER (PARTITION BY device ORDER BY frame_no ROWS BETWEEN 7 PRECEDING AND CURRENT ROW).v AS held FROM k""")
 def _(spark, d):
     f = T.frames(spark, d).withColumn("label", F.when(c("detected") & (c("distance") < 40), c("identity")))
-    return R.hold_last(f, "label", BY_FRAME).select("device", "frame_no", "label", "held")
+    return R.hold_last(f, "label", BY_FRAME()).select("device", "frame_no", "label", "held")
 
 
 @query("w2_recent_feed", "WITH " + T.FRAMES + """
@@ -78,7 +78,7 @@ def _(spark, d):
 
 
 # -- packs: every document is a blob ---------------------------------------------------
-BY_DOC = F.floor(F.col("row_id") / 400)
+BY_DOC = lambda: F.floor(F.col("row_id") / 400)
 _OFFS = """offs AS (SELECT doc_id AS row_id, len, CAST(coalesce(sum(len) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off
   FROM (SELECT doc_id, CASE WHEN lang = 'en' AND n_chars < 200 THEN 0 ELSE n_chars END AS len FROM documents))"""
 
@@ -87,7 +87,7 @@ def offsets(spark, d):
     docs = T.table(spark, d, "documents").select(
         c("doc_id").alias("row_id"), F.when((c("lang") == "en") & (c("n_chars") < 200), F.lit(None)).otherwise(c("n_chars")).alias("bytes"),
         F.encode(F.substring("text", 1, 12), "utf-8").alias("head"))
-    return K.pack_offsets(docs, "row_id", "bytes", BY_DOC)
+    return K.pack_offsets(docs, "row_id", "bytes", BY_DOC())
 
 
 @query("s7_pack_offsets", "WITH " + _OFFS + " SELECT row_id, len, off FROM offs")
@@ -101,7 +101,7 @@ UNION ALL SELECT 'empty', count(*) FILTER (len = 0), true FROM offs UNION ALL SE
 def _(spark, d):
     offs = offsets(spark, d)
     total = offs.agg(F.sum("len").alias("bytes"))
-    return K.verify_pack(offs, total, T.table(spark, d, "documents"), bucket=BY_DOC, head="head")
+    return K.verify_pack(offs, total, T.table(spark, d, "documents"), bucket=BY_DOC(), head="head")
 
 
 @query("s8_read_ranges", "SELECT conv_id AS pack_id, turn, text FROM conversations")

@@ -18,7 +18,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 c = F.col
-AT = F.lit("2024-02-01 00:00:00").cast("timestamp")
+AT = lambda: F.lit("2024-02-01 00:00:00").cast("timestamp")
 AT_SQL = "TIMESTAMP '2024-02-01'"
 TOTALS = f"""{T.money_sum(T.LINE_VALUE)} AS value, CAST(sum(quantity) AS BIGINT) AS cards,
   count(DISTINCT card_id) AS distinct_cards, CAST(sum(CAST(needs_printing AS INT)) AS BIGINT) AS unsure, count(*) AS piles"""
@@ -180,7 +180,7 @@ SELECT collection_id, key, card_id, variant, condition, grader, score, updated_a
 def _(spark, d):
     ch = pending(spark, d).groupBy("collection_id", "key").agg(F.max("grader").alias("g")).select(
         "collection_id", "key", F.when(c("g").isNull(), "CGC").alias("grader"),
-        F.when(c("g").isNull(), F.lit(9.0)).alias("score"), AT.alias("changed_at"))
+        F.when(c("g").isNull(), F.lit(9.0)).alias("score"), AT().alias("changed_at"))
     return L.regrade(settled(spark, d), ch).select(*OUT)
 
 
@@ -194,7 +194,7 @@ def _(spark, d):
     ch = pending(spark, d).groupBy("collection_id", "key").agg(
         F.max("quantity").alias("hi"), F.min("quantity").alias("lo"), F.min("unit_price").alias("np")).select(
         "collection_id", "key", F.when(c("hi") > 25, "Unlimited").alias("new_variant"), F.when(c("lo") < 25, "NM").alias("new_condition"),
-        c("np").alias("new_price"), c("np").isNotNull().alias("set_price"), AT.alias("changed_at"))
+        c("np").alias("new_price"), c("np").isNotNull().alias("set_price"), AT().alias("changed_at"))
     return L.reclassify(settled(spark, d), ch).select(*OUT)
 
 
@@ -207,7 +207,7 @@ def _(spark, d):
     to = T.cards(spark, d).select("card_id", "name", "number", "set_id", "set_name", "rarity", c("retail").alias("unit_price"))
     ch = (
         pending(spark, d).groupBy("collection_id", "key").agg(F.floor(F.max("card_id") / 2).alias("card_id"))
-        .join(to, "card_id").withColumn("variant", F.lit("Normal")).withColumn("changed_at", AT)
+        .join(to, "card_id").withColumn("variant", F.lit("Normal")).withColumn("changed_at", AT())
     )
     return L.repoint(settled(spark, d), ch).select(*OUT)
 
@@ -229,7 +229,7 @@ def _(spark, d):
     moves = (
         pending(spark, d).groupBy(c("collection_id").alias("from_id"), "key").agg((F.sum("quantity") - 20).alias("n"))
         .withColumn("to_id", F.when(src == "BUILDING", "NOWHERE").when(src == "MACHINERY", src).otherwise("BUILDING"))
-        .withColumn("moved_at", AT)
+        .withColumn("moved_at", AT())
     )
     return L.move_between(settled(spark, d), moves).select("collection_id", "key", "quantity", "updated_at")
 

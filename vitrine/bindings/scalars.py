@@ -13,7 +13,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 c = F.col
-NOW = F.lit("2024-02-01 12:00:00").cast("timestamp")
+NOW = lambda: F.lit("2024-02-01 12:00:00").cast("timestamp")
 
 
 @query("e1_norm_name", r"""
@@ -126,7 +126,7 @@ def _(spark, d):
     return e.groupBy(S.day_of(c("ts")).alias("day")).agg(F.count("*").alias("n"))
 
 
-_UPDATED = F.when(F.col("event_type") == "error", F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(
+_UPDATED = lambda: F.when(F.col("event_type") == "error", F.concat(F.lit("x"), F.col("event_id").cast("string"))).otherwise(
     F.date_format(F.date_sub(F.to_date("ts"), F.floor(F.col("value")).cast("int")), "yyyy-MM-dd"))
 _UPDATED_SQL = """SELECT event_id, CASE WHEN event_type = 'error' THEN 'x' || event_id ELSE
   strftime(CAST(ts AS DATE) - CAST(floor(value) AS INT), '%Y-%m-%d') END AS updated FROM events"""
@@ -135,7 +135,7 @@ _UPDATED_SQL = """SELECT event_id, CASE WHEN event_type = 'error' THEN 'x' || ev
 @query("e11_days_old", f"""
 SELECT event_id, CAST(date_diff('day', try_cast(updated AS DATE), DATE '2024-02-01') AS BIGINT) AS days FROM ({_UPDATED_SQL})""")
 def _(spark, d):
-    return T.table(spark, d, "events").select("event_id", S.days_old(_UPDATED, NOW).alias("days"))
+    return T.table(spark, d, "events").select("event_id", S.days_old(_UPDATED(), NOW()).alias("days"))
 
 
 @query("e12_freshness_label", f"""
@@ -144,19 +144,19 @@ SELECT event_id, CASE WHEN days IS NULL THEN 'updated ' || updated WHEN days <=
   ELSE 'updated ' || CAST(floor(days / 30 + 0.5) AS BIGINT) || CASE WHEN floor(days / 30 + 0.5) = 1 THEN ' month ago' ELSE ' months ago' END END AS label
 FROM (SELECT event_id, updated, date_diff('day', try_cast(updated AS DATE), DATE '2024-02-01') AS days FROM ({_UPDATED_SQL}))""")
 def _(spark, d):
-    return T.table(spark, d, "events").select("event_id", S.freshness_label(_UPDATED, NOW).alias("label"))
+    return T.table(spark, d, "events").select("event_id", S.freshness_label(_UPDATED(), NOW()).alias("label"))
 
 
 @query("e13_is_stale", f"""
 SELECT event_id, coalesce(date_diff('day', try_cast(updated AS DATE), DATE '2024-02-01') > 10, true) AS stale FROM ({_UPDATED_SQL})""")
 def _(spark, d):
-    return T.table(spark, d, "events").select("event_id", S.is_stale(_UPDATED, NOW).alias("stale"))
+    return T.table(spark, d, "events").select("event_id", S.is_stale(_UPDATED(), NOW()).alias("stale"))
 
 
 @query("e14_short_day", f"""
 SELECT event_id, coalesce(strftime(try_cast(updated AS DATE), '%-d %b'), updated) AS label FROM ({_UPDATED_SQL})""")
 def _(spark, d):
-    return T.table(spark, d, "events").select("event_id", S.short_day(_UPDATED).alias("label"))
+    return T.table(spark, d, "events").select("event_id", S.short_day(_UPDATED()).alias("label"))
 
 
 _MONEY_SQL = """CASE WHEN v IS NULL THEN '—' WHEN v > 0 AND v < 0.005 THEN '<$0.01' ELSE '$' || format('{:,.2f}', v) END"""
@@ -286,7 +286,7 @@ def _(spark, d):
                      S.to_luma(c("l_orderkey") % 256, c("l_suppkey") % 256, c("l_partkey") % 256).cast("bigint").alias("luma"))
 
 
-_ALLOW_DOC = F.concat(
+_ALLOW_DOC = lambda: F.concat(
     F.lit('{"pro":'), F.when(c("event_type") == "purchase", "true").when(c("event_type") == "view", '"true"').otherwise("false"),
     F.lit(',"freeLeft":'), F.floor("value").cast("string"), F.lit(',"credits":'),
     F.when(c("event_type") == "error", "-5").otherwise(F.concat(F.lit("1"), c("user_id").cast("string"), F.lit(".75"))),
@@ -305,7 +305,7 @@ SELECT event_id, coalesce(event_type = 'purchase', false) AS pro,
 FROM events""")
 def _(spark, d):
     e = T.table(spark, d, "events")
-    return e.select("event_id", S.repair_allowance(_ALLOW_DOC, NOW).alias("a")).select("event_id", "a.*")
+    return e.select("event_id", S.repair_allowance(_ALLOW_DOC(), NOW()).alias("a")).select("event_id", "a.*")
 
 
 @query("e29_repair_snapshot", """

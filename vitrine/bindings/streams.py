@@ -24,7 +24,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 c = F.col
-BY_FRAME = F.floor(F.col("frame_no") / 2000)
+BY_FRAME = lambda: F.floor(F.col("frame_no") / 2000)
 
 
 def scan_log(spark, d):
@@ -45,7 +45,7 @@ def _stream(spark, df, name):
 
 @query("w11_confirm_hits_batch")
 def _(spark, d):
-    return CF.confirm_hits_batch(scan_log(spark, d), BY_FRAME, confirm=2, cooldown=400)
+    return CF.confirm_hits_batch(scan_log(spark, d), BY_FRAME(), confirm=2, cooldown=400)
 
 
 @query("g1_confirm_hits")
@@ -58,7 +58,7 @@ def _(spark, d):
 def _(spark, d):
     log = scan_log(spark, d)
     manual = log.filter(c("best_distance") > 200).select("device", "frame_no", "ts", c("best_id").alias("confirmed_id"))
-    return CF.confirm_hits_batch(CF.mark_emitted(log, manual), BY_FRAME, confirm=2, cooldown=400)
+    return CF.confirm_hits_batch(CF.mark_emitted(log, manual), BY_FRAME(), confirm=2, cooldown=400)
 
 
 @query("g2_reuse_unchanged")
@@ -176,12 +176,12 @@ def ledger_log(spark, d):
     ).dropDuplicates(["event_id"])
 
 
-BY_SEQ = F.floor(F.col("seq") / (2**61))
+BY_SEQ = lambda: F.floor(F.col("seq") / (2**61))
 
 
 @query("l10_replay_log")
 def _(spark, d):
-    return LG.replay_log(ledger_log(spark, d), BY_SEQ)
+    return LG.replay_log(ledger_log(spark, d), BY_SEQ())
 
 
 @query("g8_ledger_stream")
@@ -189,7 +189,7 @@ def _(spark, d):
     log = ledger_log(spark, d)
     state = shared_path(spark, "ledger-state")
     stream = _stream(spark, log, "ledger-log")
-    writer = LG.ledger_stream(stream, state, BY_SEQ)
+    writer = LG.ledger_stream(stream, state, BY_SEQ())
     writer.option("checkpointLocation", shared_path(spark, "ledger-check")).trigger(availableNow=True).start().awaitTermination()
     return LG.read_ledger(spark, state)
 

@@ -19,7 +19,7 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 c = F.col
-NOW = F.lit("2002-01-01 00:00:00").cast("timestamp")
+NOW = lambda: F.lit("2002-01-01 00:00:00").cast("timestamp")
 
 
 def side(spark, d, origin):
@@ -87,7 +87,7 @@ def _(spark, d):
 @query("u4_sweep_tombstones", "WITH " + T.PILE_LINES + ",\n" + TOMBS + " SELECT * FROM tombs WHERE removed_at > TIMESTAMP '2001-12-02'")
 def _(spark, d):
     removed = R.merge_tombstones(tombstones(spark, d, "O"), tombstones(spark, d, "P"), ["collection_id"])
-    return R.sweep_tombstones(removed, NOW - F.expr("INTERVAL 30 DAYS"))
+    return R.sweep_tombstones(removed, NOW() - F.expr("INTERVAL 30 DAYS"))
 
 
 def wants_of(spark, d, origin):
@@ -157,7 +157,7 @@ final AS (
 SELECT * FROM final""")
 def _(spark, d):
     local, remote, bases = replica_sides(spark, d)
-    return R.sync_collections(local, remote, bases, NOW)["piles"].select("collection_id", "key", "card_id", "quantity", "updated_at")
+    return R.sync_collections(local, remote, bases, NOW())["piles"].select("collection_id", "key", "card_id", "quantity", "updated_at")
 
 
 @query("j8_sync_tombstones", "WITH " + T.PILE_LINES + ",\n" + TOMBS + """
@@ -166,7 +166,7 @@ UNION ALL SELECT * FROM t_theirs WHERE collection_id = 'HOUSEHOLD'
 UNION ALL SELECT * FROM t_mine WHERE collection_id = 'MACHINERY' AND removed_at > TIMESTAMP '2001-12-02'""")
 def _(spark, d):
     local, remote, bases = replica_sides(spark, d)
-    return R.sync_collections(local, remote, bases, NOW)["tombstones"]
+    return R.sync_collections(local, remote, bases, NOW())["tombstones"]
 
 
 @query("p6_sync_all", "WITH " + T.PILE_LINES + ",\n" + TOMBS + ",\n" + WANTS_MERGED + ",\n" + HIST_MERGED + """
@@ -178,7 +178,7 @@ UNION ALL SELECT 'history', collection_id, count(*) FROM (
   UNION ALL SELECT collection_id FROM h_theirs WHERE collection_id = 'HOUSEHOLD' UNION ALL SELECT collection_id FROM h_mine WHERE collection_id = 'MACHINERY') GROUP BY 2""")
 def _(spark, d):
     local, remote, bases = replica_sides(spark, d)
-    state = R.sync_collections(local, remote, bases, NOW)
+    state = R.sync_collections(local, remote, bases, NOW())
     root = shared_path(spark, "sync")
     R.publish(state, root + "/data", root + "/base")
     count = lambda name: spark.read.parquet(f"{root}/base/{name}").groupBy("collection_id").agg(
@@ -237,12 +237,12 @@ ch AS (SELECT collection_id, latest[2] - base[2] AS delta, CASE WHEN base[2] > 0
 
 @query("h3_change_over", _CHANGE + "SELECT * FROM ch")
 def _(spark, d):
-    return H.change_over(points(spark, d), 366, NOW)
+    return H.change_over(points(spark, d), 366, NOW())
 
 
 @query("h7_trend_tone", _CHANGE + "SELECT CASE WHEN abs(delta) < 0.005 THEN 'flat' WHEN delta > 0 THEN 'up' ELSE 'down' END AS tone, count(*) AS n FROM ch GROUP BY 1")
 def _(spark, d):
-    return H.change_over(points(spark, d), 366, NOW).groupBy(H.trend_tone(c("delta")).alias("tone")).agg(F.count("*").alias("n"))
+    return H.change_over(points(spark, d), 366, NOW()).groupBy(H.trend_tone(c("delta")).alias("tone")).agg(F.count("*").alias("n"))
 
 
 def _thin(n, source="points"):
