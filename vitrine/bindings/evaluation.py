@@ -172,13 +172,15 @@ pr AS (SELECT bit_count(xor(co.strip, o.strip)) AS own, bit_count(xor(co.strip,
 SELECT count(*) AS pairs, count(*) FILTER (btw > 0) AS differ, count(*) FILTER (own < rival) AS wins, quantile_cont(own, 0.5) AS median_own, quantile_cont(btw, 0.5) AS median_between,
   round(quantile_cont(btw, 0.1), 6) AS p10_between, count(*) FILTER (own < rival) / count(*) * 100 AS win_pct FROM pr""")
 def _(spark, d):
-    from pyspark.sql import Window as W
+    from vitrine.operators.ordered import previous
 
     coarse = F.transform(c("embedding").cast("array<double>"), lambda x: F.floor(x * 10).cast("double"))
     seen = T.table(spark, d, "embeddings").select(c("vec_id").alias("row_id"), B.pack_bits(B.median_bits(coarse), 64).alias("read"))
     fp = T.fingerprints(spark, d)
-    pairs = fp.withColumn("nxt", F.lead("row_id").over(W.partitionBy("label").orderBy("row_id")))
-    pairs = pairs.join(fp.select(c("row_id").alias("nxt"), c("strip").alias("rival")), "nxt").join(seen, "row_id").select("read", c("strip").alias("own"), "rival")
+    before = previous(
+        fp.select("row_id", "label", c("strip")[0].alias("s")), ["label"], ["row_id"], F.floor(c("row_id") / 1000), {"own_id": c("row_id"), "own_s": c("s")})
+    pairs = before.filter("has_previous").select(c("own_id").alias("row_id"), F.array("own_s").alias("own"), F.array("s").alias("rival"))
+    pairs = pairs.join(seen, "row_id").select("read", "own", "rival")
     return E.strip_discrimination(pairs, 1).withColumn("p10_between", F.round("p10_between", 6))
 
 

@@ -104,11 +104,11 @@ def _(spark, d):
     return K.verify_pack(offs, total, T.table(spark, d, "documents"), bucket=BY_DOC(), head="head")
 
 
-@query("s8_read_ranges", "SELECT conv_id AS pack_id, turn, text FROM conversations")
+@query("s8_read_ranges", "SELECT conv_id * 1000 + turn // 64 AS pack_id, turn, text FROM conversations")
 def _(spark, d):
     conv = T.table(spark, d, "conversations").select(
-        c("conv_id").alias("pack_id"), "turn", F.encode("text", "utf-8").alias("data")).withColumn("bytes", F.length("data"))
-    # a pack is one conversation's turns end to end
+        (c("conv_id") * 1000 + F.floor(c("turn") / 64)).alias("pack_id"), "turn", F.encode("text", "utf-8").alias("data")).withColumn("bytes", F.length("data"))
+    # a pack is up to 64 turns of a conversation end to end
     turn = F.array_sort(F.collect_list(F.struct("turn", "bytes", F.hex("data").alias("h"))))
     packs = conv.groupBy("pack_id").agg(turn.alias("t")).select(
         "pack_id", F.unhex(F.array_join(F.transform("t", lambda x: x["h"]), "")).alias("content"), "t")

@@ -78,32 +78,29 @@ def set_candidates(sets: DataFrame, groups: DataFrame, k: int = 8) -> DataFrame:
     )
 
 
-def member_overlap(left: DataFrame, right: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """Shared members of each (set, group): count and share of the set.
+def member_overlap(left: DataFrame, right: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Shared members of each candidate (set, group): count and share of the set.
 
-    ``left``: ``set_id, member``; ``right``: ``group_id, member``. With
-    ``pairs``, only those are measured, and pairs that share nothing stay in
-    with 0. Members are made distinct on both sides first.
+    ``left``: ``set_id, member``; ``right``: ``group_id, member``. Only candidate
+    pairs are measured: a member that everybody has would otherwise pair every
+    set with every group. Pairs that share nothing stay in with 0; pairs with an
+    empty side are left out. Members are made distinct on both sides first.
     """
     a = left.select("set_id", "member").filter(F.col("member").isNotNull()).distinct()
     b = right.select("group_id", "member").filter(F.col("member").isNotNull()).distinct()
     sizes = a.groupBy("set_id").agg(F.count("*").alias("size"))
-    if pairs is None:
-        shared = a.join(b, "member").groupBy("set_id", "group_id").agg(F.count("*").alias("shared"))
-        out = shared.join(sizes, "set_id")
-    else:
-        wanted = pairs.select("set_id", "group_id").distinct()
-        nonempty = wanted.join(sizes, "set_id").join(b.select("group_id").distinct(), "group_id", "left_semi")
-        shared = (
-            wanted.join(a, "set_id").join(b, ["group_id", "member"])
-            .groupBy("set_id", "group_id").agg(F.count("*").alias("shared"))
-        )
-        out = nonempty.join(shared, ["set_id", "group_id"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    wanted = pairs.select("set_id", "group_id").distinct()
+    nonempty = wanted.join(sizes, "set_id").join(b.select("group_id").distinct(), "group_id", "left_semi")
+    shared = (
+        wanted.join(a, "set_id").join(b, ["group_id", "member"])
+        .groupBy("set_id", "group_id").agg(F.count("*").alias("shared"))
+    )
+    out = nonempty.join(shared, ["set_id", "group_id"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     return out.withColumn("overlap", F.col("shared") / F.col("size"))
 
 
 def verified_match(
-    left: DataFrame, right: DataFrame, candidates: DataFrame | None = None, accept: float = 0.5, weight: float = 3.0,
+    left: DataFrame, right: DataFrame, candidates: DataFrame, accept: float = 0.5, weight: float = 3.0,
 ) -> DataFrame:
     """The best group of every set and whether its overlap is enough.
 
@@ -112,11 +109,8 @@ def verified_match(
     may claim one group; ``group_claims`` says how many accepted sets do.
     """
     measured = member_overlap(left, right, candidates)
-    if candidates is None:
-        scored = measured.withColumn("score", weight * F.col("overlap"))
-    else:
-        scored = measured.join(candidates, ["set_id", "group_id"]).withColumn(
-            "score", weight * F.col("overlap") + F.coalesce("name_sim", F.lit(0.0)))
+    scored = measured.join(candidates, ["set_id", "group_id"]).withColumn(
+        "score", weight * F.col("overlap") + F.coalesce("name_sim", F.lit(0.0)))
     best = scored.filter(F.col("score") > 0).groupBy("set_id").agg(
         F.min(F.struct((-F.col("score")).alias("cost"), "group_id", "overlap")).alias("b"))
     report = (

@@ -124,9 +124,8 @@ def hamming_nearest(
     references of the same group, ``apart`` to ones with another value, and
     ``self_out`` leaves out the reference with the query's own id.
 
-    Exact. With many references every query is sent to each reference block,
-    so there duplicates are searched once: equal descriptors differ in nothing
-    but their id unless a restriction looks at it.
+    Exact on both paths of :func:`vitrine.operators.blocks.map_blocks`. Blocks are
+    cut by id, so copies of one descriptor spread over all of them.
     """
     keep, carry = list(keep), list(carry)
     types = dict(refs.dtypes)

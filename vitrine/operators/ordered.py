@@ -82,10 +82,14 @@ def previous(df: DataFrame, keys: list[str], order: list, bucket: Column, column
     kept = df.columns
     df = df.withColumn(CHUNK, bucket)
     order = _orders(order)
-    df = df.withColumn("_v", F.struct(*[v.alias(n) for n, v in columns.items()]))
+    names = list(columns)
     position = order[0] if len(order) == 1 else F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
-    summary = df.groupBy(*keys, CHUNK).agg(F.max_by("_v", position).alias("_b"))
-    carried = summary.select(*keys, CHUNK, F.lag("_b").over(W.partitionBy(*keys).orderBy(CHUNK)).alias("_v"))
+    # Column by column: with plain types the summary is a hash aggregate.
+    summary = df.select(*keys, CHUNK, position.alias("_o"), *[v.alias("_b_" + n) for n, v in columns.items()])
+    summary = summary.groupBy(*keys, CHUNK).agg(*[F.max_by("_b_" + n, "_o").alias("_b_" + n) for n in names])
+    last = F.struct(*[F.col("_b_" + n).alias(n) for n in names])
+    carried = summary.select(*keys, CHUNK, F.lag(last).over(W.partitionBy(*keys).orderBy(CHUNK)).alias("_v"))
+    df = df.withColumn("_v", F.struct(*[v.alias(n) for n, v in columns.items()]))
     inside = W.partitionBy(*keys, CHUNK).orderBy("_header", *order)
     out = _with_headers(df, carried).withColumn("_p", F.lag("_v").over(inside)).filter(F.col("_header") == 1)
     return out.select(

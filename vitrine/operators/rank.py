@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import bits as B
 from vitrine.functions import scalar as S
 from vitrine.operators.ordered import previous, running, trailing
+from vitrine.session import settle
 
 # Thresholds of the recogniser.
 MAX_DISTANCE, MIN_NAME_MARGIN, NAME_MARGIN_K = 240, 24, 16
@@ -144,16 +145,16 @@ def runs(frames: DataFrame, identity: str, bucket: Column, device: str = "device
     """
     marked = previous(frames, [device], [order], bucket, {"_prev": F.col(identity)})
     start = ~F.col("has_previous") | ~F.col("_prev").eqNullSafe(F.col(identity))
-    marked = marked.withColumn("_start", start)
+    marked = settle(marked.withColumn("_start", start).drop("_prev", "has_previous"))
     out = running(
         marked, [device], [order], bucket,
         sums={"run_no": F.col("_start").cast("bigint"), "_pos": F.lit(1).cast("bigint")},
     )
     # position of the run's first row, carried forward
     out = running(
-        out, [device], [order], bucket, lasts={"_from": F.when(F.col("_start"), F.col("_pos"))},
+        settle(out), [device], [order], bucket, lasts={"_from": F.when(F.col("_start"), F.col("_pos"))},
     )
-    return out.withColumn("run_length", F.col("_pos") - F.col("_from") + 1).drop("_prev", "has_previous", "_start", "_pos", "_from")
+    return out.withColumn("run_length", F.col("_pos") - F.col("_from") + 1).drop("_start", "_pos", "_from")
 
 
 def best_of_burst(df: DataFrame, group: list[str], score: Column, order: str) -> DataFrame:
@@ -180,7 +181,7 @@ def rolling_rate(frames: DataFrame, bucket: Column, n: int = 30, device: str = "
     marked = previous(frames, [device], [order, "frame_no"], bucket, {"_prev_us": F.unix_micros(order)})
     gap = F.unix_micros(order) - F.col("_prev_us")
     rate = F.when(gap > 0, F.lit(1000000.0) / gap)
-    rated = marked.withColumn("rate", rate).drop("_prev_us", "has_previous")
+    rated = settle(marked.withColumn("rate", rate).drop("_prev_us", "has_previous"))
     return trailing(
         rated, [device], [order, "frame_no"], bucket, n,
         {"rolling_rate": lambda w: F.avg("rate").over(w)},
@@ -198,7 +199,7 @@ def smooth_rate(
     """
     marked = previous(frames, [device], [order, "frame_no"], bucket, {"_prev_us": F.unix_micros(order)})
     gap = F.unix_micros(order) - F.col("_prev_us")
-    rated = marked.withColumn("rate", F.when(gap > 0, F.lit(1000000.0) / gap)).drop("_prev_us", "has_previous")
+    rated = settle(marked.withColumn("rate", F.when(gap > 0, F.lit(1000000.0) / gap)).drop("_prev_us", "has_previous"))
     reach = 170  # 0.8 ** 170 < 2 ** -54
     decay = 1.0 - alpha
     return trailing(

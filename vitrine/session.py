@@ -38,6 +38,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For operators that scan what they have built more than once: without it,
+    every further step would compute all earlier ones twice. The table is
+    columnar, so a later step reads only the columns it needs, and it outlives
+    the executors that wrote it.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitrine.operators.ordered import running
+from vitrine.session import settle
 from vitrine.streaming.confirm import _stateful, _value
 from vitrine.streaming.folds import PACKS, Allowance
 
@@ -118,6 +119,7 @@ def allowance_days(events: DataFrame, bucket: Column) -> DataFrame:
     if "amount" not in rows.columns:
         rows = rows.withColumn("amount", F.lit(None).cast("bigint"))
     rows = running(rows, ["user_id"], ["seq"], bucket, tops={"day": F.col("_day")}).drop("_day")
+    rows = settle(rows.select("user_id", "seq", "day", "kind", "amount"))
     switch = F.when(F.col("kind") == "pro_on", True).when(F.col("kind") == "pro_off", False)
     # Subscription at the start of each day.
     last = rows.groupBy("user_id", "day").agg(F.max_by(switch, F.when(switch.isNotNull(), F.col("seq"))).alias("_end"))
