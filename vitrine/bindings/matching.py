@@ -130,20 +130,21 @@ def _(spark, d):
 def _members(spark, d):
     left = T.table(spark, d, "part").select(c("p_brand").alias("set_id"), c("p_partkey").alias("member"))
     right = T.table(spark, d, "lineitem").select(c("l_suppkey").alias("group_id"), c("l_partkey").alias("member"))
-    # candidates: a supplier that sold a large lot of the brand
-    pairs = T.table(spark, d, "lineitem").filter(c("l_quantity") > 40).join(
+    # candidates: a supplier that sold a large, discounted lot of the brand
+    pairs = T.table(spark, d, "lineitem").filter((c("l_quantity") >= 50) & (c("l_discount") >= 0.095)).join(
         T.table(spark, d, "part"), c("l_partkey") == c("p_partkey")).select(
         c("p_brand").alias("set_id"), c("l_suppkey").alias("group_id")).distinct()
     return left, right, pairs.withColumn("name_sim", F.lit(0.0))
 
 
 OVERLAP = """a AS (SELECT DISTINCT p_brand AS set_id, p_partkey AS member FROM part), b AS (SELECT DISTINCT l_suppkey AS group_id, l_partkey AS member FROM lineitem),
-cand AS (SELECT DISTINCT p_brand AS set_id, l_suppkey AS group_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 40),
+cand AS (SELECT DISTINCT p_brand AS set_id, l_suppkey AS group_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50 AND l_discount >= 0.095),
 ov AS (SELECT set_id, group_id, count(*) AS shared, any_value(size) AS size, count(*) / any_value(size) AS overlap
   FROM cand JOIN a USING (set_id) JOIN b USING (group_id, member) JOIN (SELECT set_id, count(*) AS size FROM a GROUP BY 1) USING (set_id) GROUP BY 1, 2)"""
 REPORT = OVERLAP + """,
-report AS (SELECT set_id, group_id, 3.0::DOUBLE * overlap AS score, floor(overlap * 1000 + 0.5) / 1000 AS overlap, overlap >= 0.36 AS accepted
-  FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY overlap DESC, group_id) AS rn FROM ov) WHERE rn = 1)"""
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY overlap DESC, group_id) AS rn FROM ov) WHERE rn = 1),
+report AS (SELECT set_id, group_id, 3.0::DOUBLE * overlap AS score, floor(coalesce(overlap, 0) * 1000 + 0.5) / 1000 AS overlap, coalesce(overlap >= 0.36, false) AS accepted
+  FROM (SELECT DISTINCT set_id FROM a) LEFT JOIN best USING (set_id))"""
 
 
 @query("u5_member_overlap", "WITH " + OVERLAP + " SELECT * FROM ov")

@@ -35,22 +35,22 @@ def audit_text(
 ) -> DataFrame:
     """Findings of every rule over whole texts: ``line, label, hit, severity``.
 
-    A text is searched once per rule; only matching texts are split at their
-    matches. The line of a match is one more than the newlines in everything
+    Only matching texts are split at their matches. The line of a match is one more than the newlines in everything
     before it, summed over the pieces between matches.
     """
     if path is not None:
         ext = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
         docs = docs.filter(~ext.isin(SKIP_EXTENSIONS))
-    found = F.array(*[
-        F.struct(
-            F.lit(label).alias("label"), F.lit(severity).alias("severity"),
-            F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("hits"),
-            F.when(F.col(text).rlike(pattern), F.transform(F.split(F.col(text), pattern, -1), _newlines)).alias("gaps"),
-        )
+    table = F.array(*[
+        F.struct(F.lit(label).alias("label"), F.lit(severity).alias("severity"), F.lit(pattern).alias("pattern"))
         for label, pattern, severity in rules
     ])
-    per_rule = docs.select(key, F.inline(F.filter(found, lambda f: F.size(f["hits"]) > 0)))
+    # Every text meets every rule once, and only up to its first match; texts
+    # that have one are then searched in full.
+    matched = docs.select(key, F.col(text).alias("_text"), F.inline(table)).filter(F.expr("_text RLIKE pattern"))
+    per_rule = matched.select(
+        key, "label", "severity", F.regexp_extract_all("_text", F.col("pattern"), F.lit(0)).alias("hits"),
+        F.transform(F.split(F.col("_text"), F.col("pattern"), -1), _newlines).alias("gaps"))
     each = per_rule.select(
         key, "label", "severity", F.posexplode(F.arrays_zip("hits", F.slice("gaps", 1, F.size("hits")))).alias("n", "m"))
     each = each.select(key, "label", "severity", "n", F.col("m.hits").alias("hit"), F.col("m.1").alias("gap"))

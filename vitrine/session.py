@@ -30,6 +30,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/vitrine/{name}-{uuid.uuid4().hex}"
 
 
+def spread_small(df: DataFrame, path: str) -> DataFrame:
+    """Deal the rows of a table that is too small to be split to all slots.
+
+    For work that costs far more per row than moving the row does. A table
+    larger than one input split comes in enough pieces and is left as it is.
+    """
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    limit = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= limit else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a frame reliably so that later jobs do not recompute it."""
     spark = df.sparkSession
