@@ -160,12 +160,12 @@ def _docs_sql(status):
 
 
 @query("s14_save_collections", f"""
-WITH old AS ({_docs_sql('F')}), new AS (SELECT * FROM ({_docs_sql('O')}) WHERE user_id >= 4)
-SELECT user_id, collection_id, body FROM old WHERE user_id < 4 OR collection_id NOT IN (SELECT collection_id FROM new) UNION ALL SELECT * FROM new""")
+WITH old AS ({_docs_sql('F')}), new AS ({_docs_sql('O')})
+SELECT user_id, collection_id, body FROM old WHERE user_id NOT IN (SELECT user_id FROM new) OR collection_id NOT IN (SELECT collection_id FROM new) UNION ALL SELECT * FROM new""")
 def _(spark, d):
     path = shared_path(spark, "collections")
     _documents_table(spark, d, "F").write.partitionBy("user_id").parquet(path)
-    SL.save_collections(_documents_table(spark, d, "O").filter(c("user_id") >= 4), path)
+    SL.save_collections(_documents_table(spark, d, "O"), path)
     return spark.read.schema("collection_id BIGINT, body DOUBLE, user_id BIGINT").parquet(path)
 
 
