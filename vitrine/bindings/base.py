@@ -60,8 +60,11 @@ def price_feed(spark, sf_dir, where=None, keep=()) -> DataFrame:
         F.when(F.col("l_discount") < 0.09, unit).alias("market"),
         F.when(F.col("l_tax") < 0.07, F.floor(unit * 80) / 100.0).alias("low"),
         (F.floor(unit * 150) / 100.0).alias("high"),
-        # order, line and supplier in one number: a total order per part
-        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + F.col("l_suppkey")).alias("feed_pos"),
+        # order, line, supplier and price in one number: a total order per part
+        (
+            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1048576 + F.col("l_suppkey")).cast("decimal(19,0)")
+            * F.lit(10**10).cast("decimal(11,0)") + F.round(F.col("l_extendedprice") * 100).cast("decimal(10,0)")
+        ).alias("feed_pos"),
         *keep,
     )
 
@@ -72,7 +75,7 @@ PRICE_FEED = """feed AS (
          CASE WHEN l_discount < 0.09 THEN floor(l_extendedprice * 100 / l_quantity) / 100.0::DOUBLE END AS market,
          CASE WHEN l_tax < 0.07 THEN floor((floor(l_extendedprice * 100 / l_quantity) / 100.0::DOUBLE) * 80) / 100.0::DOUBLE END AS low,
          floor((floor(l_extendedprice * 100 / l_quantity) / 100.0::DOUBLE) * 150) / 100.0::DOUBLE AS high,
-         (l_orderkey * 8 + l_linenumber) * 1048576 + l_suppkey AS feed_pos, l_shipdate
+         row((l_orderkey * 8 + l_linenumber) * 1048576 + l_suppkey, l_extendedprice) AS feed_pos, l_shipdate
   FROM lineitem)"""
 
 PRICES = PRICE_FEED + """,
