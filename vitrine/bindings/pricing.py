@@ -171,7 +171,7 @@ def _(spark, d):
 @query("s18_prefer_newer_book", "WITH " + T.PRICES + """
 SELECT card_id, variant, market, low, high, '2024-02-01' AS as_of, 'cached' AS chosen FROM book""")
 def _(spark, d):
-    return P.prefer_newer_book(_old_book(spark, d), _new_book(spark, d))
+    return P.prefer_newer_book(_old_book(spark, d), _new_book(spark, d), min_cards=1)
 
 
 @query("a24_spot_check", "WITH " + T.CARDS + ",\n" + T.PRICES + """,
