@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.bindings.reg import registrar
-from vitrine.llm import hilbert, simhash, urlcascade
+from vitrine.llm import hilbert, packing, septokens, simhash, urlcascade
 from vitrine.llm.common import table
 
 QUERIES: dict = {}
@@ -43,3 +43,13 @@ FROM named n LEFT JOIN fit f USING (page_id)""")
 def op9_url_cascade(spark, sf_dir):
     rules = spark.sql(f"SELECT * FROM {URL_RULES} AS r(verdict, host, path)")
     return urlcascade.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op8_reduced_packing")
+def op8_reduced_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op6_separator_scan")
+def op6_separator_scan(spark, sf_dir):
+    return septokens.count_documents(table(spark, sf_dir, "documents"))
