@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.bindings.reg import registrar
-from vitrine.llm import hilbert, packing, septokens, simhash, urlcascade
-from vitrine.llm.common import table
+from vitrine.llm import hilbert, langid, packing, septokens, simhash, toxicity, urlcascade
+from vitrine.llm.common import id_bucket, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -53,3 +53,17 @@ def op8_reduced_packing(spark, sf_dir):
 @query("op6_separator_scan")
 def op6_separator_scan(spark, sf_dir):
     return septokens.count_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_string_kernel_language")
+def op7_string_kernel_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", (id_bucket("doc_id", 4) == 2).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+@query("op2_convolutional_toxicity")
+def op2_convolutional_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
