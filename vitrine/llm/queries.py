@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.bindings.reg import registrar
-from vitrine.llm import hilbert, langid, packing, septokens, simhash, toxicity, urlcascade
+from vitrine.llm import decontaminate, hilbert, langid, packing, pseudonyms, septokens, simhash, toxicity, urlcascade
 from vitrine.llm.common import id_bucket, table
 
 QUERIES: dict = {}
@@ -67,3 +67,15 @@ def op2_convolutional_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_template_decontamination")
+def op5_template_decontamination(spark, sf_dir):
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "verbatim", "windows", "matched")
+
+
+@query("op10_feistel_pseudonyms")
+def op10_feistel_pseudonyms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs).withColumnRenamed("_replaced", "replaced")
