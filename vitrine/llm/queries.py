@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.bindings.reg import registrar
-from vitrine.llm import decontaminate, hilbert, langid, packing, pseudonyms, septokens, simhash, toxicity, urlcascade
+from vitrine.llm import decontaminate, hilbert, langid, neighbours, packing, pseudonyms, septokens, simhash, toxicity, urlcascade
 from vitrine.llm.common import id_bucket, table
 
 QUERIES: dict = {}
@@ -79,3 +79,8 @@ def op5_template_decontamination(spark, sf_dir):
 def op10_feistel_pseudonyms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymise(docs).withColumnRenamed("_replaced", "replaced")
+
+
+@query("op3_learned_partitions")
+def op3_learned_partitions(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
