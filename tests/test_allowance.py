@@ -19,7 +19,7 @@ def loop(rows):
     for user, _, at, kind, amount in sorted(rows, key=lambda r: (r[0], r[1])):
         s = states.setdefault(user, [Allowance(), 0, 0])
         s[0].turn(at.strftime("%Y-%m-%d"))
-        ok = s[0].step(kind, amount)
+        ok = s[0].apply(kind, amount)
         s[1] += kind == "spend" and ok
         s[2] += kind == "spend" and not ok
     return {u: (s.pro, s.free, s.credits, s.ads, s.scans_ever, s.credits_ever, s.left, spent, blocked) for u, (s, spent, blocked) in states.items()}

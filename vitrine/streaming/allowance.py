@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vitrine.operators.ordered import running
 from vitrine.session import settle
 from vitrine.streaming.confirm import _stateful, _value
-from vitrine.streaming.folds import PACKS, Allowance
+from vitrine.streaming.folds import FREE_PER_DAY, PACKS, Allowance
 
 DAY_SCHEMA = (
     "user_id bigint, day string, pro boolean, free_left bigint, credits bigint, ads_today bigint, "
@@ -42,10 +42,10 @@ def _fold_days(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if key is not None:
                     out.append(finish())
                 key = (row.user_id, row.day)
-                state = Allowance(pro=bool(row.start_pro), day=row.day, credits=int(row.start_credits))
+                state = Allowance(pro=bool(row.start_pro), day=row.day, purses=[FREE_PER_DAY, int(row.start_credits)])
                 acc = [0, 0, 0, 0, 0, 0]  # spent, blocked, refunded, gained, ever: x -> max(x + add, floor)
             before = state.credits_ever
-            ok = state.step(row.kind, _value(row.amount))
+            ok = state.apply(row.kind, _value(row.amount))
             if row.kind == "spend":
                 acc[0 if ok else 1] += 1
                 if ok:
@@ -78,8 +78,8 @@ def _credit_moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 key, add, floor = (row.user_id, row.day), 0, 0
                 state = Allowance(pro=bool(row.start_pro), day=row.day)
             # Credits are held at one so that a paid spend always shows as -1.
-            state.credits = 1
-            state.step(row.kind, _value(row.amount))
+            state.purses[1] = 1
+            state.apply(row.kind, _value(row.amount))
             move = state.credits - 1
             add += move
             floor = max(0, floor + move)
@@ -157,7 +157,7 @@ def allowance_stream(events: DataFrame) -> DataFrame:
         out = []
         for r in rows.itertuples(index=False):
             state.turn(r.day)
-            ok = state.step(r.kind, _value(r.amount))
+            ok = state.apply(r.kind, _value(r.amount))
             out.append((user, r.seq, r.kind, ok, state.left, state.credits))
         return pd.DataFrame(out, columns=["user_id", "seq", "kind", "granted", "scans_left", "credits"]).astype({"scans_left": "Int64"})
 
