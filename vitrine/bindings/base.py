@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import bits as B
 from vitrine.functions import scalar as S
-from vitrine.session import spread_small
+from vitrine.session import spread as spread_rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     df = spark.read.parquet(path)
-    return spread_small(df, path) if spread else df
+    return spread_rows(df) if spread else df
 
 
 # -- catalogue cards ---------------------------------------------------------
@@ -97,8 +97,8 @@ def book(spark, sf_dir) -> DataFrame:
 
 
 # -- piles ---------------------------------------------------------------------
-def pile_lines(spark, sf_dir) -> DataFrame:
-    """One row per scanned line: the unaggregated ledger."""
+def pile_lines(spark, sf_dir, ids: bool = False) -> DataFrame:
+    """One row per scanned line: the unaggregated ledger; with ``ids`` also its order, line number and seller, which with the card tell lines apart."""
     li = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
@@ -121,6 +121,7 @@ def pile_lines(spark, sf_dir) -> DataFrame:
             ).alias("unit_price"),
             F.col("l_shipdate").cast("timestamp").alias("updated_at"),
             (F.col("l_discount") >= 0.1).alias("needs_printing"),
+            *([F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), F.col("l_suppkey").alias("seller")] if ids else []),
         )
         .withColumn(
             "key", S.pile_key(F.col("card_id"), F.col("variant"), F.col("condition"), F.col("grader"), F.col("score")),

@@ -38,9 +38,9 @@ def scan_log(spark, d):
         F.lit(False).alias("reused"))
 
 
-def _stream(spark, df, name):
-    """One micro-batch in ingestion order: the folds sort inside a batch."""
-    return SE.replay(df.coalesce(1), df, shared_path(spark, name))
+def _stream(spark, df, name, key="device", order="frame_no"):
+    """Time-ordered files of two writers each, at least four micro-batches."""
+    return SE.replay_in_order(df, shared_path(spark, name), key, order)
 
 
 @query("w11_confirm_hits_batch")
@@ -50,7 +50,7 @@ def _(spark, d):
 
 @query("g1_confirm_hits")
 def _(spark, d):
-    hits = CF.confirm_hits(_stream(spark, scan_log(spark, d), "reads"), confirm=2, cooldown=400)
+    hits = CF.confirm_hits(CF.drop_late(_stream(spark, scan_log(spark, d), "reads"), "1 hour"), confirm=2, cooldown=400)
     return SE.run_to_end(hits, shared_path(spark, "hits"))
 
 
@@ -65,7 +65,7 @@ def _(spark, d):
 def _(spark, d):
     log = scan_log(spark, d).withColumn("area", c("best_distance") + 20).withColumn(
         "signature", F.array(*[F.floor(c("best_distance") / k).cast("float") for k in (4, 8, 16, 32)]))
-    return SE.run_to_end(CF.reuse_unchanged(_stream(spark, log, "views"), size_tol=0.5, level=6.0), shared_path(spark, "reused"))
+    return SE.run_to_end(CF.reuse_unchanged(CF.drop_late(_stream(spark, log, "views"), "1 hour"), size_tol=0.5, level=6.0), shared_path(spark, "reused"))
 
 
 def print_log(spark, d):
@@ -116,7 +116,7 @@ def _(spark, d):
 
 @query("g4_frame_stats_stream", STATS.replace("SELECT", "SELECT", 1))
 def _(spark, d):
-    stream = SE.frame_stats(_stream(spark, _stats_input(spark, d), "stats"), "6 hours")
+    stream = SE.frame_stats(_stream(spark, _stats_input(spark, d), "stats", order="ts"), "6 hours")
     out = SE.run_to_end(stream, shared_path(spark, "stats-out"), "update")
     return SE.latest(out, ["device", "window_start"]).withColumn("mean_ms", F.round("mean_ms", 6))
 
@@ -129,7 +129,7 @@ _POINTS = """SELECT o_custkey AS collection_id, CAST(o_orderdate AS DATE) AS day
 def _(spark, d):
     w = T.table(spark, d, "orders").select(
         c("o_custkey").alias("collection_id"), c("o_orderdate").cast("timestamp").alias("at"), c("o_totalprice").alias("value"), c("o_orderkey").alias("cards"))
-    out = SE.run_to_end(SE.daily_points_stream(_stream(spark, w, "writes")), shared_path(spark, "points"), "update")
+    out = SE.run_to_end(SE.daily_points_stream(_stream(spark, w, "writes", "collection_id", "at")), shared_path(spark, "points"), "update")
     return SE.latest(out, ["collection_id", "day"])
 
 
@@ -140,7 +140,7 @@ def hits_log(spark, d):
 
 @query("g6_valuable_alerts", "SELECT user_id AS session, event_id, value AS price FROM events WHERE event_type <> 'error' AND value >= 100")
 def _(spark, d):
-    return SE.run_to_end(SE.valuable_alerts(_stream(spark, hits_log(spark, d), "alerts"), 100.0), shared_path(spark, "alerts-out"))
+    return SE.run_to_end(SE.valuable_alerts(_stream(spark, hits_log(spark, d), "alerts", "session", "event_id"), 100.0), shared_path(spark, "alerts-out"))
 
 
 SESSIONS = """SELECT user_id AS session, count(*) AS hits, CAST(coalesce(sum(CAST(CASE WHEN event_type <> 'error' THEN value END AS DECIMAL(20,2))), 0) AS DOUBLE) AS total,
@@ -154,29 +154,29 @@ def _(spark, d):
 
 @query("g7_session_totals_stream", SESSIONS)
 def _(spark, d):
-    out = SE.run_to_end(SE.session_totals(_stream(spark, hits_log(spark, d), "sessions"), 100.0), shared_path(spark, "sessions-out"), "update")
+    out = SE.run_to_end(SE.session_totals(_stream(spark, hits_log(spark, d), "sessions", "session", "event_id"), 100.0), shared_path(spark, "sessions-out"), "update")
     return SE.latest(out, ["session"])
 
 
 # -- ledgers ------------------------------------------------------------------------
 def ledger_log(spark, d):
     """Pile lines as a log: F orders add, O orders change, P orders undo or set."""
-    lines = T.pile_lines(spark, d)
-    n = T.table(spark, d, "lineitem").count()
+    lines = T.pile_lines(spark, d, ids=True)
     name = T.cards(spark, d).select("card_id", "name")
-    # a total order from the row's own values
-    seq = F.xxhash64("updated_at", "key", "quantity", "unit_price", "origin", "collection_id")
+    # Days in order, and a day's lines by order and line number. A line's id is its own, not a hash of its values.
+    event = F.concat_ws(":", "order_id", "line_no", "card_id", "seller")
+    seq = F.unix_date(F.to_date("updated_at")).cast("bigint") * 2**40 + c("order_id") * 16 + c("line_no")
     op = F.when(c("origin") == "F", "add").when((c("origin") == "O") & (c("quantity") > 25), "reclassify").when(
         c("origin") == "O", "regrade").when(c("quantity") > 25, "set").otherwise("undo")
     return lines.join(name, "card_id").select(
-        "collection_id", seq.alias("seq"), F.unix_millis("updated_at").alias("at"), c("updated_at").alias("ts"), seq.alias("event_id"), op.alias("op"),
+        "collection_id", seq.alias("seq"), F.unix_millis("updated_at").alias("at"), c("updated_at").alias("ts"), event.alias("event_id"), event.alias("tie"), op.alias("op"),
         "card_id", "name", "variant", "condition", "grader", "score", "quantity", "unit_price", "needs_printing",
         F.when(c("quantity") > 40, "Unlimited").alias("new_variant"), F.lit("MP").alias("new_condition"),
         F.when(c("grader").isNull(), "CGC").alias("new_grader"), F.when(c("grader").isNull(), 9.0).alias("new_score"),
-    ).dropDuplicates(["event_id"])
+    )
 
 
-BY_SEQ = lambda: F.floor(F.col("seq") / (2**61))
+BY_SEQ = lambda: F.floor(F.col("seq") / 2**40 / 30)  # months
 
 
 @query("l10_replay_log")
@@ -188,7 +188,7 @@ def _(spark, d):
 def _(spark, d):
     log = ledger_log(spark, d)
     state = shared_path(spark, "ledger-state")
-    stream = _stream(spark, log, "ledger-log")
+    stream = _stream(spark, log, "ledger-log", "collection_id", "seq")
     writer = LG.ledger_stream(stream, state, BY_SEQ())
     writer.option("checkpointLocation", shared_path(spark, "ledger-check")).trigger(availableNow=True).start().awaitTermination()
     return LG.read_ledger(spark, state)
@@ -219,7 +219,7 @@ def _(spark, d):
 
 @query("g10_allowance_stream")
 def _(spark, d):
-    return SE.run_to_end(AL.allowance_stream(_stream(spark, allowance_events(spark, d), "quota")), shared_path(spark, "quota-out"))
+    return SE.run_to_end(AL.allowance_stream(_stream(spark, allowance_events(spark, d), "quota", "user_id", "seq")), shared_path(spark, "quota-out"))
 
 
 # Books by year of shipment; a day before each the checks are made.
@@ -233,6 +233,6 @@ def _(spark, d):
         "card_id", "variant", "market", "low", "high", F.concat(c("y").cast("string"), F.lit("-12-31")).alias("as_of"),
         F.to_timestamp(F.concat(c("y").cast("string"), F.lit("-12-31 08:00:00"))).alias("checked_at"))
     state, log = shared_path(spark, "book-state"), shared_path(spark, "book-log")
-    writer = RF.price_refresh_stream(_stream(spark, books, "books"), state, log, min_cards=1, keep=0.0)
+    writer = RF.price_refresh_stream(_stream(spark, books, "books", "as_of", "checked_at"), state, log, min_cards=1, keep=0.0)
     writer.option("checkpointLocation", shared_path(spark, "book-check")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("as_of STRING, status STRING, reason STRING").json(log + "/*").select("as_of", "status")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -191,22 +193,73 @@ def rolling_rate(frames: DataFrame, bucket: Column, n: int = 30, device: str = "
 def smooth_rate(
     frames: DataFrame, bucket: Column, alpha: float = 0.2, device: str = "device", order: str = "ts",
 ) -> DataFrame:
-    """Exponentially smoothed rate: ``s = (1 - alpha) * s + alpha * rate``.
+    """Exponentially smoothed rate: ``s = (1 - alpha) * s + alpha * rate``, from 0; frames without a rate keep it.
 
-    Unrolled, the smoothed value is a sum of rates with weights falling by
-    ``1 - alpha`` per row. Beyond ``reach`` rows a weight is below the spacing
-    of double numbers, so a trailing window of that many rows gives the same value.
+    A chunk of a device's log turns the value before it into ``keep * s + add``.
+    Those pairs are found per chunk, carried along the device's chunks, one row
+    each, and each chunk is then smoothed from its own start.
     """
     marked = previous(frames, [device], [order, "frame_no"], bucket, {"_prev_us": F.unix_micros(order)})
     gap = F.unix_micros(order) - F.col("_prev_us")
-    rated = settle(marked.withColumn("rate", F.when(gap > 0, F.lit(1000000.0) / gap)).drop("_prev_us", "has_previous"))
-    reach = 170  # 0.8 ** 170 < 2 ** -54
+    rated = marked.withColumn("rate", F.when(gap > 0, F.lit(1000000.0) / gap)).drop("_prev_us", "has_previous")
+    rated = settle(rated.withColumn("_chunk", bucket.cast("bigint")))
+    key = dict(rated.dtypes)[device]
     decay = 1.0 - alpha
-    return trailing(
-        rated, [device], [order, "frame_no"], bucket, reach,
-        {"smoothed_rate": lambda w: F.aggregate(
-            F.collect_list("rate").over(w), F.lit(0.0), lambda s, r: s * decay + r * alpha)},
-    )
+
+    def runs(pdf, by):
+        cuts = np.flatnonzero((pdf[by] != pdf[by].shift()).any(axis=1).to_numpy())
+        return zip(cuts, np.append(cuts[1:], len(pdf)))
+
+    def along(value, rates):
+        out = []
+        for rate in rates:
+            if rate == rate:
+                value = value * decay + rate * alpha
+            out.append(value)
+        return out
+
+    def chunk_moves(batches):
+        for pdf in batches:
+            rows = []
+            for a, b in runs(pdf, [device, "_chunk"]):
+                rates = pdf["rate"].to_numpy()[a:b]
+                rows.append((pdf[device].iloc[a], pdf["_chunk"].iloc[a], float(decay ** np.isfinite(rates).sum()), along(0.0, rates)[-1]))
+            yield pd.DataFrame(rows, columns=[device, "_chunk", "keep", "add"])
+
+    def starts(batches):
+        now, value = None, 0.0
+        for pdf in batches:
+            out = []
+            for d, chunk, keep, add in pdf.itertuples(index=False):
+                now, value = (now, value) if now == d else (d, 0.0)
+                out.append((d, chunk, value))
+                value = keep * value + add
+            yield pd.DataFrame(out, columns=[device, "_chunk", "_start"])
+
+    def smoothed(batches):
+        now, value = None, 0.0
+        for pdf in batches:
+            out = np.empty(len(pdf))
+            for a, b in runs(pdf, [device, "_chunk"]):
+                here = (pdf[device].iloc[a], pdf["_chunk"].iloc[a])
+                now, value = (now, value) if now == here else (here, pdf["_start"].iloc[a])
+                out[a:b] = along(value, pdf["rate"].to_numpy()[a:b])
+                value = out[b - 1]
+            yield pdf.drop(columns="_start").assign(smoothed_rate=out)
+
+    lines = rated.select(device, "_chunk", order, "frame_no", "rate")
+    lines = lines.repartition(device, "_chunk").sortWithinPartitions(device, "_chunk", order, "frame_no")
+    # A batch may end inside a chunk; its parts are moves of their own, numbered in order.
+    moves = lines.select(device, "_chunk", "rate").mapInPandas(chunk_moves, f"{device} {key}, _chunk bigint, keep double, add double")
+    moves = moves.withColumn("_part", F.monotonically_increasing_id())
+    moves = moves.repartition(device).sortWithinPartitions(device, "_chunk", "_part").select(device, "_chunk", "keep", "add")
+    before = moves.mapInPandas(starts, f"{device} {key}, _chunk bigint, _start double")
+    # The first part's start is the chunk's: later ones only grew out of it inside the chunk.
+    before = before.withColumn("_n", F.monotonically_increasing_id()).groupBy(device, "_chunk").agg(F.min_by("_start", "_n").alias("_start"))
+    ready = rated.join(before, [device, "_chunk"]).select(device, "_chunk", order, "frame_no", "rate", "_start")
+    ready = ready.repartition(device, "_chunk").sortWithinPartitions(device, "_chunk", order, "frame_no")
+    done = ready.mapInPandas(smoothed, f"{device} {key}, _chunk bigint, {order} {dict(rated.dtypes)[order]}, frame_no bigint, rate double, smoothed_rate double")
+    return rated.drop("rate").join(done.drop("_chunk"), [device, order, "frame_no"]).drop("_chunk")
 
 
 def hold_last(

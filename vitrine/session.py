@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,32 +18,49 @@ _CHECKPOINT_KEY = "spark.checkpoint.dir"
 def shared_root(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where nothing is set
-    (tests, a laptop) is a temporary folder made and remembered.
+    A cluster names it in ``spark.checkpoint.dir``. Where nothing is set, a
+    temporary folder will do only if driver and executors are one process; a
+    cluster without the setting is refused, for each machine would write to its
+    own disk and later reads would miss rows.
     """
     root = spark.conf.get(_CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(_CHECKPOINT_KEY)
-    if not root:
-        root = tempfile.mkdtemp(prefix="vitrine-")
-        spark.conf.set(_CHECKPOINT_KEY, root)
+    if root:
+        return root
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
+    return _local_root(spark.sparkContext.applicationId)
+
+
+@lru_cache(maxsize=None)
+def _local_root(application: str) -> str:
+    root = tempfile.mkdtemp(prefix="vitrine-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     return root
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/vitrine/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, removed when the session's JVM ends."""
+    run = f"{shared_root(spark).rstrip('/')}/vitrine/{spark.sparkContext.applicationId}"
+    _removed_at_exit(spark, run)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
-def spread_small(df: DataFrame, path: str) -> DataFrame:
-    """Deal the rows of a table that is too small to be split to all slots.
+_marked: set[str] = set()
 
-    For work that costs far more per row than moving the row does. A table
-    larger than one input split comes in enough pieces and is left as it is.
-    """
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    size = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
-    limit = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size <= limit else df
+
+def _removed_at_exit(spark: SparkSession, folder: str) -> None:
+    if folder not in _marked:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _marked.add(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows to all slots, for work that costs far more per row than moving the row does."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -164,4 +164,5 @@ def allowance_stream(events: DataFrame) -> DataFrame:
     rows = events.withColumn("day", F.date_format("at", "yyyy-MM-dd"))
     if "amount" not in rows.columns:
         rows = rows.withColumn("amount", F.lit(None).cast("bigint"))
+    # A user's purses are kept for good: nothing is forgotten, however long they are away.
     return _stateful(rows.select("user_id", "seq", "day", "kind", "amount"), "user_id", step, schema, Allowance.load)
