@@ -43,13 +43,13 @@ def collected(df):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0, "block_rows": 64}, {"engine": "sql"}])
+@pytest.mark.parametrize("options", [{}, {"blocks": 1}, {"engine": "sql"}])
 def test_topk(data, options):
     q, r, qf, rf = data
     assert collected(H.hamming_topk(qf, rf, 5, 3, **options)) == brute(q, r, 5)
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0, "block_rows": 50}, {"engine": "sql"}])
+@pytest.mark.parametrize("options", [{}, {"blocks": 23}, {"engine": "sql"}])
 def test_self_and_radius(data, options):
     q, r, qf, rf = data
     got = collected(H.hamming_topk(qf, rf, 4, 3, self_out=True, max_distance=85, **options))
@@ -86,7 +86,7 @@ def test_histogram_counts_every_pair(spark):
             if i < j:
                 key = (la == lb, sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b)))
                 want[key] = want.get(key, 0) + 1
-    for options in ({}, {"broadcast_rows": 0, "block_rows": 25}):
+    for options in ({}, {"blocks": 9}):
         got = {(r.same, r.distance): r.pairs for r in H.distance_histogram(df, 2, **options).collect()}
         assert got == want
 

@@ -45,9 +45,9 @@ def _(spark, d):
 
 @query("j9_hamming_topk_blocks", "WITH " + T.FP_PAIRS + " SELECT query_id, ref_id, distance, rank FROM ranked WHERE rank <= 4")
 def _(spark, d):
-    """The path for references beyond the broadcast bound, with small blocks."""
+    """Many small blocks."""
     q, r = sides(spark, d)
-    return H.hamming_topk(q, r, 4, T.FP_WORDS, self_out=True, broadcast_rows=0, block_rows=max(200, r.count() // 3))
+    return H.hamming_topk(q, r, 4, T.FP_WORDS, self_out=True, blocks=37)
 
 
 BEST2 = """best2 AS (SELECT a.query_id, a.ref_id AS best_id, a.distance AS best_distance, b.ref_id AS runner_id, b.distance AS runner_distance,

@@ -2,75 +2,100 @@
 
 Some questions (nearest fingerprints, most similar names) must look at every
 query against every reference. They are never written as a join: a join would
-emit every pair. Work is cut into blocks instead, a vectorised kernel looks at
-one block of queries and one of references inside a task, and only the best few
-per query (or a histogram) leave it.
-
-*Small references*: when a count proves that the references fit, they are
-broadcast once and the queries are mapped in place. Nothing is shuffled, so a
-hot query cannot make a hot task.
-
-*Anything larger*: both sides are hashed into blocks, queries are sent to every
-reference block and references to every query block, and the partial results,
-at most k rows per query and reference block, are merged. Blocks are of bounded
-size whatever the data looks like.
+emit every pair. References are dealt once to blocks by a hash of their id, so
+copies and hot values spread; queries go once to every block. A task reads one
+block's references, prepares them once, and streams the queries past them in
+batches; the best few per query (or a histogram) leave it, and lists of one
+query are merged. There is one plan at every size, and neither side ever
+reaches the driver.
+
+With a ``group``, references only meet queries of their group: the group is
+part of a block's key, and a group is cut into blocks by its own size, so the
+work is bounded by the groups' sizes, not by the table's.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-BLOCK_ROWS = 50_000
+BLOCK_ROWS = 50_000  # references of a group in one block
+BATCH_ROWS = 4096  # queries looked at together
 
-Kernel = Callable[[pa.Table, pa.Table], pa.Table]
+#: Takes a block's references, in the order of their ids, and returns what maps queries to result rows.
+Kernel = Callable[[pa.Table], Callable[[pa.Table], pa.Table]]
 
 
 def map_blocks(
     queries: DataFrame, refs: DataFrame, kernel: Kernel, schema: str, query_id: str, ref_id: str,
-    broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS,
-) -> tuple[DataFrame, bool]:
-    """Run ``kernel(queries, refs)`` so that every pair is seen exactly once.
+    blocks: int | None = None, group: str | None = None, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Run ``kernel`` so that every pair (of a group) is seen exactly once; rows are per query and block.
 
-    Returns the kernel's rows and whether they still have to be merged across
-    blocks.
+    ``blocks`` is how many blocks references without a group are dealt to, by
+    default ``spark.sql.shuffle.partitions``: size that so that a block's
+    references fit in a task. A block without references sees its queries too.
     """
     spark = queries.sparkSession
-    n_refs = refs.count()
-    if n_refs <= broadcast_rows:
-        shared = spark.sparkContext.broadcast(refs.toArrow())
-
-        def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    yield from kernel(pa.Table.from_batches([batch]), table).to_batches()
-
-        return queries.mapInArrow(over, schema), False
-
-    n_r = max(1, math.ceil(n_refs / block_rows))
-    n_q = max(1, math.ceil(queries.count() / block_rows))
-    q = queries.withColumn("_qb", F.pmod(F.xxhash64(query_id), F.lit(n_q))).withColumn(
-        "_rb", F.explode(F.sequence(F.lit(0), F.lit(n_r - 1)).cast("array<bigint>")))
-    r = refs.withColumn("_rb", F.pmod(F.xxhash64(ref_id), F.lit(n_r))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.drop_columns(["_qb", "_rb"])
-        right = right.drop_columns(["_qb", "_rb"])
-        if left.num_rows == 0:
-            return kernel(left, right)
-        return pa.concat_tables(
-            kernel(left.slice(at, 4096), right) for at in range(0, left.num_rows, 4096)
-        )
-
-    out = q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb", "_rb")).applyInArrow(pair, schema)
-    return out, n_r > 1
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q = queries.select(F.struct(*queries.columns).alias("_q"))
+    r = refs.select(F.struct(*refs.columns).alias("_r"))
+    if group:
+        q, r = q.withColumn("_group", F.col(f"_q.{group}")), r.withColumn("_group", F.col(f"_r.{group}"))
+        sizes = r.groupBy("_group").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_n"))
+        sizes = sizes.select(F.col("_group").alias("_g"), "_n")
+        own = F.col("_group").eqNullSafe(F.col("_g"))
+        q, r = q.join(sizes, own, "left").drop("_g"), r.join(sizes, own, "left").drop("_g")
+    else:
+        q, r = (x.withColumns({"_group": F.lit(0), "_n": F.lit(blocks or parts)}) for x in (q, r))
+    n = F.coalesce("_n", F.lit(1))
+    q = q.select("_group", F.explode(F.sequence(F.lit(0), n - 1)).alias("_block"), F.lit(1).alias("_side"), "_q")
+    r = r.select("_group", F.pmod(F.xxhash64(f"_r.{ref_id}"), n).cast("int").alias("_block"), F.lit(0).alias("_side"), "_r")
+    met = r.unionByName(q, allowMissingColumns=True).repartition(max(parts, blocks or 0), "_group", "_block")
+    met = met.sortWithinPartitions("_group", "_block", "_side", f"_r.{ref_id}")
+    # Rows of a block are told from the next one's by a hash and their number; groups may be of any type.
+    met = met.select(F.xxhash64("_group", "_block").alias("_key"), "_block", "_side", "_q", "_r")
+    names = [x.strip().split(" ")[0].strip("`") for x in _fields(schema)]
+
+    def rows(column: pa.Array, a: int, b: int) -> pa.Table:
+        return pa.Table.from_batches([pa.RecordBatch.from_struct_array(column.slice(a, b - a))])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, ready, nothing = None, [], None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, block, side = (batch.column(c).to_pylist() for c in ("_key", "_block", "_side"))
+            if nothing is None:
+                nothing = rows(batch.column("_r"), 0, 0)
+            cuts = [0, *(i for i in range(1, len(key)) if (key[i], block[i], side[i]) != (key[i - 1], block[i - 1], side[i - 1])), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if (key[a], block[a]) != now:
+                    now, kept, ready = (key[a], block[a]), [], None
+                if side[a] == 0:
+                    kept.append(rows(batch.column("_r"), a, b))
+                    continue
+                if ready is None:
+                    ready, kept = kernel(pa.concat_tables(kept).combine_chunks() if kept else nothing), []
+                for at in range(a, b, BATCH_ROWS):
+                    yield from ready(rows(batch.column("_q"), at, min(at + BATCH_ROWS, b))).select(names).combine_chunks().to_batches()
+
+    return met.mapInArrow(over, schema)
+
+
+def _fields(schema: str) -> list[str]:
+    """Top-level fields of a schema text."""
+    out, depth = [""], 0
+    for c in schema:
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return out
 
 
 def merge_nearest(df: DataFrame, query_id: str, keep: list[str], k: int) -> DataFrame:

@@ -23,8 +23,11 @@ def _similar_kernel(k: int):
     """Best k names per query; cheap upper bounds skip most full comparisons."""
     out_type = pa.list_(pa.struct([("cost", pa.float64()), ("group_id", pa.string())]))
 
-    def kernel(queries: pa.Table, refs: pa.Table) -> pa.Table:
+    def prepare(refs: pa.Table):
         groups = list(zip(refs.column("group_id").to_pylist(), refs.column("name_n").to_pylist()))
+        return lambda queries: kernel(groups, queries)
+
+    def kernel(groups: list[tuple[str, str]], queries: pa.Table) -> pa.Table:
         ids, nearest = queries.column("set_id").to_pylist(), []
         for name in queries.column("name_n").to_pylist():
             matcher = SequenceMatcher(None, "", "")
@@ -43,7 +46,7 @@ def _similar_kernel(k: int):
             nearest.append([{"cost": cost, "group_id": gid} for cost, gid in best])
         return pa.table({"set_id": pa.array(ids, pa.string()), "nearest": pa.array(nearest, out_type)})
 
-    return kernel
+    return prepare
 
 
 def set_candidates(sets: DataFrame, groups: DataFrame, k: int = 8) -> DataFrame:
@@ -63,12 +66,11 @@ def set_candidates(sets: DataFrame, groups: DataFrame, k: int = 8) -> DataFrame:
         .join(groups.select("_gid", F.upper(F.trim("abbreviation")).alias("_abbr")), "_abbr")
         .select("_sid", "_gid")
     )
-    found, partial = map_blocks(
+    found = map_blocks(
         sets.select(F.col("_sid").alias("set_id"), "name_n"), groups.select(F.col("_gid").alias("group_id"), "name_n"),
         _similar_kernel(k), "set_id string, nearest array<struct<cost: double, group_id: string>>", "set_id", "group_id",
     )
-    if partial:
-        found = merge_nearest(found, "set_id", [], k)
+    found = merge_nearest(found, "set_id", [], k)
     by_name = found.select(F.col("set_id").alias("_sid"), F.explode("nearest").alias("n")).select("_sid", F.col("n.group_id").alias("_gid"))
     both = by_code.unionByName(by_name).distinct()
     return (

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitrine.functions import bits as B
-from vitrine.operators.blocks import BLOCK_ROWS, BROADCAST_ROWS, map_blocks, merge_nearest
+from vitrine.operators.blocks import map_blocks, merge_nearest
 
 _CELLS = 4_000_000  # distances held at once in a task
 
@@ -47,37 +47,33 @@ def _arrow_type(name: str) -> pa.DataType:
 
 def _nearest_kernel(
     k: int, n_words: int, query_id: str, ref_id: str, keep: list[str], carry: list[tuple[str, pa.DataType]],
-    id_type: pa.DataType, group: str | None, apart: str | None, self_out: bool, max_distance: int | None,
-    mask: np.ndarray | None, out_schema: pa.Schema,
+    id_type: pa.DataType, apart: str | None, self_out: bool, max_distance: int | None, mask: np.ndarray | None, out_schema: pa.Schema,
 ):
     fields = [("distance", pa.int64()), (ref_id, id_type), *carry]
-
-    def kernel(queries: pa.Table, refs: pa.Table) -> pa.Table:
-        refs = refs.sort_by(ref_id) if refs.num_rows else refs
-        n_r, n_q = refs.num_rows, queries.num_rows
-        counts = np.zeros(n_q, dtype=np.int32)
-        rows, dists = [], []
-        if n_r and n_q:
-            rw = word_matrix(refs.column("desc"), n_words)
-            qw = word_matrix(queries.column("desc"), n_words)
-            r_ids = refs.column(ref_id).to_numpy()
+    far = np.int64(1) << 40
+
+    def prepare(refs: pa.Table):
+        n_r = refs.num_rows
+        rw = word_matrix(refs.column("desc"), n_words) if n_r else None
+        r_ids = refs.column(ref_id).to_numpy()
+        apart_r = refs.column(apart).to_numpy() if apart else None
+        order = np.arange(n_r, dtype=np.int64)
+        step = max(1, _CELLS // max(1, n_r))
+
+        def kernel(queries: pa.Table) -> pa.Table:
+            n_q = queries.num_rows
+            counts = np.zeros(n_q, dtype=np.int32)
+            rows, dists = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            qw = word_matrix(queries.column("desc"), n_words) if n_r else None
             q_ids = queries.column(query_id).to_numpy()
-            group_r = refs.column(group).to_numpy() if group else None
-            group_q = queries.column(group).to_numpy() if group else None
-            apart_r = refs.column(apart).to_numpy() if apart else None
             apart_q = queries.column(apart).to_numpy() if apart else None
-            step = max(1, _CELLS // n_r)
-            order = np.arange(n_r, dtype=np.int64)
-            far = np.int64(1) << 40
-            for at in range(0, n_q, step):
+            for at in range(0, n_q if n_r else 0, step):
                 block = slice(at, min(n_q, at + step))
                 d = distances(qw[block], rw, mask)
                 # distance and reference order in one number: ties are exact
                 key = d.astype(np.int64) * n_r + order[None, :]
                 if self_out:
                     key[q_ids[block, None] == r_ids[None, :]] = far
-                if group:
-                    key[group_q[block, None] != group_r[None, :]] = far
                 if apart:
                     key[apart_q[block, None] == apart_r[None, :]] = far
                 if max_distance is not None:
@@ -92,29 +88,27 @@ def _nearest_kernel(
                 hit = key[ok]
                 rows.append(hit % n_r)
                 dists.append(hit // n_r)
-        where = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        dist = np.concatenate(dists) if dists else np.zeros(0, dtype=np.int64)
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        picked = refs.take(pa.array(where)) if n_r else None
-        columns = [pa.array(dist, pa.int64())]
-        for name, kind in fields[1:]:
-            columns.append(
-                picked.column(name).combine_chunks().cast(kind) if picked is not None else pa.array([], kind))
-        columns = [pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in columns]
-        struct = pa.StructArray.from_arrays(columns, names=[n for n, _ in fields])
-        nearest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
-        return pa.table(
-            [*(queries.column(x) for x in [query_id, *keep]), nearest], names=[query_id, *keep, "nearest"],
-        ).cast(out_schema)
-
-    return kernel
+            picked = refs.take(pa.array(np.concatenate(rows)))
+            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            columns = [pa.array(np.concatenate(dists), pa.int64())]
+            columns += [picked.column(name).cast(kind) for name, kind in fields[1:]]
+            columns = [(pa.concat_arrays(x.chunks) if x.num_chunks else pa.array([], x.type)) if isinstance(x, pa.ChunkedArray) else x for x in columns]
+            struct = pa.StructArray.from_arrays(columns, names=[n for n, _ in fields])
+            nearest = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
+            return pa.table(
+                [*(queries.column(x) for x in [query_id, *keep]), nearest], names=[query_id, *keep, "nearest"],
+            ).cast(out_schema)
+
+        return kernel
+
+    return prepare
 
 
 def hamming_nearest(
     queries: DataFrame, refs: DataFrame, k: int, n_words: int, query_id: str = "query_id", ref_id: str = "ref_id",
     keep: list[str] = (), carry: list[str] = (), group: str | None = None, apart: str | None = None,
     self_out: bool = False, max_distance: int | None = None, mask: list[int] | None = None,
-    broadcast_rows: int = BROADCAST_ROWS, block_rows: int = BLOCK_ROWS,
+    **blocks,
 ) -> DataFrame:
     """The k nearest references of every query, in one row per query.
 
@@ -124,8 +118,8 @@ def hamming_nearest(
     references of the same group, ``apart`` to ones with another value, and
     ``self_out`` leaves out the reference with the query's own id.
 
-    Exact on both paths of :func:`vitrine.operators.blocks.map_blocks`. Blocks are
-    cut by id, so copies of one descriptor spread over all of them.
+    Exact; further options go to :func:`vitrine.operators.blocks.map_blocks`. Blocks
+    are cut by id, so copies of one descriptor spread over all of them.
     """
     keep, carry = list(keep), list(carry)
     types = dict(refs.dtypes)
@@ -140,11 +134,10 @@ def hamming_nearest(
     out_schema = pa.schema([*[(x, _arrow_type(q_types[x])) for x in [query_id, *keep]], ("nearest", pa.list_(item))])
     kernel = _nearest_kernel(
         k, n_words, query_id, ref_id, keep, [(x, _arrow_type(types[x])) for x in carry], _arrow_type(types[ref_id]),
-        group, apart, self_out, max_distance, np_mask, out_schema,
+        apart, self_out, max_distance, np_mask, out_schema,
     )
-    out, partial = map_blocks(
-        queries.select(*q_cols), refs.select(*r_cols), kernel, schema, query_id, ref_id, broadcast_rows, block_rows)
-    return merge_nearest(out, query_id, keep, k) if partial else out
+    out = map_blocks(queries.select(*q_cols), refs.select(*r_cols), kernel, schema, query_id, ref_id, group=group, **blocks)
+    return merge_nearest(out, query_id, keep, k)
 
 
 def hamming_topk(queries: DataFrame, refs: DataFrame, k: int, n_words: int, engine: str = "arrow", **options) -> DataFrame:
@@ -161,24 +154,24 @@ def hamming_topk(queries: DataFrame, refs: DataFrame, k: int, n_words: int, engi
         query_id, F.col("n." + ref_id).alias(ref_id), F.col("n.distance").alias("distance"), (F.col("pos") + 1).cast("bigint").alias("rank"))
 
 
-def _topk_sql(queries, refs, k, query_id, ref_id, self_out, max_distance, max_refs: int = 20_000) -> DataFrame:
-    """Built-in expressions only: the references as one array literal row, folded per query.
+def _topk_sql(queries, refs, k, query_id, ref_id, self_out, max_distance) -> DataFrame:
+    """Built-in expressions only: blocks of references as array rows, folded per query, lists merged.
 
-    The references travel as one array, so this form is bounded by design and
-    refuses anything larger.
+    Queries go to every block by an equi-join on its number. Blocks are as many
+    as shuffle partitions, whatever the size.
     """
-    n = refs.count()
-    if n > max_refs:
-        raise ValueError(f"the sql engine takes up to {max_refs} references, got {n}")
-    packed = refs.agg(F.collect_list(F.struct(F.col(ref_id).alias("id"), F.col("desc").alias("d"))).alias("_refs")).withColumn("_one", F.lit(1))
-    both = queries.select(query_id, "desc", F.lit(1).alias("_one")).join(F.broadcast(packed), "_one")
+    blocks = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = refs.groupBy(F.pmod(F.xxhash64(ref_id), F.lit(blocks)).alias("_block")).agg(
+        F.collect_list(F.struct(F.col(ref_id).alias("id"), F.col("desc").alias("d"))).alias("_refs"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    both = queries.select(query_id, "desc", every.alias("_block")).join(packed, "_block")
     scored = F.transform("_refs", lambda r: F.struct(B.hamming(F.col("desc"), r["d"]).cast("bigint").alias("distance"), r["id"].alias("id")))
     if self_out:
         scored = F.filter(scored, lambda r: r["id"] != F.col(query_id))
     if max_distance is not None:
         scored = F.filter(scored, lambda r: r["distance"] <= max_distance)
-    best = F.slice(F.array_sort(scored), 1, k)
-    return both.select(query_id, F.posexplode(best).alias("pos", "n")).select(
+    lists = both.select(query_id, F.slice(F.array_sort(scored), 1, k).alias("nearest"))
+    return merge_nearest(lists, query_id, [], k).select(query_id, F.posexplode("nearest").alias("pos", "n")).select(
         query_id, F.col("n.id").alias(ref_id), "n.distance", (F.col("pos") + 1).cast("bigint").alias("rank"))
 
 
@@ -253,13 +246,15 @@ def distance_histogram(
     """
     bits = n_words * 64
 
-    def kernel(queries: pa.Table, refs: pa.Table) -> pa.Table:
-        counts = np.zeros((2, bits + 1), dtype=np.int64)
-        if queries.num_rows and refs.num_rows:
-            qw, rw = word_matrix(queries.column("desc"), n_words), word_matrix(refs.column("desc"), n_words)
-            qi, ri = queries.column("qid").to_numpy(), refs.column("rid").to_numpy()
-            ql, rl = queries.column("label").to_numpy(), refs.column("label").to_numpy()
-            step = max(1, _CELLS // len(rw))
+    def prepare(refs: pa.Table):
+        rw = word_matrix(refs.column("desc"), n_words) if refs.num_rows else np.zeros((0, n_words), dtype=np.uint64)
+        ri, rl = refs.column("rid").to_numpy(), refs.column("label").to_numpy()
+        step = max(1, _CELLS // max(1, len(rw)))
+
+        def kernel(queries: pa.Table) -> pa.Table:
+            counts = np.zeros((2, bits + 1), dtype=np.int64)
+            qw = word_matrix(queries.column("desc"), n_words)
+            qi, ql = queries.column("qid").to_numpy(), queries.column("label").to_numpy()
             for at in range(0, len(qw), step):
                 block = slice(at, at + step)
                 d = distances(qw[block], rw)
@@ -267,13 +262,15 @@ def distance_histogram(
                 same = ql[block, None] == rl[None, :]
                 counts[0] += np.bincount(d[once & ~same], minlength=bits + 1)
                 counts[1] += np.bincount(d[once & same], minlength=bits + 1)
-        same_at, dist = np.nonzero(counts)
-        return pa.table({
-            "same": pa.array(same_at == 1, pa.bool_()), "distance": pa.array(dist, pa.int64()), "pairs": pa.array(counts[same_at, dist], pa.int64())})
+            same_at, dist = np.nonzero(counts)
+            return pa.table({
+                "same": pa.array(same_at == 1, pa.bool_()), "distance": pa.array(dist, pa.int64()), "pairs": pa.array(counts[same_at, dist], pa.int64())})
+
+        return kernel
 
     rows = df.select(F.col(row_id).alias("qid"), "desc", F.col(label).alias("label"))
-    out, _ = map_blocks(
-        rows, rows.withColumnRenamed("qid", "rid"), kernel, "same boolean, distance bigint, pairs bigint", "qid", "rid", **options)
+    out = map_blocks(
+        rows, rows.withColumnRenamed("qid", "rid"), prepare, "same boolean, distance bigint, pairs bigint", "qid", "rid", **options)
     return out.groupBy("same", "distance").agg(F.sum("pairs").alias("pairs"))
 
 
