@@ -149,32 +149,37 @@ def _(spark, d):
     return rows.unionByName(quarantine.select("owner", F.lit("quarantined").alias("name")), allowMissingColumns=True)
 
 
-def _documents_table(spark, d, status):
-    return T.table(spark, d, "orders").filter(c("o_orderstatus") == status).select(
+def _documents_table(spark, d, *statuses):
+    return T.table(spark, d, "orders").filter(c("o_orderstatus").isin(*statuses)).select(
         (c("o_custkey") % 10).alias("user_id"), F.floor(c("o_orderkey") / 2).alias("collection_id"), c("o_totalprice").alias("body")).groupBy(
         "user_id", "collection_id").agg(F.max("body").alias("body"))
 
 
-def _docs_sql(status):
-    return f"SELECT o_custkey % 10 AS user_id, o_orderkey // 2 AS collection_id, max(o_totalprice) AS body FROM orders WHERE o_orderstatus = '{status}' GROUP BY 1, 2"
+def _docs_sql(*statuses):
+    status = "', '".join(statuses)
+    return f"SELECT o_custkey % 10 AS user_id, o_orderkey // 2 AS collection_id, max(o_totalprice) AS body FROM orders WHERE o_orderstatus IN ('{status}') GROUP BY 1, 2"
 
 
 @query("s14_save_collections", f"""
-WITH old AS ({_docs_sql('F')}), new AS ({_docs_sql('O')})
+WITH old AS ({_docs_sql('F', 'P')}), new AS ({_docs_sql('O')})
 SELECT user_id, collection_id, body FROM old WHERE user_id NOT IN (SELECT user_id FROM new) OR collection_id NOT IN (SELECT collection_id FROM new) UNION ALL SELECT * FROM new""")
 def _(spark, d):
     path = shared_path(spark, "collections")
-    _documents_table(spark, d, "F").write.partitionBy("user_id").parquet(path)
+    _documents_table(spark, d, "F", "P").write.partitionBy("user_id").parquet(path)
     SL.save_collections(_documents_table(spark, d, "O"), path)
     return spark.read.schema("collection_id BIGINT, body DOUBLE, user_id BIGINT").parquet(path)
 
 
 @query("s15_erase_owner", f"""
-WITH t AS ({_docs_sql('F')})
+WITH t AS ({_docs_sql('F', 'O', 'P')})
 SELECT 'before' AS state, count(*) FILTER (user_id = 7) AS owned, count(*) FILTER (user_id <> 7) AS others FROM t UNION ALL SELECT 'after', 0, count(*) FILTER (user_id <> 7) FROM t""")
 def _(spark, d):
-    before = _documents_table(spark, d, "F")
-    return SL.erasure_report(before, SL.erase_owner(before, 7), 7)
+    path = shared_path(spark, "owners")
+    table = _documents_table(spark, d, "F", "O", "P")
+    table.write.partitionBy("user_id").parquet(path)
+    SL.erase_stored_owner(spark, path, 7, "user_id")
+    kept = spark.read.schema("collection_id BIGINT, body DOUBLE, user_id BIGINT").parquet(path)
+    return SL.erasure_report(table, kept, 7)
 
 
 @query("s19_read_images")

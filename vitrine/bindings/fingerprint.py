@@ -120,17 +120,20 @@ def _(spark, d):
     return m.select("label", "n", F.array_join(B.unpack_bits(c("desc"), T.FP_BITS).cast("array<string>"), "").alias("bits"))
 
 
-# rows with equal diff bits of their first eight values: short prints that do collide
-_SHORT = "sh AS (SELECT row_id, substr(CAST(diffs AS VARCHAR), 1, 7) AS p FROM fp)"
+# rows with equal diff bits of the sums of eight values each: short prints that do collide
+_SHORT = """sums AS (SELECT vec_id AS row_id, list_transform(range(0, 8), lambda i: list_reduce(CAST(embedding[8 * i + 1 : 8 * i + 8] AS DOUBLE[]), lambda a, b: a + b)) AS s FROM embeddings),
+sh AS (SELECT row_id, array_to_string(list_transform(range(1, 8), lambda i: CAST(s[i + 1] > s[i] AS INTEGER)), '') AS p FROM sums)"""
 
 
 def short_prints(spark, d):
     e = T.table(spark, d, "embeddings")
-    first = F.slice(c("embedding").cast("array<double>"), 1, 8)
-    return e.select(c("vec_id").alias("row_id"), B.pack_bits(B.diff_bits(first), 7).alias("desc"))
+    values = c("embedding").cast("array<double>")
+    part = lambda i: F.aggregate(F.slice(values, i * 8 + 2, F.lit(7)), F.get(values, i * 8), lambda a, x: a + x)
+    sums = F.transform(F.sequence(F.lit(0), F.lit(7)), part)
+    return e.select(c("vec_id").alias("row_id"), B.pack_bits(B.diff_bits(sums), 7).alias("desc"))
 
 
-@query("a19_identical_twins", "WITH " + T.FP + ",\n" + _SHORT + """
+@query("a19_identical_twins", "WITH " + _SHORT + """
 SELECT row_id, first_row, copies FROM sh JOIN (SELECT p, count(*) AS copies, min(row_id) AS first_row FROM sh GROUP BY 1 HAVING count(*) > 1) USING (p)""")
 def _(spark, d):
     return H.twin_members(short_prints(spark, d))

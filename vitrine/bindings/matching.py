@@ -34,19 +34,20 @@ def _(spark, d):
 @query("q2_owned_filter", "WITH " + T.CARDS + ",\n" + T.PILE_LINES + """
 SELECT card_id, name FROM cards WHERE card_id NOT IN (SELECT card_id FROM lines WHERE quantity > 45)""")
 def _(spark, d):
-    piles = T.pile_lines(spark, d).filter(c("quantity") > 45)
+    # what is left when 45 of each line are sold
+    piles = T.pile_lines(spark, d).withColumn("quantity", c("quantity") - 45)
     return C.owned_filter(T.cards(spark, d), piles, "missing").select("card_id", "name")
 
 
-# what one buyer of expensive lines has started
+# all collections as one; everything of some sets is sold
 def _progress(spark, d):
-    piles = T.piles(spark, d).filter((c("collection_id") == "BUILDING") & (c("unit_price") > 5000))
+    piles = T.piles(spark, d).withColumn("quantity", F.when(c("set_id").endswith("1"), 0).otherwise(c("quantity")))
     return L.collection_progress(piles, L.set_totals(cards_released(spark, d)))
 
 
 _ONE = PROGRESS.replace("progress AS", "one AS").replace("p.collection_id, ", "").replace(
     "SELECT collection_id, set_id", "SELECT set_id").replace(
-    "FROM piles GROUP BY 1, 2", "FROM piles WHERE collection_id = 'BUILDING' AND unit_price > 5000 GROUP BY 1")
+    "FROM piles GROUP BY 1, 2", "FROM piles WHERE NOT ends_with(set_id, '1') GROUP BY 1")
 
 
 @query("q4_search_sets", "WITH " + T.PILES + ",\n" + SETS + ",\n" + _ONE + """
@@ -114,9 +115,9 @@ def _(spark, d):
 
 
 @query("q10_systematic_sample", """
-SELECT l_orderkey, l_linenumber, l_suppkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey WHERE rn % 7 = 0 AND rn < 7 * 500""")
+SELECT l_orderkey, l_linenumber, l_suppkey FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS rn FROM orders) JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_suppkey FROM lineitem) ON l_orderkey = o_orderkey WHERE rn % 7 = 0""")
 def _(spark, d):
-    picked = C.systematic_sample(T.table(spark, d, "orders"), "o_orderkey", F.floor(c("o_orderkey") / 100_000), 7, 500)
+    picked = C.systematic_sample(T.table(spark, d, "orders"), "o_orderkey", F.floor(c("o_orderkey") / 100_000), 7)
     li = T.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
     return li.join(picked.select(c("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
 
@@ -130,15 +131,15 @@ def _(spark, d):
 def _members(spark, d):
     left = T.table(spark, d, "part").select(c("p_brand").alias("set_id"), c("p_partkey").alias("member"))
     right = T.table(spark, d, "lineitem").select(c("l_suppkey").alias("group_id"), c("l_partkey").alias("member"))
-    # candidates: a supplier that sold a large, discounted lot of the brand
-    pairs = T.table(spark, d, "lineitem").filter((c("l_quantity") >= 50) & (c("l_discount") >= 0.095)).join(
+    # candidates: every supplier that ever sold a part of the brand
+    pairs = T.table(spark, d, "lineitem").join(
         T.table(spark, d, "part"), c("l_partkey") == c("p_partkey")).select(
         c("p_brand").alias("set_id"), c("l_suppkey").alias("group_id")).distinct()
     return left, right, pairs.withColumn("name_sim", F.lit(0.0))
 
 
 OVERLAP = """a AS (SELECT DISTINCT p_brand AS set_id, p_partkey AS member FROM part), b AS (SELECT DISTINCT l_suppkey AS group_id, l_partkey AS member FROM lineitem),
-cand AS (SELECT DISTINCT p_brand AS set_id, l_suppkey AS group_id FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50 AND l_discount >= 0.095),
+cand AS (SELECT DISTINCT p_brand AS set_id, l_suppkey AS group_id FROM lineitem JOIN part ON l_partkey = p_partkey),
 ov AS (SELECT set_id, group_id, count(*) AS shared, any_value(size) AS size, count(*) / any_value(size) AS overlap
   FROM cand JOIN a USING (set_id) JOIN b USING (group_id, member) JOIN (SELECT set_id, count(*) AS size FROM a GROUP BY 1) USING (set_id) GROUP BY 1, 2)"""
 REPORT = OVERLAP + """,
@@ -209,8 +210,8 @@ SELECT 'totals' AS section, NULL AS card_id, count(*) AS cards, count(product_id
   count(product_id) / count(*) * 100 AS matched_pct, count(*) FILTER (priced) / count(*) * 100 AS priced_pct FROM m
 UNION ALL (SELECT 'unpriced', CAST(card_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL FROM m WHERE NOT priced ORDER BY m.card_id LIMIT 6)""")
 def _(spark, d):
-    rows = T.table(spark, d, "lineitem").filter(c("l_discount") < 0.05).select(
-        (c("l_partkey") * 1000 + c("l_suppkey")).alias("product_id"), c("l_extendedprice").alias("market"))
+    rows = T.table(spark, d, "lineitem").select(
+        (c("l_partkey") * 1000 + c("l_suppkey")).alias("product_id"), F.when(c("l_discount") < 0.05, c("l_extendedprice")).alias("market"))
     return C.join_coverage(catalogue(spark, d), rows)
 
 
@@ -235,12 +236,13 @@ def _(spark, d):
     return C.mine_reprints(T.cards(spark, d), T.book(spark, d))
 
 
-_ASSETS = "assets AS (SELECT l_partkey AS card_id, CAST(max(l_extendedprice) AS BIGINT) // 40 AS bytes FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1)"
+_ASSETS = "assets AS (SELECT l_partkey AS card_id, CAST(max(CASE WHEN l_returnflag = 'N' THEN l_extendedprice ELSE 0 END) AS BIGINT) // 40 AS bytes FROM lineitem GROUP BY 1)"
 
 
 def assets(spark, d):
-    return T.table(spark, d, "lineitem").filter(c("l_returnflag") == "N").groupBy(c("l_partkey").alias("card_id")).agg(
-        F.floor(F.round(F.max("l_extendedprice")) / 40).alias("bytes"))
+    """Files of every card; one that was not fetched whole is empty."""
+    size = F.when(c("l_returnflag") == "N", c("l_extendedprice")).otherwise(0)
+    return T.table(spark, d, "lineitem").groupBy(c("l_partkey").alias("card_id")).agg(F.floor(F.round(F.max(size)) / 40).alias("bytes"))
 
 
 @query("j15_missing_assets", "WITH " + T.CARDS + ",\n" + _ASSETS + " SELECT card_id, name FROM cards WHERE card_id NOT IN (SELECT card_id FROM assets WHERE bytes > 2000)")
@@ -252,7 +254,8 @@ def _(spark, d):
 st AS (SELECT CASE WHEN card_id IN (SELECT card_id FROM assets WHERE bytes > 2000) THEN 'have' WHEN card_id IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.095) THEN 'dead' ELSE 'todo' END AS state FROM cards)
 SELECT state, count(*) AS n FROM st GROUP BY 1""")
 def _(spark, d):
-    dead = T.table(spark, d, "lineitem").filter(c("l_discount") > 0.095).select(c("l_partkey").alias("card_id"))
+    gone = F.max((c("l_discount") > 0.095).cast("int")) == 1
+    dead = T.table(spark, d, "lineitem").groupBy(c("l_partkey").alias("card_id")).agg(gone.alias("gone")).filter("gone")
     return C.fetch_worklist(T.cards(spark, d), assets(spark, d), dead).groupBy("state").agg(F.count("*").alias("n"))
 
 
@@ -290,8 +293,8 @@ def _(spark, d):
 p AS (SELECT l_partkey AS card_id, max(l_extendedprice) AS price FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
 SELECT card_id, price, 'primary' AS source FROM p UNION ALL SELECT card_id, retail, 'fallback' FROM cards WHERE card_id NOT IN (SELECT card_id FROM p)""")
 def _(spark, d):
-    primary = T.table(spark, d, "lineitem").filter(c("l_quantity") > 45).groupBy(c("l_partkey").alias("card_id")).agg(
-        F.max("l_extendedprice").alias("price"))
+    price = F.max(F.when(c("l_quantity") > 45, c("l_extendedprice")))
+    primary = T.table(spark, d, "lineitem").groupBy(c("l_partkey").alias("card_id")).agg(price.alias("price")).filter("price is not null")
     fallback = T.cards(spark, d).select("card_id", c("retail").alias("price"))
     verdict = T.table(spark, d, "part").agg((F.max("p_retailprice") < 5000).alias("accepted"))
     return C.fill_missing(primary, fallback, verdict)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,16 +43,17 @@ def audit_text(
     if path is not None:
         ext = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
         docs = docs.filter(~ext.isin(SKIP_EXTENSIONS))
-    table = F.array(*[
-        F.struct(F.lit(label).alias("label"), F.lit(severity).alias("severity"), F.lit(pattern).alias("pattern"))
+    body = F.col(text)
+    # Patterns are literals, compiled once. A text meets every rule up to its
+    # first match; only rules that match it then search it in full, in the row.
+    found = F.array_compact(F.array(*[
+        F.when(body.rlike(pattern), F.struct(
+            F.lit(label).alias("label"), F.lit(severity).alias("severity"), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("hits"),
+            F.transform(F.split(body, pattern, -1), _newlines).alias("gaps")))
         for label, pattern, severity in rules
-    ])
-    # Every text meets every rule once, and only up to its first match; texts
-    # that have one are then searched in full.
-    matched = docs.select(key, F.col(text).alias("_text"), F.inline(table)).filter(F.expr("_text RLIKE pattern"))
-    per_rule = matched.select(
-        key, "label", "severity", F.regexp_extract_all("_text", F.col("pattern"), F.lit(0)).alias("hits"),
-        F.transform(F.split(F.col("_text"), F.col("pattern"), -1), _newlines).alias("gaps"))
+    ]))
+    some = docs.filter(functools.reduce(lambda a, b: a | b, [body.rlike(pattern) for _, pattern, _ in rules]))
+    per_rule = some.select(key, F.inline(found))
     each = per_rule.select(
         key, "label", "severity", F.posexplode(F.arrays_zip("hits", F.slice("gaps", 1, F.size("hits")))).alias("n", "m"))
     each = each.select(key, "label", "severity", "n", F.col("m.hits").alias("hit"), F.col("m.1").alias("gap"))

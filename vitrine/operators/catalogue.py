@@ -194,7 +194,7 @@ def join_coverage(catalogue: DataFrame, rows: DataFrame, k: int = 6) -> DataFram
 
 # -- searches ------------------------------------------------------------------------
 def owned_filter(cards: DataFrame, piles: DataFrame, have: str) -> DataFrame:
-    owned = piles.select("card_id").distinct()
+    owned = piles.filter(F.col("quantity") > 0).select("card_id").distinct()
     return cards.join(owned, "card_id", {"owned": "left_semi", "missing": "left_anti"}[have])
 
 

@@ -70,8 +70,8 @@ def newest_first(sets: DataFrame) -> DataFrame:
 
 
 def collection_progress(piles: DataFrame, sets: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Owned against total per set; an unknown set counts what is owned as all of it."""
-    have = by_set(piles, by)
+    """Owned against total per set; an unknown set counts what is owned as all of it. Empty piles own nothing."""
+    have = by_set(piles.filter(F.col("quantity") > 0), by)
     return (
         have.join(sets.select("set_id", "total", "released"), "set_id", "left")
         .withColumn("have", F.col("distinct_cards"))

@@ -89,6 +89,17 @@ def erase_owner(df: DataFrame, user_id, owner: str = "user_id") -> DataFrame:
     return df.filter(~F.col(owner).eqNullSafe(F.lit(user_id)))
 
 
+def erase_stored_owner(spark: SparkSession, path: str, user_id, owner: str = "user_id") -> None:
+    """Delete an owner's folder from a table partitioned by owner; other owners' files are not touched.
+
+    Readers check the outcome with :func:`erasure_report` on the table read anew.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{owner}={user_id}")
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(where) and not files.delete(where, True):
+        raise OSError(f"could not delete {where}")
+
+
 def erasure_report(before: DataFrame, after: DataFrame, user_id, owner: str = "user_id") -> DataFrame:
     """Rows of the owner before and after, and rows of everybody else."""
     mine = F.col(owner).eqNullSafe(F.lit(user_id))
