@@ -29,8 +29,8 @@ def _(spark, d):
     p = products(spark, d)
     feed = T.price_feed(spark, d)
     suppliers = T.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    feed = feed.join(suppliers, c("product_id") == c("l_partkey")).withColumn("product_id", c("l_partkey") * 1000 + c("l_suppkey")).drop("l_partkey", "l_suppkey")
-    out = P.build_catalogue(name_sets(spark, d), cards, name_groups(spark, d), p, feed, _spec(spark, d), accept=0.3)["catalogue"]
+    sold = suppliers.select((c("l_partkey") * 1000 + c("l_suppkey")).alias("product_id"), c("l_partkey").alias("feed_product"))
+    out = P.build_catalogue(name_sets(spark, d), cards, name_groups(spark, d), p, feed, _spec(spark, d), 0.3, sold)["catalogue"]
     return out.select("card_id", "set_id", "name", "number", "product_id", "url", F.size("prices").alias("printings"))
 
 

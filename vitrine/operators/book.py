@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.scalar import PLAIN_FIRST
+from vitrine.operators.ordered import running
+from vitrine.session import settle
 
 
 def variant_map(rows: DataFrame, product: str = "product_id") -> DataFrame:
@@ -71,8 +73,9 @@ def overstatement(rows: DataFrame, card: str = "card_id") -> DataFrame:
     """How far the dearest printing overstates the default one.
 
     Over cards with more than one priced printing: median, p90 and max ratio
-    (ranks by ``percentile_disc``, so each is a ratio that occurs), and the
-    totals both ways.
+    (by rank, so each is a ratio that occurs), and the totals both ways. Ranks
+    come from counts per ratio, added up in chunks along the ratio: no task
+    holds all ratios.
     """
     rank = F.struct(plain_rank(F.col("variant")).alias("plain"), F.col("market"), F.col("variant"))
     per_card = (
@@ -81,14 +84,15 @@ def overstatement(rows: DataFrame, card: str = "card_id") -> DataFrame:
         .filter((F.col("n") > 1) & (F.col("plain") > 0))
         .withColumn("ratio", F.col("dear") / F.col("plain"))
     )
-    return per_card.agg(
-        F.count("*").alias("cards"),
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ratio)").alias("median_ratio"),
-        F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY ratio)").alias("p90_ratio"),
-        F.max("ratio").alias("max_ratio"),
-        F.sum(F.col("plain").cast("decimal(20,2)")).cast("double").alias("total_plain"),
-        F.sum(F.col("dear").cast("decimal(20,2)")).cast("double").alias("total_dear"),
-    )
+    money = lambda x: F.sum(F.col(x).cast("decimal(20,2)"))
+    by_ratio = settle(per_card.groupBy("ratio").agg(F.count("*").alias("n"), money("plain").alias("plain"), money("dear").alias("dear")))
+    upto = running(by_ratio, [], ["ratio"], F.floor(F.log2("ratio") * 64), sums={"upto": F.col("n")})
+    total = by_ratio.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cards")).withColumn("_one", F.lit(1))
+    at = lambda share: F.min(F.when(F.col("upto") >= F.col("cards") * share, F.col("ratio")))
+    ranked = total.join(upto.withColumn("_one", F.lit(1)), "_one", "left")
+    return ranked.agg(
+        F.max("cards").alias("cards"), at(0.5).alias("median_ratio"), at(0.9).alias("p90_ratio"), F.max("ratio").alias("max_ratio"),
+        F.sum("plain").cast("double").alias("total_plain"), F.sum("dear").cast("double").alias("total_dear"))
 
 
 def fan_out_prices(price_rows: DataFrame, cards: DataFrame, product: str = "product_id") -> DataFrame:

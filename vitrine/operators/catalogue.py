@@ -290,14 +290,14 @@ def fill_missing(primary: DataFrame, fallback: DataFrame, accepted: DataFrame, k
 
 
 # -- dimension interning --------------------------------------------------------------
-def intern_dimension(cards: DataFrame, key: str, attrs: list[str], row: str) -> tuple[DataFrame, DataFrame]:
+def intern_dimension(cards: DataFrame, key: str, attrs: list[str], row: str, chunk: int = 100_000) -> tuple[DataFrame, DataFrame]:
     """Facts with a dense index for ``key`` and the dimension it points into.
 
-    Indexes follow first appearance. The window runs over the dimension, which
-    has one row per key, after the facts have been folded.
+    Indexes follow first appearance, by the numeric ``row``; the dimension is
+    numbered in chunks of ``chunk`` rows of the facts.
     """
     dim = cards.groupBy(key).agg(F.min(row).alias("_first"), *[F.min_by(a, row).alias(a) for a in attrs])
-    dim = dim.withColumn("idx", (F.row_number().over(W.orderBy("_first", key)) - 1).cast("bigint")).drop("_first")
+    dim = row_index(dim, [], ["_first", key], F.floor(F.col("_first") / chunk), "idx").drop("_first")
     facts = cards.drop(*attrs).join(dim.select(key, "idx"), key).drop(key)
     return facts, dim
 

@@ -20,22 +20,35 @@ def pack_offsets(blobs: DataFrame, order_by: str, len_col: str, bucket: Column |
     return out.withColumn("off", F.col("_end") - F.col("len")).drop("_end")
 
 
-def read_ranges(pack: DataFrame, offsets: DataFrame, row: str = "row_id", content: str = "content") -> DataFrame:
+def read_ranges(
+    pack: DataFrame, offsets: DataFrame, row: str = "row_id", content: str = "content", start: str | None = None, chunk_bytes: int = 1 << 20,
+) -> DataFrame:
     """The bytes of every range of a pack; NULL for an empty range.
 
-    ``pack`` has one row per pack file (``pack_id, content``), ``offsets`` name
-    their pack. A pack's ranges meet its content once and are cut inside the
-    row, so the content itself is never copied per range.
+    ``pack`` has a pack's ``content`` in one row, or in several with the place
+    of their first byte in ``start``; ``offsets`` name their pack. Contents are
+    cut into chunks, a range meets the chunks it touches in an equi-join, and
+    its pieces are put together again: a pack of any size with any number of
+    ranges is many small tasks.
     """
-    per_pack = offsets.groupBy("pack_id").agg(F.collect_list(F.struct(row, "off", "len")).alias("_ranges"))
-    cut = F.transform(
-        "_ranges",
-        lambda r: F.struct(
-            r[row].alias(row), r["len"].alias("len"),
-            F.when(r["len"] > 0, F.substring(F.col(content), (r["off"] + 1).cast("int"), r["len"].cast("int"))).alias("data"),
-        ),
-    )
-    return pack.select("pack_id", content).join(per_pack, "pack_id").select("pack_id", F.inline(cut))
+    base = F.col(start).cast("bigint") if start else F.lit(0).cast("bigint")
+    rows = pack.select("pack_id", base.alias("_at"), F.col(content).alias("_bytes"))
+    first, last = F.expr(f"_at div {chunk_bytes}"), F.expr(f"(_at + octet_length(_bytes) - 1) div {chunk_bytes}")
+    rows = rows.filter(F.octet_length("_bytes") > 0).select("*", F.explode(F.sequence(first, last)).alias("_chunk"))
+    begin = F.greatest(F.col("_at"), F.col("_chunk") * chunk_bytes)
+    cut = F.substring("_bytes", (begin - F.col("_at") + 1).cast("int"), ((F.col("_chunk") + 1) * chunk_bytes - begin).cast("int"))
+    chunks = rows.select("pack_id", "_chunk", begin.alias("_begin"), cut.alias("_piece"))
+    wanted = offsets.select("pack_id", row, F.col("off").cast("bigint").alias("_off"), F.col("len").cast("bigint").alias("len"))
+    touched = F.sequence(F.expr(f"_off div {chunk_bytes}"), F.expr(f"(_off + len - 1) div {chunk_bytes}"))
+    touching = wanted.filter("len > 0").select("*", F.explode(touched).alias("_chunk"))
+    low = F.greatest(F.col("_off"), F.col("_begin"))
+    high = F.least(F.col("_off") + F.col("len"), F.col("_begin") + F.octet_length("_piece"))
+    part = F.substring("_piece", (low - F.col("_begin") + 1).cast("int"), (high - low).cast("int"))
+    parts = touching.join(chunks, ["pack_id", "_chunk"]).filter(high > low).groupBy("pack_id", row, "_off", "len").agg(
+        F.array_sort(F.collect_list(F.struct(low.alias("at"), part.alias("data")))).alias("_parts"))
+    data = F.aggregate("_parts", F.lit(b""), lambda acc, p: F.concat(acc, p["data"]))
+    read = parts.select("pack_id", row, "_off", "len", data.alias("data"))
+    return wanted.join(read, ["pack_id", row, "_off", "len"], "left").select("pack_id", row, "len", "data")
 
 
 def is_webp(head: Column) -> Column:

@@ -12,14 +12,19 @@ from vitrine.operators import hamming as H
 from vitrine.operators import history as HI
 from vitrine.operators import piles as L
 from vitrine.operators import rank as R
+from vitrine.session import settle
 from vitrine.sources import prices as SP
 
 
 def build_catalogue(
     sets: DataFrame, cards: DataFrame, groups: DataFrame, products: DataFrame, feed: DataFrame, spec: DataFrame, accept: float = 0.5,
+    sold_as: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Match sets to groups, attach products and prices, add the supplement.
 
+    The feed is folded before anything is joined to it; ``sold_as``
+    (``product_id, feed_product``) then hands its prices to the products.
+    The report and the prices serve several results, so they are stored once.
     Returns the catalogue, the match report and the coverage.
     """
     from vitrine.functions import scalar as S
@@ -27,10 +32,13 @@ def build_catalogue(
     candidates = C.set_candidates(sets, groups)
     left = cards.select("set_id", S.norm_number(F.col("number")).alias("member"))
     right = products.select("group_id", S.norm_number(F.col("number")).alias("member"))
-    report = C.verified_match(left, right, candidates, accept)
+    report = settle(C.verified_match(left, right, candidates, accept))
     joined = C.attach_products(cards, products, report)
     extra, absent = C.sealed_supplement(products, groups, spec)
     prices = SP.read_price_feed(feed)
+    if sold_as is not None:
+        prices = prices.withColumnRenamed("product_id", "feed_product").join(sold_as, "feed_product").drop("feed_product")
+    prices = settle(prices)
     catalogue = joined.withColumn("card_id", F.col("card_id").cast("string")).unionByName(extra, allowMissingColumns=True)
     catalogue = catalogue.join(P.variant_map(prices), "product_id", "left")
     return {"catalogue": catalogue, "report": report, "absent": absent, "coverage": C.join_coverage(catalogue.drop("prices"), prices)}
