@@ -90,3 +90,13 @@ def test_keep_one_keeps_a_row_of_each_component(spark):
 def test_empty_table(spark):
     assert simhash.components(documents(spark, [])).count() == 0
     assert simhash.keep_one(documents(spark, [])).count() == 0
+
+
+def test_many_links_are_held_as_a_forest(monkeypatch):
+    random = np.random.default_rng(4)
+    rows = np.unique(random.integers(0, 1 << 9, 120, dtype=np.int64))
+    starts = np.array([0, 40])
+    whole = simhash._link_files(rows, starts)
+    monkeypatch.setattr(simhash, "_HELD_LINKS", 5)
+    for a, b in zip(whole, simhash._link_files(rows, starts)):
+        assert (a == b).all()

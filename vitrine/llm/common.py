@@ -8,9 +8,23 @@ from pyspark.sql import functions as F
 from vitrine.session import ship_package
 
 
+BATCH_BYTES = "4m"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make this package importable in tasks, and bound what a task holds of long texts.
+
+    A batch of rows that goes to Python is cut by its bytes, not only by its
+    10,000 rows, unless the session says otherwise.
+    """
+    ship_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, with this package importable in its tasks."""
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

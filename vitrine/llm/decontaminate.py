@@ -56,7 +56,7 @@ class _Words(dict):
     """A chunk between white space as one number: plain code, kind, and whether a sentence ends; -1 if it is no word."""
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         word = _EDGE.sub("", chunk)
         if not re.search(r"\w|[%°$€£]", word):

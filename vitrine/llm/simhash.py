@@ -32,6 +32,7 @@ MAX_BITS = 3
 SHINGLE = 3
 SEED = 42
 _STEP = 1 << 15
+_HELD_LINKS = 200_000
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -99,18 +100,27 @@ def _link_files(rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     n = len(rows)
     size = np.diff(np.append(starts, n))
     left = np.repeat(starts + size, size) - np.arange(n)  # rows from here to the file's end
-    found_i, found_j = [], []
+    links, waiting = (np.empty(0, np.int64), np.empty(0, np.int64)), 0
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def forest() -> tuple[np.ndarray, np.ndarray]:
+        i, j = (np.concatenate(x) for x in zip(links, *found))
+        label = _forest(i, j, n)
+        moved = np.flatnonzero(label != np.arange(n))
+        return moved, label[moved]
+
     at = np.arange(n)
     for step in range(1, int(size.max())):
         at = at[left[at] > step]
         close = np.bitwise_count(rows[at] ^ rows[at + step]) <= MAX_BITS
-        found_i.append(at[close])
-        found_j.append(at[close] + step)
-    if not found_i:
+        found.append((at[close], at[close] + step))
+        waiting += len(found[-1][0])
+        if waiting > _HELD_LINKS:  # many links of few rows: a forest of them says the same
+            links, found, waiting = forest(), [], 0
+    if not waiting and not len(links[0]):
         return rows[:0], rows[:0]
-    label = _forest(np.concatenate(found_i), np.concatenate(found_j), n)
-    moved = np.flatnonzero(label != np.arange(n))
-    return rows[moved], rows[label[moved]]
+    i, j = forest()
+    return rows[i], rows[j]
 
 
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

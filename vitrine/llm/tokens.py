@@ -32,7 +32,7 @@ def _byte_letters() -> dict[int, str]:
 class WordIds:
     """``encode(text)``: ids as little-endian unsigned 32-bit numbers."""
 
-    def __init__(self, tokenizer: str = TOKENIZER, kept: int = 600_000):
+    def __init__(self, tokenizer: str = TOKENIZER, kept: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
         from tokenizers import Tokenizer
