@@ -74,6 +74,25 @@ def _(spark, d):
     return out["history"]
 
 
-@query("p7_evaluate", EV.ORACLES["a16_distance_profile"])
+# name of each part, its query, the column that names its rows, and its measures
+_PARTS = {
+    "sweep": ("a13_threshold_sweep", "gate", ["total", "good", "refused", "flagged", "wrong", "misquoted", "good_pct", "wrong_pct"]),
+    "profile": ("a16_distance_profile", "correct", ["n", "median", "p90", "p99", "suggested_gate", "rejected"]),
+    "outcomes": ("a15_outcome_sweep", "margin", ["exact", "flagged", "silent", "refused", "silent_money"]),
+    "sections": ("a20_section_profile", "name", ["reads", "of", "mean", "pct", "ok"]),
+    "expected": ("a25_evaluation_summary", None, ["total", "correct", "missed", "mean_ms"]),
+}
+
+
+def _part_sql(section):
+    name, item, measures = _PARTS[section]
+    names = ", ".join(f"'{m}'" for m in measures)
+    values = ", ".join(f'CAST("{m}" AS DOUBLE)' for m in measures)
+    return f"""SELECT '{section}' AS section, {f'CAST("{item}" AS VARCHAR)' if item else "'all'"} AS item,
+  unnest([{names}]) AS measure, unnest([{values}]) AS value FROM ({EV.ORACLES[name]})"""
+
+
+@query("p7_evaluate", "\nUNION ALL\n".join(map(_part_sql, _PARTS)))
 def _(spark, d):
-    return P.evaluate(EV.reads(spark, d), EV.GATES)["profile"]
+    more = {s: (EV.QUERIES[name](spark, d), item) for s, (name, item, _) in _PARTS.items() if s not in ("sweep", "profile")}
+    return P.evaluate(EV.reads(spark, d), EV.GATES, **more)

@@ -285,7 +285,10 @@ def _(spark, d):
     return A.audit_verdict(_findings(spark, d))
 
 
-@query("v5_validate_source")
+@query("v5_validate_source", "WITH " + T.FP + """,
+s AS (SELECT row_id FROM fp ORDER BY md5(row_id || ':5'), row_id LIMIT 40),
+d AS (SELECT row_id, len(list_filter(range(0, 127), lambda i: CAST('0x' || substr(md5(row_id || ':' || i || ':3'), 1, 8) AS BIGINT) / 4294967296::DOUBLE < 0.05::DOUBLE)) AS bits FROM s)
+SELECT count(*) AS compared, quantile_cont(bits, 0.5) AS median_bits, quantile_cont(bits, 0.5) < 120 AS accepted FROM d""")
 def _(spark, d):
     fp = T.fingerprints(spark, d)
     return A.validate_source(fp, H.corrupt_bits(fp, 0, 127, 0.05, 3, T.FP_WORDS), T.FP_WORDS)

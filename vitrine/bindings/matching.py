@@ -122,7 +122,7 @@ def _(spark, d):
     return li.join(picked.select(c("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
 
 
-@query("q10_seeded_sample")
+@query("q10_seeded_sample", "SELECT p_partkey, p_name FROM part ORDER BY md5(p_partkey || ':7'), p_partkey LIMIT 100")
 def _(spark, d):
     return C.seeded_sample(T.table(spark, d, "part"), "p_partkey", 100, 7).select("p_partkey", "p_name")
 

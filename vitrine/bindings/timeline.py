@@ -70,8 +70,14 @@ MERGED = SIDES + ",\n" + TOMBS + ",\n" + _merge_sql()
 
 
 def merged(spark, d):
-    removed = R.merge_tombstones(tombstones(spark, d, "O"), tombstones(spark, d, "P"), ["collection_id"])
-    return R.merge_replicas(side(spark, d, "F"), side(spark, d, "O"), side(spark, d, "P"), removed)
+    """All three sides, and both sides' removals, told apart in one scan each."""
+    origin = lambda **sides: F.element_at(F.create_map(*[x for k, v in sides.items() for x in (F.lit(k), F.lit(v))]), c("origin"))
+    lines = T.pile_lines(spark, d).withColumn("_side", origin(F=R.MINE, O=R.THEIRS, P=R.BASE))
+    gone = lines.filter((c("origin") != "F") & c("grader").isNull() & c("needs_printing"))
+    gone = gone.withColumn("_side", origin(O=R.THEIRS, P=R.MINE)).select(
+        "collection_id", "_side", F.explode(F.array("key", c("card_id").cast("string"))).alias("k"), "updated_at")
+    gone = gone.groupBy("collection_id", "k", "_side").agg((F.max("updated_at") + F.expr("INTERVAL 365 DAYS")).alias("removed_at"))
+    return R.merge_tagged(T.fold_lines(lines, "collection_id", "_side"), R.merge_tagged_tombstones(gone, ["collection_id"]))
 
 
 @query("j7_merge_replicas", "WITH " + MERGED + " SELECT collection_id, key, " + ", ".join(ATTRS) + ", updated_at, quantity FROM merged")

@@ -244,7 +244,7 @@ def systematic_sample(df: DataFrame, order: str, bucket: Column, step: int, n: i
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """The same n pseudo-random rows for the same seed, whatever the partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key), F.lit(seed))), key).limit(n)
 
 
 # -- assets ---------------------------------------------------------------------------

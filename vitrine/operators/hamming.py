@@ -367,7 +367,8 @@ def corrupt_bits(refs: DataFrame, first: int, length: int, rate: float, seed: in
             continue
 
         def flip(acc, at):
-            draw = F.pmod(F.xxhash64(F.col(key), at, F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+            drawn = F.substring(F.md5(F.concat_ws(":", F.col(key), at, F.lit(seed))), 1, 8)
+            draw = F.conv(drawn, 16, 10).cast("double") / 2.0**32
             bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(63) - F.pmod(at, F.lit(64)))
             return acc.bitwiseOR(F.when(draw < rate, bit).otherwise(F.lit(0).cast("bigint")))
 

@@ -192,29 +192,22 @@ def set_quantity(piles: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
-def rekey(piles: DataFrame, moved: DataFrame) -> DataFrame:
-    """Replace moved piles under their new keys, merging collisions.
-
-    ``moved`` holds the rows of ``piles`` that change, with ``key`` still the
-    old one, ``new_key`` the new one, all attributes already updated and
-    ``changed_at``. Only the movers are aggregated; the ledger meets them in two
-    joins on the same key. Quantities add, attributes follow the mover; of
-    several, one that came from another key, then the latest.
+def rekey(piles: DataFrame, marked: DataFrame) -> DataFrame:
+    """Put moved piles under their new keys, merging collisions.
+
+    ``marked`` has every row of ``piles``; those that change carry ``changed_at``,
+    a ``new_key`` and their attributes already updated, the others NULL in both.
+    One aggregate by the key a row ends up under does the rest: quantities add,
+    attributes follow the mover; of several, one that came from another key,
+    then the latest.
     """
     attrs = [*attrs_of(piles), "added_at"]
-    stay = piles.join(moved.select("collection_id", "key"), ["collection_id", "key"], "left_anti")
-    order = F.struct((F.col("new_key") != F.col("key")).alias("m"), "changed_at", "key")
-    landed = moved.groupBy("collection_id", "new_key").agg(
-        F.max_by(F.struct(*attrs), order).alias("_a"), F.sum("quantity").alias("_q"), F.max_by("changed_at", order).alias("_at"),
-    ).withColumnRenamed("new_key", "key")
-    out = stay.join(landed, ["collection_id", "key"], "full_outer")
-    arrived = F.col("_a").isNotNull()
-    for a in attrs:
-        out = out.withColumn(a, F.when(arrived, F.col("_a." + a)).otherwise(F.col(a)))
-    return (
-        out.withColumn("quantity", F.coalesce("quantity", F.lit(0)) + F.coalesce("_q", F.lit(0)))
-        .withColumn("updated_at", F.coalesce("_at", "updated_at")).select(*piles.columns)
-    )
+    moved = F.col("changed_at").isNotNull()
+    order = F.struct(moved.alias("moved"), F.coalesce(F.col("new_key") != F.col("key"), F.lit(False)).alias("m"), "changed_at", "key")
+    kept = F.struct(*attrs, F.coalesce("changed_at", "updated_at").alias("updated_at"))
+    out = marked.groupBy("collection_id", F.coalesce("new_key", "key").alias("_to")).agg(
+        F.max_by(kept, order).alias("_a"), F.sum("quantity").alias("quantity"))
+    return out.select("collection_id", F.col("_to").alias("key"), "_a.*", "quantity").select(*piles.columns)
 
 
 def _one_change(changes: DataFrame) -> DataFrame:
@@ -225,16 +218,26 @@ def _one_change(changes: DataFrame) -> DataFrame:
     )
 
 
+def _changed(piles: DataFrame, changes: DataFrame, values: dict[str, Column], in_place: bool = True) -> DataFrame:
+    """Every pile once; the ones with a change get its ``values``, ``changed_at`` and ``new_key``.
+
+    With ``in_place`` a change that leaves the key alone still counts.
+    """
+    out = piles.join(_one_change(changes), ["collection_id", "key"], "left")
+    hit = F.col("_ch").isNotNull()
+    out = out.withColumns({name: F.when(hit, value).otherwise(F.col(name)) for name, value in values.items()})
+    to = S.pile_key(F.col("card_id"), F.col("variant"), F.col("condition"), F.col("grader"), F.col("score"))
+    out = out.withColumn("new_key", F.when(hit, to))
+    if not in_place:
+        out = out.withColumn("new_key", F.when(F.col("new_key") != F.col("key"), F.col("new_key")))
+    changed = F.when(F.col("new_key").isNotNull(), F.col("_ch.changed_at"))
+    return out.withColumn("changed_at", changed).drop("_ch")
+
+
 def regrade(piles: DataFrame, changes: DataFrame) -> DataFrame:
     """``changes``: ``collection_id, key, grader, score, changed_at``; NULL clears."""
-    moved = (
-        piles.join(_one_change(changes), ["collection_id", "key"])
-        .withColumn("grader", F.col("_ch.grader")).withColumn("score", F.col("_ch.score"))
-        .withColumn("changed_at", F.col("_ch.changed_at"))
-        .withColumn("new_key", S.pile_key(F.col("card_id"), F.col("variant"), F.col("condition"), F.col("grader"), F.col("score")))
-        .drop("_ch")
-    )
-    return rekey(piles, moved.filter(F.col("new_key") != F.col("key")))
+    values = {"grader": F.col("_ch.grader"), "score": F.col("_ch.score")}
+    return rekey(piles, _changed(piles, changes, values, in_place=False))
 
 
 def reclassify(piles: DataFrame, changes: DataFrame) -> DataFrame:
@@ -244,32 +247,16 @@ def reclassify(piles: DataFrame, changes: DataFrame) -> DataFrame:
     replaced. Only a change of variant clears ``needs_printing``. A pile whose
     key stays the same is changed in place.
     """
-    changed = (
-        piles.join(_one_change(changes), ["collection_id", "key"])
-        .withColumn("needs_printing", F.when(F.col("_ch.new_variant").isNotNull(), F.lit(False)).otherwise(F.col("needs_printing")))
-        .withColumn("variant", F.coalesce("_ch.new_variant", "variant"))
-        .withColumn("condition", F.coalesce("_ch.new_condition", "condition"))
-        .withColumn("unit_price", F.when(F.col("_ch.set_price"), F.col("_ch.new_price")).otherwise(F.col("unit_price")))
-        .withColumn("changed_at", F.col("_ch.changed_at"))
-        .withColumn("new_key", S.pile_key(F.col("card_id"), F.col("variant"), F.col("condition"), F.col("grader"), F.col("score")))
-        .drop("_ch")
-    )
-    return rekey(piles, changed)
+    return rekey(piles, _changed(piles, changes, {
+        "needs_printing": F.when(F.col("_ch.new_variant").isNotNull(), F.lit(False)).otherwise(F.col("needs_printing")),
+        "variant": F.coalesce("_ch.new_variant", "variant"), "condition": F.coalesce("_ch.new_condition", "condition"),
+        "unit_price": F.when(F.col("_ch.set_price"), F.col("_ch.new_price")).otherwise(F.col("unit_price"))}))
 
 
 def repoint(piles: DataFrame, changes: DataFrame) -> DataFrame:
     """``changes`` name a pile and the card columns it should have had."""
-    card_columns = [x for x in ("card_id", "variant", "name", "number", "set_id", "set_name", "rarity", "unit_price")
-                    if x in changes.columns]
-    moved = piles.join(_one_change(changes), ["collection_id", "key"])
-    for x in card_columns:
-        moved = moved.withColumn(x, F.col("_ch." + x))
-    moved = (
-        moved.withColumn("needs_printing", F.lit(False)).withColumn("changed_at", F.col("_ch.changed_at"))
-        .withColumn("new_key", S.pile_key(F.col("card_id"), F.col("variant"), F.col("condition"), F.col("grader"), F.col("score")))
-        .drop("_ch")
-    )
-    return rekey(piles, moved)
+    columns = [x for x in ("card_id", "variant", "name", "number", "set_id", "set_name", "rarity", "unit_price") if x in changes.columns]
+    return rekey(piles, _changed(piles, changes, {**{x: F.col("_ch." + x) for x in columns}, "needs_printing": F.lit(False)}))
 
 
 def apply_deltas(piles: DataFrame, deltas: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vitrine.operators.piles import attrs_of
 
 # mine wins ties: a higher number is preferred
-_MINE, _THEIRS, _BASE = 2, 1, 0
+MINE, THEIRS, BASE = 2, 1, 0
 
 
 def _tag(df: DataFrame, side: int) -> DataFrame:
@@ -22,7 +22,10 @@ def _tag(df: DataFrame, side: int) -> DataFrame:
 
 def merge_tombstones(theirs: DataFrame, mine: DataFrame, keys: list[str]) -> DataFrame:
     """Union of removals; mine overrides theirs even when it is older."""
-    both = _tag(theirs, _THEIRS).unionByName(_tag(mine, _MINE))
+    return merge_tagged_tombstones(_tag(theirs, THEIRS).unionByName(_tag(mine, MINE)), keys)
+
+
+def merge_tagged_tombstones(both: DataFrame, keys: list[str]) -> DataFrame:
     return both.groupBy(*keys, "k").agg(F.max_by("removed_at", F.struct("_side", "removed_at")).alias("removed_at"))
 
 
@@ -39,24 +42,25 @@ def _live_tombstones(tombstones: DataFrame) -> DataFrame:
 def merge_replicas(
     mine: DataFrame, theirs: DataFrame, base: DataFrame, tombstones: DataFrame, keys: list[str] = ["collection_id"],
 ) -> DataFrame:
-    """Piles of two replicas that share an ancestor.
+    """Piles of two replicas that share an ancestor, see :func:`merge_tagged`."""
+    united = _tag(mine, MINE).unionByName(_tag(theirs, THEIRS)).unionByName(_tag(base, BASE))
+    return merge_tagged(united, tombstones, keys)
+
+
+def merge_tagged(piles: DataFrame, tombstones: DataFrame, keys: list[str] = ["collection_id"]) -> DataFrame:
+    """Merge piles of all three sides, told apart by ``_side``, in one aggregate.
 
     Quantity is ``mine + theirs - base``, clamped at zero; attributes follow the
     newer side, mine on a tie; a tombstone at or after the last touch removes;
     keys known to the base alone are gone.
     """
-    attrs = [a for a in [*attrs_of(mine), "added_at"] if a in mine.columns]
-    cols = [*keys, "key", *attrs, "quantity", "updated_at"]
-    united = (
-        _tag(mine.select(cols), _MINE).unionByName(_tag(theirs.select(cols), _THEIRS))
-        .unionByName(_tag(base.select(cols), _BASE))
-        .withColumn("_removed", F.lit(None).cast("timestamp"))
-    )
+    attrs = [a for a in [*attrs_of(piles), "added_at"] if a in piles.columns]
+    united = piles.select(*keys, "key", *attrs, "quantity", "updated_at", "_side").withColumn("_removed", F.lit(None).cast("timestamp"))
     marks = _live_tombstones(tombstones).select(*keys, F.col("k").alias("key"), F.col("removed_at").alias("_removed"))
     united = united.unionByName(marks.withColumn("_side", F.lit(-1)), allowMissingColumns=True)
     side = F.col("_side")
-    live = side >= _THEIRS
-    signed = F.when(live, F.col("quantity")).when(side == _BASE, -F.col("quantity")).otherwise(F.lit(0))
+    live = side >= THEIRS
+    signed = F.when(live, F.col("quantity")).when(side == BASE, -F.col("quantity")).otherwise(F.lit(0))
     merged = united.groupBy(*keys, "key").agg(
         F.max_by(F.struct(*attrs, "updated_at"), F.when(live, F.struct("updated_at", "_side"))).alias("a"),
         F.sum(signed).alias("quantity"),
@@ -72,7 +76,7 @@ def merge_replicas(
 def merge_wants(a: DataFrame, b: DataFrame, tombstones: DataFrame, keys: list[str] = ["collection_id"]) -> DataFrame:
     """Union of want lists; the newer record wins, the first side on a tie."""
     values = [x for x in a.columns if x not in (*keys, "card_id")]
-    both = _tag(a, _MINE).unionByName(_tag(b, _THEIRS))
+    both = _tag(a, MINE).unionByName(_tag(b, THEIRS))
     newest = both.groupBy(*keys, "card_id").agg(
         F.max_by(F.struct(*values), F.struct("added_at", "_side")).alias("w")
     ).select(*keys, "card_id", "w.*")
@@ -86,7 +90,7 @@ def merge_wants(a: DataFrame, b: DataFrame, tombstones: DataFrame, keys: list[st
 
 def merge_history(a: DataFrame, b: DataFrame, keys: list[str] = ["collection_id"]) -> DataFrame:
     """Union by day; the larger value wins, the first side on a tie."""
-    both = _tag(a, _MINE).unionByName(_tag(b, _THEIRS))
+    both = _tag(a, MINE).unionByName(_tag(b, THEIRS))
     values = [x for x in a.columns if x not in (*keys, "day")]
     return both.groupBy(*keys, "day").agg(
         F.max_by(F.struct(*values), F.struct("value", "_side")).alias("p")

@@ -97,8 +97,20 @@ def apply_book(piles: DataFrame, wants: DataFrame, book: DataFrame, history: Dat
     }
 
 
-def evaluate(reads: DataFrame, gates: list[int], margins: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Threshold sweep, distance profile and costliest misquotes of one set of reads."""
-    return {
-        "sweep": E.threshold_sweep(reads, gates), "profile": E.distance_profile(reads), "misquotes": E.misquotes(reads),
-    }
+def evaluate(reads: DataFrame, gates: list[int], **parts: tuple[DataFrame, str | None]) -> DataFrame:
+    """One report of an evaluation: ``section, item, measure, value``.
+
+    The threshold sweep and the distance profile come from ``reads``, which are
+    stored once; ``parts`` adds further tables (outcomes by margin, section
+    profiles, expected cases) by name, each with the column that names its rows.
+    """
+    reads = settle(reads)
+    tables = {"sweep": (E.threshold_sweep(reads, gates), "gate"), "profile": (E.distance_profile(reads), "correct"), **parts}
+    out = None
+    for section, (table, item) in tables.items():
+        values = [x for x in table.columns if x != item]
+        melted = table.select(
+            F.lit(section).alias("section"), (F.col(item).cast("string") if item else F.lit("all")).alias("item"),
+            F.inline(F.array(*[F.struct(F.lit(x).alias("measure"), F.col(x).cast("double").alias("value")) for x in values])))
+        out = melted if out is None else out.unionByName(melted)
+    return out
