@@ -13,7 +13,7 @@ from vitrine.bindings.reg import registrar
 from vitrine.operators import history as H
 from vitrine.operators import piles as L
 from vitrine.operators import replicas as R
-from vitrine.session import shared_path
+from vitrine.session import settle, shared_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -22,8 +22,9 @@ c = F.col
 NOW = lambda: F.lit("2002-01-01 00:00:00").cast("timestamp")
 
 
-def side(spark, d, origin):
-    lines = T.pile_lines(spark, d).filter(c("origin") == origin)
+def side(spark, d, origin, lines=None):
+    lines = T.pile_lines(spark, d) if lines is None else lines
+    lines = lines.filter(c("origin") == origin)
     return T.fold_lines(lines, "collection_id")
 
 
@@ -31,9 +32,10 @@ def _reference_day(df):
     return df
 
 
-def tombstones(spark, d, status):
+def tombstones(spark, d, status, lines=None):
     """A removal of every graded line's key (and of its card), at its ship date plus a year."""
-    lines = T.pile_lines(spark, d).filter((c("origin") == status) & c("grader").isNull() & c("needs_printing"))
+    lines = T.pile_lines(spark, d) if lines is None else lines
+    lines = lines.filter((c("origin") == status) & c("grader").isNull() & c("needs_printing"))
     both = lines.select("collection_id", F.explode(F.array("key", c("card_id").cast("string"))).alias("k"), "updated_at")
     return both.groupBy("collection_id", "k").agg((F.max("updated_at") + F.expr("INTERVAL 365 DAYS")).alias("removed_at"))
 
@@ -96,8 +98,9 @@ def _(spark, d):
     return R.sweep_tombstones(removed, NOW() - F.expr("INTERVAL 30 DAYS"))
 
 
-def wants_of(spark, d, origin):
-    return T.pile_lines(spark, d).filter(c("origin") == origin).groupBy("collection_id", "card_id").agg(
+def wants_of(spark, d, origin, lines=None):
+    lines = T.pile_lines(spark, d) if lines is None else lines
+    return lines.filter(c("origin") == origin).groupBy("collection_id", "card_id").agg(
         F.max("unit_price").alias("unit_price"), F.max("updated_at").alias("added_at"))
 
 
@@ -119,8 +122,9 @@ def _(spark, d):
     return R.merge_wants(wants_of(spark, d, "F"), wants_of(spark, d, "O"), removed)
 
 
-def points_of(spark, d, origin):
-    return T.pile_lines(spark, d).filter(c("origin") == origin).groupBy(
+def points_of(spark, d, origin, lines=None):
+    lines = T.pile_lines(spark, d) if lines is None else lines
+    return lines.filter(c("origin") == origin).groupBy(
         "collection_id", F.to_date("updated_at").alias("day")).agg(
         F.max("unit_price").alias("value"), F.sum("quantity").alias("cards"))
 
@@ -144,12 +148,14 @@ def _(spark, d):
 
 def replica_sides(spark, d):
     """Local lacks HOUSEHOLD, remote lacks MACHINERY; the rest is on both."""
+    lines = settle(T.pile_lines(spark, d))  # every table of every side is cut from it
+
     def build(origin, without, marks):
         keep = lambda df: df.filter(c("collection_id") != without) if without else df
         return {
-            "piles": keep(side(spark, d, origin)), "wants": keep(wants_of(spark, d, origin)),
-            "history": keep(points_of(spark, d, origin)), "tombstones": keep(tombstones(spark, d, marks)),
-            "collections": keep(T.pile_lines(spark, d).filter(c("origin") == origin).select("collection_id").distinct())
+            "piles": keep(side(spark, d, origin, lines)), "wants": keep(wants_of(spark, d, origin, lines)),
+            "history": keep(points_of(spark, d, origin, lines)), "tombstones": keep(tombstones(spark, d, marks, lines)),
+            "collections": keep(lines.filter(c("origin") == origin).select("collection_id").distinct())
             .withColumn("name", F.concat(F.lit(origin + " "), "collection_id")),
         }
     return build("F", "HOUSEHOLD", "P"), build("O", "MACHINERY", "O"), build("P", None, "P")
@@ -166,6 +172,19 @@ def _(spark, d):
     return R.sync_collections(local, remote, bases, NOW())["piles"].select("collection_id", "key", "card_id", "quantity", "updated_at")
 
 
+_PUSHED = ", ".join(["collection_id", "key", *ATTRS, "quantity", "updated_at"])
+
+
+@query("j8_rows_to_push", "WITH " + MERGED + f"""
+SELECT {_PUSHED} FROM merged WHERE collection_id NOT IN ('HOUSEHOLD', 'MACHINERY')
+UNION ALL SELECT {_PUSHED} FROM mine WHERE collection_id = 'MACHINERY'
+EXCEPT SELECT {_PUSHED} FROM theirs WHERE collection_id <> 'MACHINERY'""")
+def _(spark, d):
+    local, remote, bases = replica_sides(spark, d)
+    pushed = R.rows_to_push(R.sync_collections(local, remote, bases, NOW()), remote)
+    return pushed["piles"].select("collection_id", "key", *ATTRS, "quantity", "updated_at")
+
+
 @query("j8_sync_tombstones", "WITH " + T.PILE_LINES + ",\n" + TOMBS + """
 SELECT * FROM tombs WHERE collection_id NOT IN ('HOUSEHOLD', 'MACHINERY') AND removed_at > TIMESTAMP '2001-12-02'
 UNION ALL SELECT * FROM t_theirs WHERE collection_id = 'HOUSEHOLD'

@@ -144,6 +144,19 @@ def sync_collections(local: dict, remote: dict, bases: dict, now: Column, keep_d
     return out
 
 
+def rows_to_push(state: dict, remote: dict) -> dict:
+    """What the remote side does not have yet: the rows of the merged state that differ from its own.
+
+    Collections that the merge leaves as the remote has them push nothing.
+    Equality is by value, NULLs included.
+    """
+    out = {}
+    for name in ("piles", "wants", "history", "tombstones"):
+        columns = [x for x in state[name].columns if x in remote[name].columns]
+        out[name] = state[name].select(columns).exceptAll(remote[name].select(columns))
+    return out
+
+
 def publish(state: dict, data_path: str, base_path: str) -> None:
     """Write the merged state, and only then adopt it as the new base.
 
