@@ -38,13 +38,16 @@ def id_bucket(column: str, modulus: int) -> Column:
     return (F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
-def bounded_sample(rows: DataFrame, key: str, by: str, per_class: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, key: str, by: str, per_class: int, salts: int = 16) -> DataFrame:
     """At most ``per_class`` rows of every class, the ones whose hashed key is smallest.
 
-    A class of any size is cut down in the map tasks before the shuffle (the
-    optimiser limits each window group there).
+    A class of any size is cut down in the map tasks before each shuffle (the
+    optimiser limits window groups there): first in ``salts`` parts, so that what
+    many map tasks leave of one class does not meet in one task, then as a whole.
     """
     from pyspark.sql import Window as W
 
-    order = W.partitionBy(by).orderBy(F.xxhash64(key), key)
-    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class).drop("_n")
+    for part in ([by, F.pmod(F.xxhash64(key), F.lit(salts))], [by]):
+        order = W.partitionBy(*part).orderBy(F.xxhash64(key), key)
+        rows = rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_class).drop("_n")
+    return rows
