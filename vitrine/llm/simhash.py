@@ -162,25 +162,33 @@ def links(classes: DataFrame, limit: int = 2000) -> DataFrame:
     return _inside(shared.filter(F.col("n") <= limit)).unionByName(_inside(finer)).distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every child has one parent, and no parent is a child."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    seen = ends.groupBy("x").agg(F.sum("child").alias("children"), F.max("parent").alias("parent"))
+    return seen.filter((F.col("children") > 1) | (F.col("children") > 0) & (F.col("parent") > 0)).agg(F.count("*")).first()[0] == 0
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(u, root): every vertex that is not its component's smallest, with the smallest.
 
     Alternating large and small stars: each round hangs neighbours on the
-    smallest vertex seen. Rounds grow with the logarithm of the longest chain;
-    one row per round reaches the driver. Each round is written to the shared
-    folder, so that a lost executor costs one round.
+    smallest vertex seen, until only stars are left. Rounds grow with the
+    logarithm of the longest chain; one number per round reaches the driver.
+    Each round is written to the shared folder, so that a lost executor costs
+    one round.
     """
-    now, mark = settle(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()), None
+    now = settle(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
+        if _is_stars(now):
+            return now.select("u", F.col("v").alias("root"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
-        large = now.join(low, "v").select("u", F.col("m").alias("v")).distinct()
+        large = now.join(low, "v").select("u", F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = settle(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        before, mark = mark, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == before:
-            return now.select("u", F.col("v").alias("root"))
     raise RuntimeError("components did not settle")
 
 
