@@ -90,6 +90,16 @@ def test_private_values_change_within_their_format(value):
     assert pseudonyms.replace(text, Permutation(b"other"))[0] != new
 
 
+@pytest.mark.parametrize("value", ["4041 8949 7460 8795", "4041-8949-7460-8795", "4041894974608795", "ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "GB82 WEST 1234 5698 7654 32"])
+@pytest.mark.parametrize("before, after", [
+    ("card ", " 12/27"), ("card ", " 123"), ("card ", " 12/27 123"), ("IBAN ", " BIC CAIXESBB"), ("IBAN ", " EUR 50"), ("", " EUR"), ("", " 1234 5678 9012 3456"),
+    ("no 12 ", " end"), ("no 12 34567 ", " 123"), ("AB12 ", " X"), ("", " 03/14/2001"), ("", " 12 345 678 90")])
+def test_private_values_next_to_digits_and_capitals(value, before, after):
+    new, n = pseudonyms.replace(before + value + after, P)
+    alone = pseudonyms.replace(value, P)[0]
+    assert n >= 1 and alone != value and alone in new and value not in new and len(new) == len(before + value + after)
+
+
 @pytest.mark.parametrize("value", PUBLIC)
 def test_other_texts_stay(value):
     assert pseudonyms.replace(f"so {value} end", P) == (f"so {value} end", 0)

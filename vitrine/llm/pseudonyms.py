@@ -218,7 +218,15 @@ _CLOUD_KEY = re.compile(r"\b(?:AKIA|ASIA)([A-Z0-9]{16})\b")
 _DATE = re.compile(r"(?<![\d./-])(?:\d{4}([-./])\d{1,2}\1\d{1,2}|\d{1,2}([-./])\d{1,2}\2\d{4})(?![\d/-]|\.\d)")
 _IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
-_CARD = re.compile(r"(?<![\d.,+-])\d(?:[ -]?\d){12,18}(?![\d]|[.,-]\d)")
+_IBAN_HEAD = re.compile(r"\b[A-Z]{2}\d{2}(?= ?[A-Z0-9])")
+_CARD = re.compile(r"(?<![\d.,+-])\d(?:[ -]?\d){12,}(?!\d)")  # a whole run of groups; candidates() cuts it
+_GROUP = re.compile(r"\d+")
+# Lengths of IBANs by country.
+_IBAN_LENGTHS = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for c in countries.split()}
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
 _PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?![\w-]|\.\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?![\w-]|\.\d)")
 _DETECTORS: list[tuple[re.Pattern, Callable, bool]] = [
@@ -230,6 +238,53 @@ _DIGIT = re.compile(r"[0-9]")
 _NUMERIC = {_CLOUD_KEY, _IBAN, _DATE, _IP, _SSN, _CARD, _PHONE}
 
 
+@lru_cache(maxsize=64)
+def _iban_of(length: int) -> re.Pattern:
+    return re.compile(rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]){{{length - 4}}}(?!\w)")
+
+
+def _card_candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Every stretch of 13 to 19 digits that begins and ends at a group's border, by its start, longest first."""
+    for run in _CARD.finditer(text):
+        groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+        whole = not re.match(r"[.,-]\d", text[run.end():run.end() + 2])
+        for i, (start, _) in enumerate(groups):
+            n, ends = 0, []
+            for k in range(i, len(groups)):
+                n += groups[k][1] - groups[k][0]
+                if n > 19:
+                    break
+                if n >= 13 and (whole or k + 1 < len(groups)):
+                    ends.append(groups[k][1])
+            for end in reversed(ends):
+                yield start, end
+
+
+def _iban_candidates(text: str) -> Iterator[tuple[int, int]]:
+    """From every head the country's length, else the longest match and what ends at a space inside it."""
+    for head in _IBAN_HEAD.finditer(text):
+        start = head.start()
+        length = _IBAN_LENGTHS.get(text[start:start + 2])
+        own = length and _iban_of(length).match(text, start)
+        if own:
+            yield own.span()
+        longest = _IBAN.match(text, start)
+        if longest:
+            yield longest.span()
+            for at in range(longest.end() - 1, start, -1):
+                if text[at] == " ":
+                    yield start, at
+
+
+def candidates(pattern: re.Pattern, text: str, group: bool) -> Iterator[tuple[int, int]]:
+    """Where a value of the pattern may be, by start; of the same start the likeliest first."""
+    if pattern is _CARD:
+        return _card_candidates(text)
+    if pattern is _IBAN:
+        return _iban_candidates(text)
+    return (m.span(1) if group else m.span() for m in pattern.finditer(text))
+
+
 def spans(text: str, p: Permutation) -> list[tuple[int, int, str]]:
     """(start, end, pseudonym) of what is replaced, in order and apart from each other."""
     digits = bool(_DIGIT.search(text))
@@ -237,8 +292,7 @@ def spans(text: str, p: Permutation) -> list[tuple[int, int, str]]:
     for pattern, change, group in _DETECTORS:
         if pattern in _NUMERIC and not digits or pattern is _EMAIL and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            start, end = m.span(1) if group else m.span()
+        for start, end in candidates(pattern, text, group):
             at = bisect_left(found, (start,))
             if at < len(found) and found[at][0] < end or at and found[at - 1][1] > start:
                 continue
