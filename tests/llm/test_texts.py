@@ -100,6 +100,25 @@ def test_private_values_next_to_digits_and_capitals(value, before, after):
     assert n >= 1 and alone != value and alone in new and value not in new and len(new) == len(before + value + after)
 
 
+@pytest.mark.parametrize("n", [65, 300, 1000, 20_000])
+def test_a_long_secret_is_replaced_to_its_end(n):
+    token = (words(1, n).replace(" ", "-") + "Q7_")[:n]
+    new, count = pseudonyms.replace(f"token={token} end", P)
+    got = new[6:-4]
+    assert count == 1 and len(got) == n and shape(got) == shape(token)
+    assert all(got[i:i + 20] != token[i:i + 20] for i in range(0, n - 20))
+    assert all(pseudonyms.replace(f"token={c + token[1:]} end", P)[0][-24:] != new[-24:] for c in "ab")  # the end depends on the start
+    assert pseudonyms.replace(f"token={'0a1b' * (n // 4)}", P)[0][6:] != "0a1b" * (n // 4)
+
+
+@pytest.mark.parametrize("value", ["+442079460958", "+12025550123", "+4915112345678", "+35312345678", "+29012345"])
+def test_compact_numbers(value):
+    new, n = pseudonyms.replace(f"tel {value}, {value}", P)
+    assert n == 2 and value not in new and shape(new) == shape(f"tel {value}, {value}") and new[4:6] == value[:2]
+    assert pseudonyms.replace(new, P)[1] == 2
+    assert pseudonyms.replace(f"x{value} +1234567 {value}00000000", P)[1] == 0
+
+
 @pytest.mark.parametrize("value", PUBLIC)
 def test_other_texts_stay(value):
     assert pseudonyms.replace(f"so {value} end", P) == (f"so {value} end", 0)

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROUNDS = 8
+CHUNK = 64  # characters of a secret in one permutation; a half of it is within a round's 384 bits
 # A stand-in for tests and queries; a deployment passes its own.
 KEY = b"replace this key"
 DIGITS, LOWER, UPPER, HEX_LOWER, HEX_UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef", "0123456789ABCDEF"
@@ -141,13 +142,18 @@ def ssn(p: Permutation, text: str) -> str | None:
     return _fill(text, _within(p, "ssn", digits, [DIGITS] * 9, _ssn_allowed)) if _ssn_allowed(digits) else None
 
 
+# Where no separator ends it: one digit, one of the two-digit codes, or three digits.
+_CALLING_CODE = re.compile(r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+
+
 def phone(p: Permutation, text: str) -> str | None:
     """The country code stays, and leading digits that no number may start with do not come up."""
-    code = re.match(r"\+\d{1,3}", text)
+    compact = re.fullmatch(r"\+\d{8,15}", text)
+    code = _CALLING_CODE.match(text) if compact else re.match(r"\+\d{1,3}", text)
     head = text[:code.end()] if code else ""
     rest = text[len(head):]
     digits = re.sub(r"\D", "", rest)
-    if not 7 <= len(digits) <= 12:
+    if not compact and not 7 <= len(digits) <= 12:
         return None
     alphabets = [DIGITS] * len(digits)
     if len(digits) == 10 and digits[0] > "1" and digits[3] > "1":
@@ -203,17 +209,27 @@ def email(p: Permutation, text: str) -> str:
     return f"{_within(p, 'email', local, [_alike(c) for c in local])}@{domain}"
 
 
+def _in_chunks(p: Permutation, kind: str, text: str, alphabets: list[str]) -> str:
+    """A long text piece by piece; a piece's permutation depends on its number and on all text before it."""
+    out, before = [], hashlib.blake2b(digest_size=16)
+    for i in range(0, len(text), CHUNK):
+        part = text[i:i + CHUNK]
+        out.append(_within(p, f"{kind}|{i}|{before.hexdigest()}" if i else kind, part, alphabets[i:i + CHUNK]))
+        before.update(part.encode())
+    return "".join(out)
+
+
 def secret(p: Permutation, text: str) -> str:
     """Hexadecimal stays hexadecimal; other letters and digits keep their class."""
     for alphabet in (HEX_LOWER, HEX_UPPER):
         if all(c in alphabet for c in text):
-            return _within(p, "hex", text, [alphabet] * len(text))
-    return _within(p, "secret", text, [_alike(c) for c in text])
+            return _in_chunks(p, "hex", text, [alphabet] * len(text))
+    return _in_chunks(p, "secret", text, [_alike(c) for c in text])
 
 
 # The patterns in order of precedence; where there is a group, it alone is replaced.
 _EMAIL = re.compile(r"(?<![\w.%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
-_NAMED = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,200})")
+_NAMED = re.compile(r"(?i)\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,})")
 _CLOUD_KEY = re.compile(r"\b(?:AKIA|ASIA)([A-Z0-9]{16})\b")
 _DATE = re.compile(r"(?<![\d./-])(?:\d{4}([-./])\d{1,2}\1\d{1,2}|\d{1,2}([-./])\d{1,2}\2\d{4})(?![\d/-]|\.\d)")
 _IP = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)")
@@ -228,7 +244,7 @@ _IBAN_LENGTHS = {c: n for n, countries in {
     26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
     31: "MT SC", 32: "LC", 33: "RU"}.items() for c in countries.split()}
 _SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])")
-_PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?![\w-]|\.\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?![\w-]|\.\d)")
+_PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}(?![\w-]|\.\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?![\w-]|\.\d)|(?<![\w.+-])\+\d{8,15}(?![\w-]|\.\d)")
 _DETECTORS: list[tuple[re.Pattern, Callable, bool]] = [
     (_EMAIL, email, False), (_NAMED, secret, True), (_CLOUD_KEY, secret, True), (_IBAN, iban, False), (_DATE, date, False),
     (_IP, ipv4, False), (_SSN, ssn, False), (_CARD, card, False), (_PHONE, phone, False),
