@@ -33,6 +33,13 @@ def test_verbatim_and_reparameterised_items(spark):
     assert "tons" in other
 
 
+def test_one_slot_in_a_stock_phrase_is_no_leak(spark):
+    items = [(1, "Which of these towns had the most visitors in the summer of 2015?"), (2, words(8, 30) + " in the summer of 2015 " + words(9, 30))]
+    other = "Which of these towns had the most visitors in the summer of 1998?"
+    rows = [(1, words(1, 30) + " in the summer of 1998 " + words(2, 30)), (2, "They met in the summer of 1998."), (3, words(3, 20) + ". " + other), (4, items[1][1].replace("2015", "1998"))]
+    assert leaks(spark, rows, items) == [(3, 1, True), (4, 2, True)]
+
+
 def plain_share(text, item):
     """Share of an item's five-word windows that a text holds, word by word."""
     cut = lambda t: [w.strip(".,") for w in t.lower().split() if w.strip(".,")]

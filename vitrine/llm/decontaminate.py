@@ -1,14 +1,15 @@
 """Benchmark leaks by canonical templates, also where a question got new numbers.
 
-A text is read in two ways: word by word, and as a template in which numbers,
-units and names are typed placeholders (a run of names is one). Windows of five
-words of either reading are hashed. A bit table over the benchmark's windows,
+A text is read word by word, and as a template in which numbers, units and
+names are typed placeholders (a run of names is one). Windows of five words of
+either reading are hashed. A bit table over the benchmark's windows,
 of fixed size whatever the benchmark, is asked in the scan of the documents;
 only windows that pass leave it and are joined with the benchmark's by hash.
-Template windows count where their slots agree: along one alignment of a
-document and an item, each value of the item must always stand for the same
-value in the document. A document leaks an item if at least ``SHARE`` of the
-item's windows are found in one of the two readings.
+Template windows, with slots or without, count where their slots agree: along
+one alignment of a document and an item, each value of the item must always
+stand for the same value in the document. A document
+leaks an item if at least ``SHARE`` of all the item's windows are found in one
+of the readings.
 
 Defined results: NULL, empty and punctuation-only texts have no windows and
 leak nothing; an item of fewer than five words leaks only into a document with
@@ -104,21 +105,24 @@ def readings(text: str) -> list[tuple[np.ndarray, np.ndarray | None]]:
     packed = np.fromiter(map(_words.__getitem__, text.split()), np.int64)
     packed = packed[packed >= 0]
     if not len(packed):
-        return [(np.empty(0, np.uint64), None), (np.empty(0, np.uint64), np.empty(0, np.int64))]
+        return [(np.empty(0, np.uint64), None)]
     plain, kind = packed & ((1 << _KIND) - 1), packed >> _KIND & 7
     out = [(_windows(plain, 0), None)]
     if not kind.any():
-        return [*out, (np.empty(0, np.uint64), np.empty(0, np.int64))]
+        return out
     starts = np.append(True, (packed[:-1] >> _END & 1).astype(bool))
     after_number = np.append(False, kind[:-1] == NUMBER)
-    kind = np.where((kind == NAME) & starts | (kind == UNIT) & ~after_number, 0, kind)
-    if not kind.any():
-        return [*out, (np.empty(0, np.uint64), np.empty(0, np.int64))]
-    first = ~((kind == NAME) & np.append(False, kind[:-1] == NAME))
-    at = np.flatnonzero(first)
-    typed = np.where(kind[at] == 0, plain[at], kind[at])
-    slots = np.where(kind[at] == 0, 0, np.add.reduceat(plain, at))
-    return [*out, (_windows(typed, 1), slots)]
+    named = np.where((kind == UNIT) & ~after_number, 0, kind)
+    for reading, kind in ((1, np.where((named == NAME) & starts, 0, named)),):
+        if not kind.any():
+            out.append((np.empty(0, np.uint64), np.empty(0, np.int64)))
+            continue
+        first = ~((kind == NAME) & np.append(False, kind[:-1] == NAME))
+        at = np.flatnonzero(first)
+        typed = np.where(kind[at] == 0, plain[at], kind[at])
+        slots = np.where(kind[at] == 0, 0, np.add.reduceat(plain, at))
+        out.append((_windows(typed, reading), slots))
+    return out
 
 
 def _slot_windows(slots: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -146,7 +150,7 @@ def _found(rows: DataFrame, known=None) -> DataFrame:
                     if slots is not None and len(at):
                         values = _slot_windows(slots, at)
                         plain = (values == 0).sum(axis=1)
-                        wordy = (plain >= PLAIN_WORDS) & (plain < values.shape[1])
+                        wordy = plain >= PLAIN_WORDS
                         at, values = at[wordy], values[wordy]
                     n = len(at)
                     if n:
@@ -172,6 +176,39 @@ def bit_table(windows: DataFrame) -> bytes:
     return table.tobytes()
 
 
+_JUDGED = "key bigint, th bigint, item_id bigint, item_th bigint, reading int, windows bigint, matched bigint"
+
+
+def agreeing(found: list[dict]) -> int:
+    """How many of an item's windows a document holds with slots that agree along an alignment.
+
+    Where one value of the item stands for two of the document, the alignment does not count.
+    """
+    shifts: dict[int, list[dict]] = {}
+    for f in found:
+        shifts.setdefault(f["shift"], []).append(f)
+    kept: set[int] = set()
+    for windows in shifts.values():
+        votes: dict[int, dict[int, int]] = {}
+        for w in sorted(windows, key=lambda w: w["item_pos"]):
+            for ours, theirs in zip(w["ours"], w["theirs"]):
+                if ours:
+                    count = votes.setdefault(ours, {})
+                    count[theirs] = count.get(theirs, 0) + 1
+        if any(len(count) > 1 for count in votes.values()):
+            continue
+        stands = {ours: max(count, key=count.get) for ours, count in votes.items()}
+        kept |= {w["item_pos"] for w in windows if all(not o or stands[o] == t for o, t in zip(w["ours"], w["theirs"]))}
+    return len(kept)
+
+
+def _agreeing_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        matched = [agreeing(f.as_py()) for f in batch.column("found")]
+        names = ["key", "th", "item_id", "item_th", "reading", "windows"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(matched, pa.int64())], names=[*names, "matched"])
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, th, item_id, verbatim, windows, matched), one row per document and item it leaks."""
     spark = docs.sparkSession
@@ -186,20 +223,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
         F.col("key").alias("item_id"), F.col("th").alias("item_th"), "reading", "hash", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     met = hits.join(wanted, ["reading", "hash"]).withColumn("shift", F.col("pos") - F.col("item_pos"))
     pair = ["key", "th", "item_id", "item_th"]
-    # Where one value of the item stands for two values of the document, the alignment's windows don't count.
-    slots = F.explode(F.arrays_zip(F.col("item_slots").alias("ours"), F.col("slots").alias("theirs")))
-    slots = met.filter("reading = 1").select(*pair, "shift", slots.alias("s")).select(*pair, "shift", "s.ours", "s.theirs").filter("ours <> 0")
-    mixed = slots.groupBy(*pair, "shift", "ours").agg((F.min("theirs") != F.max("theirs")).alias("mixed"))
-    mixed = mixed.filter("mixed").select(*[F.col(c).alias(f"_{c}") for c in pair], F.col("shift").alias("_shift")).distinct()
-    same = (F.col("reading") == 1) & (F.col("shift") == F.col("_shift"))
+    sizes = sizes.select(F.col("key").alias("_item"), F.col("th").alias("_item_th"), F.col("reading").alias("_reading"), "windows")
+    of_item = F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_th") == F.col("_item_th")) & (F.col("reading") == F.col("_reading"))
+    reached = met.groupBy(*pair, "reading").agg(F.countDistinct("item_pos").alias("matched")).join(sizes, of_item)
+    reached = settle(reached.filter(F.col("matched") >= F.col("windows") * share).select(*pair, "reading", "windows", "matched"))
+    plain, typed = reached.filter("reading = 0"), reached.filter("reading > 0").drop("matched")
+    typed = typed.select("windows", F.col("reading").alias("_reading"), *[F.col(c).alias(f"_{c}") for c in pair])
+    same = F.col("reading") == F.col("_reading")
     for c in pair:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    matched = met.join(mixed, same, "left_anti").groupBy(*pair, "reading").agg(F.countDistinct("item_pos").alias("matched"))
-    sizes = sizes.select(F.col("key").alias("_item"), F.col("th").alias("_item_th"), F.col("reading").alias("_reading"), "windows")
-    whole = matched.join(sizes, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("item_th") == F.col("_item_th")) & (F.col("reading") == F.col("_reading")))
-    enough = whole.filter(F.col("matched") >= F.col("windows") * share)
-    return enough.groupBy(F.col("key").alias("doc_id"), "th", "item_id").agg(
-        (F.min("reading") == 0).alias("verbatim"), F.max_by("windows", "matched").alias("windows"), F.max("matched").alias("matched"))
+    found = F.collect_list(F.struct("shift", "item_pos", F.col("item_slots").alias("ours"), F.col("slots").alias("theirs"))).alias("found")
+    aligned = met.filter("reading > 0").join(typed, same).groupBy(*pair, "reading", "windows").agg(found)
+    agreeing = aligned.mapInArrow(_agreeing_batches, _JUDGED).filter(F.col("matched") >= F.col("windows") * share)
+    enough = plain.unionByName(agreeing)
+    best = F.min(F.struct("reading", "windows", "matched"))
+    return enough.groupBy(F.col("key").alias("doc_id"), "th", "item_id").agg(best.alias("best")).select(
+        "doc_id", "th", "item_id", (F.col("best.reading") == 0).alias("verbatim"), "best.windows", "best.matched")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
