@@ -40,6 +40,17 @@ def test_one_slot_in_a_stock_phrase_is_no_leak(spark):
     assert leaks(spark, rows, items) == [(3, 1, True), (4, 2, True)]
 
 
+def test_questions_of_several_sentences_with_new_names(spark):
+    question = "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"
+    ben = question.replace("Tom", "Ben").replace("5", "7").replace("3", "4")
+    days = "Anna eats 2 apples every morning for 2 days and then she gives all that are left in the basket to the old man at the gate of the park"
+    items = [(1, question), (2, days)]
+    rows = [
+        (1, ben), (2, words(1, 40) + ". " + ben + " " + words(2, 40)), (3, "Ben has 7 pears. He sells 4 of them. How many pears are left?"),
+        (4, days.replace("Anna", "Eve").replace("2 apples", "3 apples").replace("2 days", "5 days")), (5, "The 5 apples are red. Tom buys 3 more.")]
+    assert leaks(spark, rows, items) == [(1, 1, False), (2, 1, False), (4, 2, False)]
+
+
 def plain_share(text, item):
     """Share of an item's five-word windows that a text holds, word by word."""
     cut = lambda t: [w.strip(".,") for w in t.lower().split() if w.strip(".,")]

@@ -1,13 +1,14 @@
 """Benchmark leaks by canonical templates, also where a question got new numbers.
 
 A text is read word by word, and as a template in which numbers, units and
-names are typed placeholders (a run of names is one). Windows of five words of
-either reading are hashed. A bit table over the benchmark's windows,
+names are typed placeholders (a run of names is one); the template twice, as a
+capitalised word that begins a sentence may be a plain word or a name. Windows
+of five words of every reading are hashed. A bit table over the benchmark's windows,
 of fixed size whatever the benchmark, is asked in the scan of the documents;
 only windows that pass leave it and are joined with the benchmark's by hash.
 Template windows, with slots or without, count where their slots agree: along
-one alignment of a document and an item, each value of the item must always
-stand for the same value in the document. A document
+one alignment of a document and an item, a value of the item stands for one
+value in the document, and windows that say otherwise do not count. A document
 leaks an item if at least ``SHARE`` of all the item's windows are found in one
 of the readings.
 
@@ -101,7 +102,7 @@ def _windows(codes: np.ndarray, reading: int) -> np.ndarray:
 
 
 def readings(text: str) -> list[tuple[np.ndarray, np.ndarray | None]]:
-    """For the plain and the template reading: window hashes, and the slot values (0: a plain word) of each token."""
+    """For the plain and both template readings: window hashes, and the slot values (0: a plain word) of each token."""
     packed = np.fromiter(map(_words.__getitem__, text.split()), np.int64)
     packed = packed[packed >= 0]
     if not len(packed):
@@ -113,7 +114,7 @@ def readings(text: str) -> list[tuple[np.ndarray, np.ndarray | None]]:
     starts = np.append(True, (packed[:-1] >> _END & 1).astype(bool))
     after_number = np.append(False, kind[:-1] == NUMBER)
     named = np.where((kind == UNIT) & ~after_number, 0, kind)
-    for reading, kind in ((1, np.where((named == NAME) & starts, 0, named)),):
+    for reading, kind in ((1, np.where((named == NAME) & starts, 0, named)), (2, named)):
         if not kind.any():
             out.append((np.empty(0, np.uint64), np.empty(0, np.int64)))
             continue
@@ -121,7 +122,8 @@ def readings(text: str) -> list[tuple[np.ndarray, np.ndarray | None]]:
         at = np.flatnonzero(first)
         typed = np.where(kind[at] == 0, plain[at], kind[at])
         slots = np.where(kind[at] == 0, 0, np.add.reduceat(plain, at))
-        out.append((_windows(typed, reading), slots))
+        # A first word that stands for any name says too little of a text of a few words.
+        out.append((_windows(typed, reading), slots) if reading == 1 or len(at) >= WINDOW else (np.empty(0, np.uint64), slots[:0]))
     return out
 
 
@@ -182,7 +184,8 @@ _JUDGED = "key bigint, th bigint, item_id bigint, item_th bigint, reading int, w
 def agreeing(found: list[dict]) -> int:
     """How many of an item's windows a document holds with slots that agree along an alignment.
 
-    Where one value of the item stands for two of the document, the alignment does not count.
+    A value of the item stands for the value that most windows of the alignment
+    give it, the first one in case of doubt; windows that give it another do not count.
     """
     shifts: dict[int, list[dict]] = {}
     for f in found:
@@ -195,8 +198,6 @@ def agreeing(found: list[dict]) -> int:
                 if ours:
                     count = votes.setdefault(ours, {})
                     count[theirs] = count.get(theirs, 0) + 1
-        if any(len(count) > 1 for count in votes.values()):
-            continue
         stands = {ours: max(count, key=count.get) for ours, count in votes.items()}
         kept |= {w["item_pos"] for w in windows if all(not o or stands[o] == t for o, t in zip(w["ours"], w["theirs"]))}
     return len(kept)
