@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.bindings.reg import registrar
-from vitrine.llm import decontaminate, hilbert, langid, neighbours, packing, pseudonyms, septokens, simhash, toxicity, urlcascade
+from vitrine.llm import decontaminate, hilbert, langid, neighbours, packing, pseudonyms, quality, septokens, simhash, spelling, toxicity, urlcascade, whitening
 from vitrine.llm.common import id_bucket, table
 
 QUERIES: dict = {}
@@ -84,3 +84,19 @@ def op10_feistel_pseudonyms(spark, sf_dir):
 @query("op3_learned_partitions")
 def op3_learned_partitions(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op11_feast_whitening")
+def op11_feast_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.variants(spelling.runs(table(spark, sf_dir, "documents")))
+
+
+@query("op13_pairwise_quality")
+def op13_pairwise_quality(spark, sf_dir):
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
