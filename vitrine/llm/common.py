@@ -33,6 +33,24 @@ def text_hash(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
+def _apart(docs: DataFrame, rows: DataFrame):
+    """``docs`` in one struct beside their identity, so that no further column can clash, and the join condition on (doc_id, th)."""
+    given = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("own_id"), text_hash().alias("own_th"))
+    return given, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_th") == F.col("th"))
+
+
+def only_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents named by ``rows`` (doc_id, th), one row each."""
+    given, same = _apart(docs, rows)
+    return given.join(rows.distinct(), same, "left_semi").dropDuplicates(["own_id", "own_th"]).select("row.*")
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents that ``rows`` (doc_id, th) do not name."""
+    given, same = _apart(docs, rows)
+    return given.join(rows.distinct(), same, "left_anti").select("row.*")
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a NULL id counts as an empty text."""
     return (F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")

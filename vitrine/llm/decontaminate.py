@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import text_hash
+from vitrine.llm.common import text_hash, without_rows
 from vitrine.session import settle
 
 WINDOW = 5
@@ -244,7 +244,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """The documents that leak nothing, in the columns of ``docs``."""
-    bad = leaks(docs, benchmark, share).select(F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_th")).distinct()
-    rows = docs.withColumn("_row_th", text_hash())
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_bad_id")) & (F.col("_row_th") == F.col("_bad_th"))
-    return rows.join(bad, same, "left_anti").select(*docs.columns)
+    return without_rows(docs, leaks(docs, benchmark, share).select("doc_id", "th"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import text_hash
+from vitrine.llm.common import only_rows, text_hash
 from vitrine.session import settle
 
 MAX_BITS = 3
@@ -212,7 +212,4 @@ def components(docs: DataFrame, limit: int = 2000) -> DataFrame:
 def keep_one(docs: DataFrame, limit: int = 2000) -> DataFrame:
     """The documents with one row of every component left, in the columns of ``docs``."""
     kept = components(docs, limit).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th")))
-    kept = kept.select(F.col("doc_id").alias("_keep_id"), F.col("th").alias("_keep_th")).distinct()
-    rows = docs.withColumn("_row_th", text_hash())
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_keep_id")) & (F.col("_row_th") == F.col("_keep_th"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_row_th"]).select(*docs.columns)
+    return only_rows(docs, kept.select("doc_id", "th"))
