@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -191,3 +192,66 @@ def test_stages_over_odd_rows(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
     assert langid.train(empty) is None
+
+
+def plain_tokens(text):
+    """[(kind, word, whether it begins a sentence)] by single rules, without the code's shortcuts."""
+    out, starts = [], True
+    for chunk in text.split():
+        word = re.sub(r"^[^\w$€£+%°-]+|[^\w%°]+\Z", "", chunk)
+        if not re.search(r"\w|[%°$€£]", word):
+            continue
+        if re.match(r"[$€£]?[+-]?\d[\d.,:/]*\Z", word):
+            kind = decontaminate.NUMBER
+        elif re.match(r"[$€£]?[+-]?\d[\d.,]*(?:%|°?[a-zA-Zµ°]{1,4})\Z", word):
+            kind = decontaminate.MEASURE
+        elif word.lower() in decontaminate.UNITS:
+            kind = decontaminate.UNIT
+        else:
+            kind = decontaminate.NAME if word[0].isupper() and word[1:].islower() else 0
+        out.append((kind, word.lower(), starts))
+        starts = bool(re.search(r"[.!?:;][\"'”’)\]]*\Z", chunk))
+    return out
+
+
+def plain_windows(text):
+    """{(reading, place): template tuple} by plain loops."""
+    tokens, out = plain_tokens(text), {}
+
+    def cut(reading, seq):
+        for i in range(max(1, len(seq) - 4) if seq else 0):
+            out[reading, i] = tuple(seq[i:i + 5])
+
+    cut(0, [w for _, w, _ in tokens])
+    for reading in (1, 2):
+        kinds = []
+        for i, (kind, _, starts) in enumerate(tokens):
+            if kind == decontaminate.UNIT and not (i and tokens[i - 1][0] == decontaminate.NUMBER):
+                kind = 0
+            if reading == 1 and kind == decontaminate.NAME and starts:
+                kind = 0
+            kinds.append(kind)
+        seq = [k or w for i, (k, (_, w, _)) in enumerate(zip(kinds, tokens)) if not (k == decontaminate.NAME and i and kinds[i - 1] == k)]
+        if any(kinds) and (reading == 1 or len(seq) >= 5):
+            cut(reading, seq)
+    return out
+
+
+some_words = st.sampled_from(["Tom", "Ann", "apples.", "has", "the", "5", "12,", "kg", "3kg", "week", "%", "$4", "--", "He", "“Ben”", "was?", "It's", "é", "NASA", "x1:", "30%"])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(some_words, max_size=14).map(" ".join), min_size=1, max_size=6))
+def test_windows_of_a_batch_equal_plain_loops(texts):
+    every = np.ones(decontaminate.TABLE_BITS, bool)
+    found = {}
+    for at, reading, hashes, places, _ in decontaminate.batch_windows([*texts, None], every):
+        for t, h, p in zip(at, hashes, places):
+            assert (int(t), reading, int(p)) not in found
+            found[int(t), reading, int(p)] = int(h)
+    want = {(t, *k): v for t, text in enumerate(texts) for k, v in plain_windows(text).items()}
+    assert found.keys() == want.keys()
+    by_template = {}
+    for k, template in want.items():
+        by_template.setdefault((k[1], template), set()).add(found[k])
+    assert all(len(h) == 1 for h in by_template.values()) and len({min(h) for h in by_template.values()}) == len(by_template)

@@ -58,8 +58,14 @@ class _Words(dict):
     """A chunk between white space as one number: plain code, kind, and whether a sentence ends; -1 if it is no word."""
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) > 200_000:
+        if len(self) > 400_000:
             self.clear()
+        word, ends = (chunk, False) if chunk.isalpha() else (chunk[:-1], chunk[-1] != ",")
+        if word.isalpha() and (word is chunk or chunk[-1] in ".,!?:;"):  # most chunks: letters, and perhaps a mark
+            low = word.lower()
+            kind = UNIT if low in UNITS else NAME if word[0].isupper() and word[1:].islower() else 0
+            code = self[chunk] = (zlib.crc32(low.encode()) + 16) | kind << _KIND | ends << _END
+            return code
         word = _EDGE.sub("", chunk)
         if not re.search(r"\w|[%°$€£]", word):
             code = -1
@@ -132,6 +138,73 @@ def _slot_windows(slots: np.ndarray, at: np.ndarray) -> np.ndarray:
     return slots[at[:, None] + np.arange(width)]
 
 
+def _inside(ends: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where the full windows of the asked texts begin, in the tokens of all texts, which end at ``ends``."""
+    start = np.append(0, ends[:-1])
+    count = np.where(asked, np.maximum(ends - start - WINDOW + 1, 0), 0)
+    skipped = np.cumsum(count) - count
+    return np.arange(count.sum()) + np.repeat(start - skipped, count)
+
+
+def _hashes(codes: np.ndarray, at: np.ndarray, reading: int) -> np.ndarray:
+    codes = codes.astype(np.uint64)
+    h = np.full(max(0, len(codes) - WINDOW + 1), reading + 1 + 8 * WINDOW, np.uint64)
+    for i in range(WINDOW):
+        h = h * _PRIME + codes[i:i + len(h)]
+    return _mix(h[at])
+
+
+def batch_windows(texts: list[str | None], table: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(text's place, reading, hashes, places, slots) of the windows of many texts that pass the bit table.
+
+    The tokens of all texts are one array; windows that would reach over a text's
+    end are left out, and texts of fewer tokens than a window are read alone.
+    """
+    passes = lambda h: table[h & np.uint64(TABLE_BITS - 1)]
+    packed = [np.fromiter(map(_words.__getitem__, t.split()), np.int64) if t else np.empty(0, np.int64) for t in texts]
+    packed = [p[p >= 0] for p in packed]
+    size = np.array([len(p) for p in packed])
+    alone: list[tuple[int, int]] = [(i, r) for i in np.flatnonzero((size > 0) & (size < WINDOW)) for r in range(3)]
+    codes, ends = np.concatenate([*packed, np.empty(0, np.int64)]), np.cumsum(size)
+    plain, kind = codes & ((1 << _KIND) - 1), codes >> _KIND & 7
+    long = size >= WINDOW
+    at = _inside(ends, long)
+    h = _hashes(plain, at, 0)
+    hit = passes(h)
+    of = lambda places, bounds: np.searchsorted(bounds, places, side="right")
+    first = np.append(0, ends[:-1])
+    text = of(at[hit], ends)
+    yield text, 0, h[hit], at[hit] - first[text], None
+    opens = np.zeros(len(codes), bool)
+    opens[first[size > 0]] = True
+    starts = opens | np.append(False, codes[:-1] >> _END & 1).astype(bool)[:len(codes)]
+    before = np.where(opens, 0, np.append(0, kind[:-1])[:len(codes)])
+    named = np.where((kind == UNIT) & (before != NUMBER), 0, kind)
+    for reading, kind in ((1, np.where((named == NAME) & starts, 0, named)), (2, named)):
+        before = np.where(opens, 0, np.append(0, kind[:-1])[:len(codes)])
+        token = np.flatnonzero((kind != NAME) | (before != NAME))
+        typed_ends = np.searchsorted(token, ends)
+        typed_size = np.diff(np.append(0, typed_ends))
+        some = np.zeros(len(texts), bool)
+        some[of(np.flatnonzero(kind), ends)] = True
+        if reading == 1:
+            alone += [(i, 1) for i in np.flatnonzero(long & some & (typed_size < WINDOW))]
+        at = _inside(typed_ends, long & some)
+        h = _hashes(np.where(kind[token] == 0, plain[token], kind[token]), at, reading)
+        hit = passes(h)
+        if not hit.any():
+            continue
+        slots = np.where(kind[token] == 0, 0, np.add.reduceat(plain, token))
+        text = of(at[hit], typed_ends)
+        yield text, reading, h[hit], at[hit] - np.append(0, typed_ends[:-1])[text], _slot_windows(slots, at[hit])
+    for i, reading in alone:
+        found = readings(texts[i])
+        if reading < len(found) and len(found[reading][0]):
+            h, slots = found[reading]
+            own = np.flatnonzero(passes(h))
+            yield np.full(len(own), i), reading, h[own], own, None if slots is None else _slot_windows(slots, own)
+
+
 _FOUND = "key bigint, th bigint, reading int, hash bigint, pos bigint, slots array<bigint>"
 
 
@@ -139,31 +212,18 @@ def _found(rows: DataFrame, known=None) -> DataFrame:
     """(key, th, reading, hash, pos, slots) of windows; with a bit table, only of those that pass it."""
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = None if known is None else np.unpackbits(np.frombuffer(known.value, np.uint8), bitorder="little").view(bool)
+        table = np.ones(TABLE_BITS, bool) if known is None else np.unpackbits(np.frombuffer(known.value, np.uint8), bitorder="little").view(bool)
         for batch in given:
-            out: list[list] = [[], [], [], [], [], []]
-            for key, th, text in zip(batch.column("key").to_pylist(), batch.column("th").to_pylist(), batch.column("text")):
-                text = text.as_py()
-                if not text:
-                    continue
-                for reading, (hashes, slots) in enumerate(readings(text)):
-                    at = np.arange(len(hashes)) if table is None else np.flatnonzero(table[hashes & np.uint64(TABLE_BITS - 1)])
-                    values = None
-                    if slots is not None and len(at):
-                        values = _slot_windows(slots, at)
-                        plain = (values == 0).sum(axis=1)
-                        wordy = plain >= PLAIN_WORDS
-                        at, values = at[wordy], values[wordy]
-                    n = len(at)
-                    if n:
-                        out[0] += [key] * n
-                        out[1] += [th] * n
-                        out[2] += [reading] * n
-                        out[3] += hashes[at].view(np.int64).tolist()
-                        out[4] += at.tolist()
-                        out[5] += [[]] * n if values is None else values.tolist()
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["key", "th", "reading", "hash", "pos", "slots"])
+            for text, reading, hashes, at, slots in batch_windows(batch.column("text").to_pylist(), table):
+                values = [[]] * len(at)
+                if slots is not None:
+                    wordy = (slots == 0).sum(axis=1) >= PLAIN_WORDS
+                    text, hashes, at, values = text[wordy], hashes[wordy], at[wordy], slots[wordy].tolist()
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("key").take(pa.array(text)), batch.column("th").take(pa.array(text)), pa.array(np.full(len(at), reading, np.int32)),
+                         pa.array(hashes.view(np.int64)), pa.array(at.astype(np.int64)), pa.array(values, pa.list_(pa.int64()))],
+                        names=["key", "th", "reading", "hash", "pos", "slots"])
 
     return rows.mapInArrow(batches, _FOUND)
 
