@@ -58,3 +58,26 @@ def test_written_shards_hold_every_row_once(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count()
     assert sorted((str(r.doc_id), str(r.text)) for r in back.collect()) == sorted((str(r.doc_id), str(r.text)) for r in docs.collect())
+
+
+def test_texts_are_cut_by_their_whole(spark):
+    """Sources with a long common prefix lie in cells of their own, in text order, hot ones too."""
+    names = [f"https://common-crawl.example/{i:03d}" for i in range(40)]
+    rows = spark.createDataFrame([(n,) for i, n in enumerate(names) for _ in range(400 if i == 7 else 10)], "source string")
+    cuts = hilbert.text_cuts(rows, "source", 16)
+    total, first, want = 790, 0, {}
+    for i, n in enumerate(names):
+        want.setdefault(first * 16 // total, n)
+        first += 400 if i == 7 else 10
+    assert cuts == sorted(want.items())
+    got = dict(rows.distinct().select("source", hilbert._text_cell("source", cuts).alias("cell")).collect())
+    assert [got[n] for n in names] == [max(c for c, t in cuts if t <= n) for n in names]
+    assert hilbert.text_cuts(rows.limit(0), "source", 16) == []
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = documents(spark, [(1, "x" * 2_000_000), (2, "y"), (3, None)]).withColumns({c: F.lit("c") for c in ("size", "curve", "at", "n", "first", "cell")})
+    got = {r.doc_id: r.size for r in hilbert.places(docs).collect()}
+    assert got == {1: 2_000_001, 2: 2, 3: 1}

@@ -61,8 +61,9 @@ def test_held_out_ids_are_not_learnt_from(spark):
     assert (langid.train(docs).weights == langid.train(changed).weights).all()
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     flipped = labels.withColumn("toxic", F.when(id_bucket("doc_id", 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    a, b = toxicity.train(docs, labels, 60), toxicity.train(docs, flipped, 60)
-    assert (a.out == b.out).all() and (a.thresholds == b.thresholds).all()
+    a, b = toxicity.train(docs, labels, 60)[0], toxicity.train(docs, flipped, 60)[0]
+    assert (a.out == b.out).all() and (a.table == b.table).all()
+    assert sorted(toxicity.score(docs, labels, 60).collect()) == sorted(toxicity.score(docs, flipped, 60).collect())
 
 
 def test_toxicity_of_held_out_documents(spark):
@@ -80,11 +81,28 @@ def test_toxicity_of_held_out_documents(spark):
 def test_toxicity_of_odd_rows(spark):
     docs = documents(spark, [(i, words(i, 20) + (" badword" if i % 3 == 0 else "")) for i in range(90)] + ODD + [(3, words(3, 20))])
     labels = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i in range(90)] + [(None, 0, 1), (5, 1, None)], "doc_id bigint, quality int, toxic int")
-    model = toxicity.train(docs, labels)
-    got = toxicity.score(docs, model).collect()
+    got = toxicity.score(docs, labels).collect()
     assert len(got) == 91 + len(ODD) and all(0 <= r.score <= 1 for r in got)
-    assert toxicity.score(documents(spark, []), model).count() == 0
-    assert {r.score for r in toxicity.score(docs, toxicity.train(docs, labels.limit(0))).collect()} == {0.0}
+    assert toxicity.score(documents(spark, []), labels).count() == 0
+    assert {r.score for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_thresholds_follow_the_real_shares(spark):
+    """A cap that leaves as many toxic as clean rows in the sample must not raise false alarms."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = toxicity.score(docs, labels, per_class=250).join(labels, "doc_id").filter(id_bucket("doc_id", 5) == 0).collect()
+    clean = [r.score for r in rows if not r.toxic]
+    assert sum(s >= 0.5 for s in clean) / len(clean) < 0.02
+    assert sum((r.score >= 0.5) == r.toxic for r in rows) / len(rows) > 0.95
+
+
+def test_thresholds_by_hand():
+    bins = {(0, -10, 0): 5, (0, 10, 1): 5, (0, 20, 0): 1, (1, 40, 0): 9, (1, 50, 1): 2, (2, 3, 0): 4}
+    got = toxicity.thresholds(bins, 3)
+    assert -10 / 64 < got[0] <= 10 / 64 and 40 / 64 < got[1] <= 50 / 64
+    assert got[2] == toxicity.thresholds({(0, *k[1:]): v for k, v in bins.items() if k[0] < 2} | {(0, 3, 0): 4}, 1)[0]
+    assert toxicity.thresholds({(0, 1, 0): 3}, 2).tolist() == [0, 0]
 
 
 def test_maxima_of_a_long_text_are_those_of_the_whole():

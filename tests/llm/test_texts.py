@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.frames import ODD, documents, words
@@ -255,3 +256,17 @@ def test_windows_of_a_batch_equal_plain_loops(texts):
     for k, template in want.items():
         by_template.setdefault((k[1], template), set()).add(found[k])
     assert all(len(h) == 1 for h in by_template.values()) and len({min(h) for h in by_template.values()}) == len(by_template)
+
+
+def test_helpers_do_not_clash_with_further_columns(spark):
+    docs = documents(spark, [(i, words(i, 30) + " 4041 8949 7460 8795", "aa") for i in range(6)] + [(9, None)])
+    once = pseudonyms.pseudonymise(docs)
+    twice = pseudonyms.pseudonymise(once)
+    assert twice.columns == [*docs.columns, "_replaced", "__replaced"]
+    assert {r._replaced for r in twice.collect() if r.doc_id != 9} == {1}
+    taken = docs.withColumn("_lang", F.lit("mine")).withColumn("_score", F.lit("too"))
+    kept = langid.keep_known(taken)
+    assert kept.columns == taken.columns and {(r._lang, r._score) for r in kept.collect()} == {("mine", "too")} and kept.count() == 6
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id bigint, text string")
+    left = decontaminate.drop_leaks(taken.withColumns({c: F.lit("x") for c in ("row", "own_id", "own_th", "th", "_row_th")}), bench)
+    assert left.count() == 7 and {r._row_th for r in left.collect()} == {"x"}

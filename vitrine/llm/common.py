@@ -33,6 +33,14 @@ def text_hash(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def _apart(docs: DataFrame, rows: DataFrame):
     """``docs`` in one struct beside their identity, so that no further column can clash, and the join condition on (doc_id, th)."""
     given = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("own_id"), text_hash().alias("own_th"))

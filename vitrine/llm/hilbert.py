@@ -11,8 +11,8 @@ part, and shifted by the rows of the parts before. Only the quantile cuts and
 one count per part ever leave the executors.
 
 Defined results: a NULL text has no bytes, hence size 1 and the checksum of an
-empty text; NULL languages and sources come first; repeated rows take places of
-their own; an empty table gives an empty result; other columns are ignored.
+empty text; a very long text is measured whole; NULL languages and sources come
+first; repeated rows take places of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -66,10 +66,27 @@ def curve_table(dimensions: int, bits: int) -> list[int]:
     return [curve_place(c, bits) for c in cells]
 
 
-def _as_number(text: Column) -> Column:
-    """The first seven bytes as a number that sorts like the text."""
-    head = F.rpad(F.hex(F.substring(F.coalesce(text, F.lit("")).cast("binary"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("bigint")
+def text_cuts(rows: DataFrame, column: str, cells: int) -> list[tuple[int, str]]:
+    """(cell, smallest text of the cell) in text order; a text belongs to the cell where its first row falls among all rows.
+
+    Whole texts are compared. Distinct texts are counted, dealt by range and
+    summed along the order part by part; at most ``cells`` rows reach the driver.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = rows.groupBy(column).agg(F.count("*").alias("n")).repartitionByRange(parts, column).sortWithinPartitions(column)
+    values = settle(values.withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.shiftright("at", 33)))
+    before, zero = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1), F.lit(0).cast("bigint")
+    sums = values.groupBy("part").agg(F.sum("n").alias("own")).select(
+        "part", F.coalesce(F.sum("own").over(before), zero).alias("n0"), F.sum("own").over(W.partitionBy()).alias("every"))
+    inside = W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    first = values.join(F.broadcast(sums), "part").withColumn("first", F.col("n0") + F.coalesce(F.sum("n").over(inside), zero))
+    found = first.groupBy(F.expr(f"first * {cells} div every").alias("cell")).agg(F.min(column).alias("text"))
+    return sorted((r.cell, r.text) for r in found.collect())
+
+
+def _text_cell(column: str, cuts: list[tuple[int, str]]) -> Column:
+    steps = [F.when(F.col(column) >= text, cell - last).otherwise(0) for (last, _), (cell, text) in zip(cuts, cuts[1:])]
+    return sum(steps, F.lit(0)).cast("int")
 
 
 def places(docs: DataFrame, law: str = "rows", shards: int = 8, bits: int = BITS) -> DataFrame:
@@ -81,14 +98,11 @@ def places(docs: DataFrame, law: str = "rows", shards: int = 8, bits: int = BITS
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     rows = settle(docs.select(
         "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
-        _as_number(F.col("lang")).alias("d0"), _as_number(F.col("source")).alias("d1")))
-    rows = rows.withColumn("d2", F.col("size"))
-    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = rows.agg(*[F.percentile_approx(f"d{i}", steps, ACCURACY).alias(f"d{i}") for i in range(len(DIMENSIONS))]).first()
-    cell = F.lit(0)
-    for i in range(len(DIMENSIONS)):
-        above = sum([(F.col(f"d{i}") > c).cast("int") for c in cuts[i] or []], F.lit(0))
-        cell = cell * (1 << bits) + above
+        F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")))
+    side = 1 << bits
+    sizes = rows.agg(F.percentile_approx("size", [i / side for i in range(1, side)], ACCURACY).alias("cuts")).first().cuts or []
+    cell = _text_cell("lang", text_cuts(rows, "lang", side)) * side + _text_cell("source", text_cuts(rows, "source", side))
+    cell = cell * side + sum([(F.col("size") > c).cast("int") for c in sizes], F.lit(0))
     table = F.split(F.lit(",".join(map(str, curve_table(len(DIMENSIONS), bits)))), ",").cast("array<int>")
     rows = rows.select("doc_id", "size", "text_crc32", F.get(table, cell).alias("curve"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

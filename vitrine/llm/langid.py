@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.common import bounded_sample, id_bucket
+from vitrine.llm.common import bounded_sample, free_name, id_bucket
 
 WIDTH = 4096
 PER_LANGUAGE = 300
@@ -122,9 +122,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, held_out: tuple[int
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``_lang`` and ``_score`` added; other columns pass through."""
-    names = [*docs.columns, "_lang", "_score"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
+    """``docs`` with ``_lang`` and ``_score`` added; other columns pass through.
+
+    Where ``docs`` has such columns of its own, the new ones get one more underscore.
+    """
+    added = [free_name(docs, "_lang"), free_name(docs, "_score")]
+    names = [*docs.columns, *added]
+    schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.StringType()), T.StructField(added[1], T.DoubleType())])
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in given:
@@ -148,4 +152,5 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def keep_known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """The documents whose language is found, with at least ``min_score``, in the columns of ``docs``."""
     found = predict(docs, train(docs))
-    return found.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= min_score)).select(*docs.columns)
+    lang, score = found.columns[-2:]
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).select(*docs.columns)

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vitrine.llm.common import free_name
+
 ROUNDS = 8
 CHUNK = 64  # characters of a secret in one permutation; a half of it is within a round's 384 bits
 # A stand-in for tests and queries; a deployment passes its own.
@@ -336,9 +338,13 @@ def _permutation(key: bytes) -> Permutation:
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """``docs`` with ``text`` replaced and ``_replaced`` (how many) added; n_chars, if there, follows the text."""
-    names = [*docs.columns, "_replaced"]
-    schema = T.StructType([*docs.schema.fields, T.StructField("_replaced", T.IntegerType())])
+    """``docs`` with ``text`` replaced and ``_replaced`` (how many) added; n_chars, if there, follows the text.
+
+    Where ``docs`` has a column ``_replaced`` of its own, the count gets one more underscore.
+    """
+    counter = free_name(docs, "_replaced")
+    names = [*docs.columns, counter]
+    schema = T.StructType([*docs.schema.fields, T.StructField(counter, T.IntegerType())])
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = _permutation(key)
@@ -346,11 +352,11 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             done = [(None, 0) if t is None else replace(t, p) for t in batch.column("text").cast(pa.string()).to_pylist()]
             columns = dict(zip(batch.schema.names, batch.columns))
             columns["text"] = pa.array([d[0] for d in done], pa.string()).cast(columns["text"].type)
-            columns["_replaced"] = pa.array([d[1] for d in done], pa.int32())
+            columns[counter] = pa.array([d[1] for d in done], pa.int32())
             yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
 
     out = docs.mapInArrow(batches, schema)
     if "n_chars" in docs.columns:
-        counted = F.when(F.col("_replaced") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        counted = F.when(F.col(counter) > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", counted.cast(docs.schema["n_chars"].dataType))
     return out

@@ -7,9 +7,13 @@ a logistic layer sums the maxima. Everything is trained here, in numpy, from a
 bounded sample of labelled rows: the tables start from the classes' log odds,
 then all parameters are fitted by Adam.
 
-Thresholds are calibrated by language. The language is guessed from the text
-alone, by the words' frequencies in the training rows, and the threshold of the
-guessed language is moved to a score of one half.
+Thresholds are calibrated by language, on every labelled row that was not learnt
+from: one in ``ASIDE`` ids is never learnt, and all ids beyond the sample's bound
+count too, weighted so that the labels have their real shares. Spark adds these rows'
+margins up to a histogram by language and label. The language is guessed from the
+text alone, by the words' frequencies in the training rows, and the threshold of
+the guessed language is moved to a score of one half. A language without rows of
+both labels takes the threshold of all.
 
 Defined results: a NULL or empty text is scored as a text without words; without
 labels of both classes every score is the share of toxic labels, or 0 if there
@@ -28,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import bounded_sample, id_bucket
+from vitrine.llm.quality import quantile_cut
+from vitrine.session import settle
 
 TABLE = 1 << 17
 STEM = 5
@@ -36,6 +42,8 @@ WIDTHS = (1, 2, 3)
 FILTERS = 6
 PER_CLASS = 2500
 EPOCHS = 4
+ASIDE = 5
+_BIN, _BINS = 64, 4096
 _MARKS = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
 _TO_SPACE = bytes.maketrans(_MARKS, b" " * len(_MARKS))
 
@@ -85,19 +93,16 @@ class Model:
     def language(self, rows: np.ndarray) -> int:
         return int(self.words[rows[1] - TABLE].sum(axis=0).argmax()) if rows.shape[1] else 0
 
-    def score(self, text: bytes | None) -> float:
+    def judge(self, text: bytes | None) -> tuple[float, int]:
+        """The margin before any threshold, and the guessed language."""
         rows = word_rows(text)
-        margin = float(self.maxima(rows)[0] @ self.out) + self.bias - self.thresholds[self.language(rows)]
-        return 1 / (1 + np.exp(-np.clip(margin, -50, 50)))
+        return float(self.maxima(rows)[0] @ self.out) + self.bias, self.language(rows)
 
 
 @dataclass
 class Constant:
     share: float
 
-    def score(self, text: bytes | None) -> float:
-        return self.share
-
 
 class _Adam:
     """Adam over whole arrays, or over some rows of one."""
@@ -125,14 +130,11 @@ def _log_odds(texts: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[np.ndarray], toxic: np.ndarray, langs: list[str], epochs: int = EPOCHS, seed: int = 7) -> Model | Constant:
-    """Trained on four fifths of the rows; the rest sets the thresholds."""
+    """Trained on all the given rows; thresholds are zero until they are calibrated."""
     if len(set(toxic.tolist())) < 2:
         return Constant(float(toxic[0]) if len(toxic) else 0.0)
     random = np.random.default_rng(seed)
-    order = random.permutation(len(texts))
-    aside, learn = order[:len(order) // 5], order[len(order) // 5:]
-    if len(set(toxic[learn].tolist())) < 2:
-        aside = learn = order
+    learn = np.arange(len(texts))
     names = sorted(set(langs))
     counts = np.full((TABLE, len(names)), 0.1, np.float32)
     for i in learn:
@@ -181,39 +183,44 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray, langs: list[str], epochs: in
                 np.add.at(gathered, back, np.concatenate(slopes))
                 tuned["table"].step(gathered, at)
             model.bias = float(bias[0])
-    calibrate(model, [texts[i] for i in aside], toxic[aside])
     return model
 
 
-def calibrate(model: Model, texts: list[np.ndarray], toxic: np.ndarray) -> None:
-    """For each guessed language the margin that splits its rows with the fewest errors, in the middle of the gap."""
-    margins = np.array([float(model.maxima(t)[0] @ model.out) + model.bias for t in texts])
-    guessed = np.array([model.language(t) for t in texts])
-    for lang in range(len(model.thresholds)):
-        own = np.flatnonzero(guessed == lang)
-        if len(set(toxic[own].tolist())) < 2:
-            continue
-        order = own[np.argsort(margins[own])]
-        label, value = toxic[order], margins[order]
-        errors = np.append(0, np.cumsum(label)) + np.append(0, np.cumsum((1 - label)[::-1]))[::-1]
-        best = np.flatnonzero(errors == errors.min())
-        at = best[len(best) // 2]
-        low = value[at - 1] if at else value[0] - 1
-        high = value[at] if at < len(value) else value[-1] + 1
-        model.thresholds[lang] = (low + high) / 2
+def thresholds(bins: dict[tuple[int, int, int], float], languages: int) -> np.ndarray:
+    """For each language the margin with the fewest errors, from weights by (language, bin, label)."""
+    every: dict[tuple[int, int], float] = {}
+    for (_, at, label), n in bins.items():
+        every[at, label] = every.get((at, label), 0) + n
+    if len({label for _, label in every}) < 2:
+        return np.zeros(languages)
+    out = np.full(languages, quantile_cut(every, 0.5)[0] / _BIN)
+    for lang in range(languages):
+        own = {(at, label): n for (i, at, label), n in bins.items() if i == lang}
+        if len({label for _, label in own}) == 2:
+            out[lang] = quantile_cut(own, 0.5)[0] / _BIN
+    return out
+
+
+def _known(labels: DataFrame, held_out: tuple[int, int]) -> DataFrame:
+    known = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int")).filter("toxic in (0, 1) and doc_id is not null")
+    return known.filter(id_bucket("doc_id", held_out[0]) != held_out[1]).distinct()
+
+
+def _learnable():
+    """One id in ``ASIDE`` is left for the thresholds; independent of the held-out fold."""
+    return F.crc32(F.concat(F.lit("aside:"), F.col("doc_id").cast("string")).cast("binary")) % ASIDE != 0
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held_out: tuple[int, int] = (5, 0)) -> Model | Constant:
-    """A model from labelled rows whose crc32(id) modulo ``held_out[0]`` is not ``held_out[1]``.
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held_out: tuple[int, int] = (5, 0)) -> tuple[Model | Constant, DataFrame]:
+    """A model without thresholds, and the (doc_id, toxic) it has learnt from.
 
+    Rows whose crc32(id) modulo ``held_out[0]`` is ``held_out[1]`` are not used.
     At most ``per_class`` ids of either label are learnt from, the ones with the
     smallest hashes. Their words' table rows reach the driver, not their texts.
     """
-    modulus, left_out = held_out
-    known = labels.select(F.col("doc_id").cast("bigint"), F.col("toxic").cast("int")).filter("toxic in (0, 1) and doc_id is not null")
-    known = known.filter(id_bucket("doc_id", modulus) != left_out).distinct()
+    known = _known(labels, held_out)
     here = known.join(docs.select(F.col("doc_id").cast("bigint")).distinct(), "doc_id", "left_semi")
-    picked = bounded_sample(here, "doc_id", "toxic", per_class)
+    picked = settle(bounded_sample(here.filter(_learnable()), "doc_id", "toxic", per_class))
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("lang").cast("string"), F.col("text").cast("string"))
     rows = texts.join(F.broadcast(picked), "doc_id")  # twice per_class rows at most
 
@@ -226,17 +233,32 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held_o
     found = rows.select("doc_id", "lang", "toxic", "text").mapInArrow(words, "doc_id bigint, lang string, toxic int, words binary")
     got = bounded_sample(found, "doc_id", "toxic", per_class).collect()
     got = sorted((r.doc_id, r.toxic, r.lang or "", bytes(r.words)) for r in got)
-    return fit([np.frombuffer(g[3], np.int32).reshape(2, -1) for g in got], np.array([g[1] for g in got], int), [g[2] for g in got])
+    return fit([np.frombuffer(g[3], np.int32).reshape(2, -1) for g in got], np.array([g[1] for g in got], int), [g[2] for g in got]), picked
 
 
-def score(docs: DataFrame, model: Model | Constant) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held_out: tuple[int, int] = (5, 0)) -> DataFrame:
     """(doc_id, score) of every document; the model, of fixed size, is broadcast."""
+    model, learnt = train(docs, labels, per_class, held_out)
+    if isinstance(model, Constant):
+        return docs.select(F.col("doc_id").cast("bigint"), F.lit(model.share).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in given:
-            scores = [float(shared.value.score(t.as_py())) for t in batch.column("text").cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            found = [shared.value.judge(t.as_py()) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array([m for m, _ in found], pa.float64()), pa.array([i for _, i in found], pa.int32())], names=["doc_id", "margin", "guess"])
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(batches, "doc_id bigint, score double")
+    judged = settle(rows.mapInArrow(batches, "doc_id bigint, margin double, guess int"))
+    known = _known(labels, held_out)
+    fresh = judged.join(known, "doc_id").join(F.broadcast(learnt), ["doc_id", "toxic"], "left_anti")
+    at = F.greatest(F.lit(-_BINS), F.least(F.lit(_BINS), F.floor(F.col("margin") * _BIN))).cast("int")
+    counted = fresh.groupBy("guess", at.alias("at"), "toxic").agg(F.count("*").alias("n")).collect()
+    real = {r.toxic: r.n for r in judged.join(known, "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    seen = {label: sum(r.n for r in counted if r.toxic == label) for label in real}
+    bins = {(r.guess, r.at, r.toxic): r.n * real[r.toxic] / seen[r.toxic] for r in counted}
+    cuts = thresholds(bins, len(model.thresholds)).tolist()
+    cut = F.get(F.array(*map(F.lit, cuts)), F.col("guess"))
+    margin = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), F.col("margin") - cut))
+    return judged.select("doc_id", (1 / (1 + F.exp(-margin))).alias("score"))
