@@ -153,3 +153,9 @@ def test_match_needs_overlap(spark):
     pairs = spark.createDataFrame([("a", 1, 0.9), ("a", 2, 0.1), ("a", 3, 1.0), ("b", 3, 0.4)], "set_id string, group_id bigint, name_sim double")
     got = {r.set_id: (r.group_id, r.overlap, r.accepted) for r in C.verified_match(left, right, pairs).collect()}
     assert got == {"a": (1, 0.5, True), "b": (3, 0.0, False)}
+
+
+def test_lines_of_rows_with_equal_keys_do_not_mix(spark):
+    rows = [(1, "a\nb\nx@example.org"), (1, "y@example.org"), (1, "\nz@example.org w@example.org\nv@example.org"), (None, "u@example.org"), (2, None), (3, "")]
+    found = A.audit_text(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted((str(r.doc_id), r.hit[0], r.line) for r in found) == [("1", "v", 3), ("1", "w", 2), ("1", "x", 3), ("1", "y", 1), ("1", "z", 2), ("None", "u", 1)]

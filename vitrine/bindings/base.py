@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import bits as B
 from vitrine.functions import scalar as S
-from vitrine.session import spread as spread_rows
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    df = spark.read.parquet(path)
-    return spread_rows(df) if spread else df
+LISTING = 10_000_000  # more than suppliers: part * LISTING + supplier names a listing at every scale
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # -- catalogue cards ---------------------------------------------------------
@@ -206,7 +206,7 @@ FP_SPANS = [("diff", 0, 63), ("median", 63, 64)]
 
 def fingerprints(spark, sf_dir) -> DataFrame:
     """Embeddings as 127-bit fingerprints plus a 64-bit footer."""
-    e = table(spark, sf_dir, "embeddings", spread=True)
+    e = table(spark, sf_dir, "embeddings")
     values = F.col("embedding").cast("array<double>")
     return e.select(
         F.col("vec_id").alias("row_id"),

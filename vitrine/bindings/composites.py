@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vitrine.bindings import base as T
 from vitrine.bindings import evaluation as EV
 from vitrine.bindings.fingerprint import AMBIGUOUS, BAND, DECISIVE, GATE, NAME_GATE, names, sides
-from vitrine.bindings.matching import _spec, name_groups, name_sets, products
+from vitrine.bindings.matching import _spec, grouped, name_groups, name_sets, products
 from vitrine.bindings.pricing import listings, wants
 from vitrine.bindings.reg import registrar
 from vitrine.bindings.timeline import POINTS
@@ -26,11 +26,12 @@ c = F.col
 def _(spark, d):
     cards = T.cards(spark, d).withColumn("number", F.concat(c("card_id").cast("string"), F.lit("/50"))).withColumn(
         "set_id", F.lower(F.regexp_replace("set_id", "#", "")))
-    p = products(spark, d)
+    p = grouped(products(spark, d), 60)
+    spec = _spec(spark, d).filter((c("group_id") < 60) | (c("group_id") >= 100000))
     feed = T.price_feed(spark, d)
     suppliers = T.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    sold = suppliers.select((c("l_partkey") * 1000 + c("l_suppkey")).alias("product_id"), c("l_partkey").alias("feed_product"))
-    out = P.build_catalogue(name_sets(spark, d), cards, name_groups(spark, d), p, feed, _spec(spark, d), 0.3, sold)["catalogue"]
+    sold = suppliers.select((c("l_partkey") * T.LISTING + c("l_suppkey")).alias("product_id"), c("l_partkey").alias("feed_product"))
+    out = P.build_catalogue(name_sets(spark, d), cards, name_groups(spark, d), p, feed, spec, 0.3, sold)["catalogue"]
     return out.select("card_id", "set_id", "name", "number", "product_id", "url", F.size("prices").alias("printings"))
 
 
@@ -50,14 +51,16 @@ def _(spark, d):
 
 
 @query("p4_refresh_prices", "WITH " + T.PRICES + """,
-li AS (SELECT DISTINCT l_partkey * 1000 + l_suppkey AS card_id, CASE WHEN l_suppkey < 90 THEN l_partkey END AS product_id FROM lineitem)
-SELECT CAST(li.card_id AS VARCHAR) AS card_id, variant, market, low, high, '2024-02-01' AS as_of FROM li JOIN prices USING (product_id)""")
+li AS (SELECT DISTINCT l_partkey * 10000000 + l_suppkey AS card_id, CASE WHEN l_suppkey % 10 <> 0 THEN l_partkey END AS product_id FROM lineitem),
+fresh AS (SELECT li.card_id, variant, market, low, high FROM li JOIN prices USING (product_id)),
+gate AS (SELECT (SELECT count(DISTINCT card_id) FROM fresh) AS cards, (SELECT count(*) FROM li) AS previous)
+SELECT CAST(card_id AS VARCHAR) AS card_id, variant, market, low, high, '2024-02-01' AS as_of FROM fresh, gate WHERE cards >= 100 AND cards >= previous * 0.5""")
 def _(spark, d):
     previous = listings(spark, d).select("card_id")
     fresh, verdict = P.refresh_prices(T.price_feed(spark, d), listings(spark, d), previous, "2024-02-01", keep=0.5, min_cards=100)
     path = shared_path(spark, "published")
     if not P.publish_prices(fresh, verdict, path, "2024-02-01"):
-        raise ValueError("the book was refused")
+        return fresh.limit(0).withColumn("card_id", c("card_id").cast("string"))  # refused: nothing is published
     return SP.read_price_book(spark, path + "/book")
 
 

@@ -254,7 +254,7 @@ findings AS (SELECT {key}, CAST(1 + in_hits + list_sum(list_transform(parts[1:n]
 
 @query("v4_audit_documents", _audit_sql("SELECT doc_id, text FROM documents", "doc_id") + "SELECT * FROM findings")
 def _(spark, d):
-    docs = T.table(spark, d, "documents", spread=True).select("doc_id", "text")
+    docs = T.table(spark, d, "documents").select("doc_id", "text")
     # each text under two names, one of which is not text
     both = docs.withColumn("path", F.explode(F.array(F.lit("a/b.txt"), F.lit("a/b.PNG"))))
     return A.audit_text(both, path="path")
@@ -262,11 +262,11 @@ def _(spark, d):
 
 @query("v4_audit_pages", _audit_sql("SELECT page_id, html AS text FROM pages", "page_id") + "SELECT * FROM findings")
 def _(spark, d):
-    return A.audit_text(T.table(spark, d, "pages", spread=True), key="page_id", text="html")
+    return A.audit_text(T.table(spark, d, "pages"), key="page_id", text="html")
 
 
 def _findings(spark, d):
-    docs = T.table(spark, d, "documents", spread=True).select(c("doc_id").alias("id"), "text").unionByName(
+    docs = T.table(spark, d, "documents").select(c("doc_id").alias("id"), "text").unionByName(
         T.table(spark, d, "conversations").select((c("conv_id") * 1000 + c("turn") + 10_000_000_000).alias("id"), "text"))
     return A.audit_text(docs, key="id")
 
@@ -321,7 +321,7 @@ def _(spark, d):
 # -- images: the bytes of a page, repeated over the canvas ----------------------------------
 def images(spark, d):
     size = I.CANON_W * I.CANON_H * 3
-    p = T.table(spark, d, "pages", spread=True)
+    p = T.table(spark, d, "pages")
     raw = F.encode("html", "utf-8")
     times = (F.floor(F.lit(size) / F.octet_length("html")) + 1).cast("int")
     data = F.substring(F.encode(F.repeat(c("html"), times), "utf-8"), 1, size)

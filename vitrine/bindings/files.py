@@ -53,7 +53,7 @@ def _(spark, d):
 
 
 @query("s2_read_product_feed", """
-WITH p AS (SELECT DISTINCT l_suppkey AS group_id, l_partkey * 1000 + l_suppkey AS product_id, CASE WHEN p_size > 2 THEN CAST(p_partkey AS VARCHAR) || '/50' END AS number,
+WITH p AS (SELECT DISTINCT l_suppkey AS group_id, l_partkey * 10000000 + l_suppkey AS product_id, CASE WHEN p_size > 2 THEN CAST(p_partkey AS VARCHAR) || '/50' END AS number,
   CASE WHEN p_type = 'PROMO' THEN 'Code Card' ELSE p_type END AS rarity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal >= 0)
 SELECT 'product' AS kind, group_id, product_id, number, rarity FROM p
 UNION ALL SELECT 'bad', s_suppkey, NULL, NULL, NULL FROM supplier WHERE s_suppkey NOT IN (SELECT group_id FROM p)""")

@@ -64,7 +64,7 @@ def _(spark, d):
 
 # products: a supplier's listing of a part, numbered by the part's size
 _PRODUCTS = """products AS (
-  SELECT DISTINCT l_suppkey AS group_id, l_partkey * 1000 + l_suppkey AS product_id, p_name || CASE WHEN l_suppkey > 50 THEN ' (alt)' ELSE '' END AS name,
+  SELECT DISTINCT l_suppkey AS group_id, l_partkey * 10000000 + l_suppkey AS product_id, p_name || CASE WHEN l_suppkey % 2 = 0 THEN ' (alt)' ELSE '' END AS name,
     CASE WHEN p_size > 2 THEN CAST(p_partkey AS VARCHAR) || '/50' END AS number, CASE WHEN p_type = 'PROMO' THEN 'Code Card' ELSE p_type END AS rarity
   FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
@@ -73,11 +73,11 @@ def products(spark, d):
     part = T.table(spark, d, "part")
     pairs = T.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     return pairs.join(part, pairs.l_partkey == part.p_partkey).select(
-        c("l_suppkey").alias("group_id"), (c("l_partkey") * 1000 + c("l_suppkey")).alias("product_id"),
-        F.concat("p_name", F.when(c("l_suppkey") > 50, " (alt)").otherwise("")).alias("name"),
+        c("l_suppkey").alias("group_id"), (c("l_partkey") * T.LISTING + c("l_suppkey")).alias("product_id"),
+        F.concat("p_name", F.when(c("l_suppkey") % 2 == 0, " (alt)").otherwise("")).alias("name"),
         F.when(c("p_size") > 2, F.concat(c("p_partkey").cast("string"), F.lit("/50"))).alias("number"),
         F.when(c("p_type") == "PROMO", "Code Card").otherwise(c("p_type")).alias("rarity"),
-        S.product_url(c("l_partkey") * 1000 + c("l_suppkey")).alias("url"))
+        S.product_url(c("l_partkey") * T.LISTING + c("l_suppkey")).alias("url"))
 
 
 @query("q7_drop_sealed", "WITH " + _PRODUCTS + " SELECT product_id, rarity FROM products WHERE number IS NOT NULL AND rarity <> 'Code Card'")
@@ -127,24 +127,34 @@ def _(spark, d):
     return C.seeded_sample(T.table(spark, d, "part"), "p_partkey", 100, 7).select("p_partkey", "p_name")
 
 
-# -- matching: brands are sets, suppliers are groups, parts are members -------------
+# -- matching: brands are sets, suppliers in 25 groups, parts are members ------------
+# What overlaps does not depend on the scale: a group stocks every part of "its" brands
+# (those of its number's first digit) that it ever sold, and of the others only what
+# was sold in large lots. Brands 6 to 9, 15 and 25 are nobody's, so they are rejected.
+def _stock(spark, d):
+    part = T.table(spark, d, "part").select(c("p_partkey").alias("l_partkey"), "p_brand")
+    own = (F.substring("p_brand", 7, 1).cast("int") == c("l_suppkey") % 5 + 1) & (F.substring("p_brand", 8, 1) != "5")
+    lines = T.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity").join(part, "l_partkey")
+    return lines.filter(own | (c("l_quantity") > 48)).select((c("l_suppkey") % 25).alias("group_id"), c("l_partkey").alias("member")).distinct()
+
+
 def _members(spark, d):
+    """Both sides, and as candidates every brand with every one of the 25 groups."""
     left = T.table(spark, d, "part").select(c("p_brand").alias("set_id"), c("p_partkey").alias("member"))
-    right = T.table(spark, d, "lineitem").select(c("l_suppkey").alias("group_id"), c("l_partkey").alias("member"))
-    # candidates: every supplier that ever sold a part of the brand
-    pairs = T.table(spark, d, "lineitem").join(
-        T.table(spark, d, "part"), c("l_partkey") == c("p_partkey")).select(
-        c("p_brand").alias("set_id"), c("l_suppkey").alias("group_id")).distinct()
-    return left, right, pairs.withColumn("name_sim", F.lit(0.0))
-
-
-OVERLAP = """a AS (SELECT DISTINCT p_brand AS set_id, p_partkey AS member FROM part), b AS (SELECT DISTINCT l_suppkey AS group_id, l_partkey AS member FROM lineitem),
-cand AS (SELECT DISTINCT p_brand AS set_id, l_suppkey AS group_id FROM lineitem JOIN part ON l_partkey = p_partkey),
-ov AS (SELECT set_id, group_id, count(*) AS shared, any_value(size) AS size, count(*) / any_value(size) AS overlap
-  FROM cand JOIN a USING (set_id) JOIN b USING (group_id, member) JOIN (SELECT set_id, count(*) AS size FROM a GROUP BY 1) USING (set_id) GROUP BY 1, 2)"""
+    pairs = left.select("set_id").distinct().withColumn("group_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(24).cast("bigint"))))
+    return left, _stock(spark, d), pairs.withColumn("name_sim", F.lit(0.0))
+
+
+OVERLAP = """a AS (SELECT DISTINCT p_brand AS set_id, p_partkey AS member FROM part),
+b AS (SELECT DISTINCT l_suppkey % 25 AS group_id, l_partkey AS member FROM lineitem JOIN part ON l_partkey = p_partkey
+  WHERE CAST(substr(p_brand, 7, 1) AS INT) = l_suppkey % 5 + 1 AND substr(p_brand, 8, 1) <> '5' OR l_quantity > 48),
+cand AS (SELECT s.set_id, g.group_id FROM (SELECT DISTINCT set_id FROM a) s, (SELECT DISTINCT group_id FROM b) g),
+sh AS (SELECT set_id, group_id, count(*) AS shared FROM a JOIN b USING (member) GROUP BY 1, 2),
+ov AS (SELECT set_id, group_id, coalesce(shared, 0) AS shared, size, coalesce(shared, 0) / size AS overlap
+  FROM cand JOIN (SELECT set_id, count(*) AS size FROM a GROUP BY 1) USING (set_id) LEFT JOIN sh USING (set_id, group_id))"""
 REPORT = OVERLAP + """,
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY overlap DESC, group_id) AS rn FROM ov) WHERE rn = 1),
-report AS (SELECT set_id, group_id, 3.0::DOUBLE * overlap AS score, floor(coalesce(overlap, 0) * 1000 + 0.5) / 1000 AS overlap, coalesce(overlap >= 0.36, false) AS accepted
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY overlap DESC, group_id) AS rn FROM ov WHERE overlap > 0) WHERE rn = 1),
+report AS (SELECT set_id, group_id, 3.0::DOUBLE * overlap AS score, floor(coalesce(overlap, 0) * 1000 + 0.5) / 1000 AS overlap, coalesce(overlap >= 0.5, false) AS accepted
   FROM (SELECT DISTINCT set_id FROM a) LEFT JOIN best USING (set_id))"""
 
 
@@ -154,7 +164,7 @@ def _(spark, d):
 
 
 def report(spark, d):
-    return C.verified_match(*_members(spark, d), accept=0.36)
+    return C.verified_match(*_members(spark, d))
 
 
 @query("j2_verified_match", "WITH " + REPORT + """
@@ -177,9 +187,16 @@ def name_sets(spark, d):
 
 
 def name_groups(spark, d):
+    """Suppliers in 60 groups by number, under the name of the first."""
     s = T.table(spark, d, "supplier").join(T.table(spark, d, "nation"), c("s_nationkey") == c("n_nationkey"))
-    return s.select(c("s_suppkey").alias("group_id"), F.concat("s_name", F.lit(" "), "n_name").alias("name"),
-                    F.concat(F.lit("BRAND"), F.lpad(c("s_suppkey").cast("string"), 2, "0")).alias("abbreviation"))
+    first = F.min_by(F.concat("s_name", F.lit(" "), "n_name"), "s_suppkey").alias("name")
+    return s.groupBy((c("s_suppkey") % 60).alias("group_id")).agg(first).withColumn(
+        "abbreviation", F.concat(F.lit("BRAND"), F.lpad(c("group_id").cast("string"), 2, "0")))
+
+
+def grouped(products, groups):
+    """Products under the number of their supplier's group."""
+    return products.withColumn("group_id", c("group_id") % groups)
 
 
 @query("j1_set_candidates")
@@ -188,30 +205,30 @@ def _(spark, d):
 
 
 @query("j3_attach_products", "WITH " + T.CARDS + ",\n" + _PRODUCTS + ",\n" + REPORT + """,
-one AS (SELECT group_id, number, arg_min(product_id, row(length(name), product_id)) AS product_id FROM products WHERE number IS NOT NULL GROUP BY 1, 2)
+one AS (SELECT group_id % 25 AS group_id, number, arg_min(product_id, row(length(name), product_id)) AS product_id FROM products WHERE number IS NOT NULL GROUP BY 1, 2)
 SELECT card_id, r.group_id, product_id, 'https://www.tcgplayer.com/product/' || product_id AS url
 FROM cards LEFT JOIN (SELECT * FROM report WHERE accepted) r USING (set_id) LEFT JOIN one ON one.group_id = r.group_id AND one.number = card_id || '/50'""")
 def _(spark, d):
     cards = T.cards(spark, d).withColumn("number", F.concat(c("card_id").cast("string"), F.lit("/50")))
-    out = C.attach_products(cards, products(spark, d), report(spark, d))
+    out = C.attach_products(cards, grouped(products(spark, d), 25), report(spark, d))
     return out.select("card_id", "group_id", "product_id", "url")
 
 
 def catalogue(spark, d):
     cards = T.cards(spark, d).withColumn("number", F.concat(c("card_id").cast("string"), F.lit("/50")))
-    return C.attach_products(cards, products(spark, d), report(spark, d))
+    return C.attach_products(cards, grouped(products(spark, d), 25), report(spark, d))
 
 
 @query("a10_join_coverage", "WITH " + T.CARDS + ",\n" + _PRODUCTS + ",\n" + REPORT + ",\n" + T.PRICE_FEED + """,
-one AS (SELECT group_id, number, min(product_id) AS product_id FROM products WHERE number IS NOT NULL GROUP BY 1, 2),
+one AS (SELECT group_id % 25 AS group_id, number, arg_min(product_id, row(length(name), product_id)) AS product_id FROM products WHERE number IS NOT NULL GROUP BY 1, 2),
 cat AS (SELECT card_id, one.product_id FROM cards LEFT JOIN (SELECT * FROM report WHERE accepted) r USING (set_id) LEFT JOIN one ON one.group_id = r.group_id AND one.number = card_id || '/50'),
-m AS (SELECT cat.*, p.product_id IS NOT NULL AS priced FROM cat LEFT JOIN (SELECT DISTINCT l_partkey * 1000 + l_suppkey AS product_id FROM lineitem WHERE l_discount < 0.05) p ON p.product_id = cat.product_id)
+m AS (SELECT cat.*, p.product_id IS NOT NULL AS priced FROM cat LEFT JOIN (SELECT DISTINCT l_partkey * 10000000 + l_suppkey AS product_id FROM lineitem WHERE l_discount < 0.05) p ON p.product_id = cat.product_id)
 SELECT 'totals' AS section, NULL AS card_id, count(*) AS cards, count(product_id) AS matched, count(*) FILTER (priced) AS priced,
   count(product_id) / count(*) * 100 AS matched_pct, count(*) FILTER (priced) / count(*) * 100 AS priced_pct FROM m
 UNION ALL (SELECT 'unpriced', CAST(card_id AS VARCHAR), NULL, NULL, NULL, NULL, NULL FROM m WHERE NOT priced ORDER BY m.card_id LIMIT 6)""")
 def _(spark, d):
     rows = T.table(spark, d, "lineitem").select(
-        (c("l_partkey") * 1000 + c("l_suppkey")).alias("product_id"), F.when(c("l_discount") < 0.05, c("l_extendedprice")).alias("market"))
+        (c("l_partkey") * T.LISTING + c("l_suppkey")).alias("product_id"), F.when(c("l_discount") < 0.05, c("l_extendedprice")).alias("market"))
     return C.join_coverage(catalogue(spark, d), rows)
 
 

@@ -89,13 +89,13 @@ def _(spark, d):
 
 
 # products: one per part; several suppliers' listings of a part share the product
-_LISTINGS = "listings AS (SELECT DISTINCT l_partkey * 1000 + l_suppkey AS card_id, CASE WHEN l_suppkey < 90 THEN l_partkey END AS product_id FROM lineitem)"
+_LISTINGS = "listings AS (SELECT DISTINCT l_partkey * 10000000 + l_suppkey AS card_id, CASE WHEN l_suppkey % 10 <> 0 THEN l_partkey END AS product_id FROM lineitem)"
 
 
 def listings(spark, d):
     return T.table(spark, d, "lineitem").select(
-        (c("l_partkey") * 1000 + c("l_suppkey")).alias("card_id"),
-        F.when(c("l_suppkey") < 90, c("l_partkey")).alias("product_id")).distinct()
+        (c("l_partkey") * T.LISTING + c("l_suppkey")).alias("card_id"),
+        F.when(c("l_suppkey") % 10 != 0, c("l_partkey")).alias("product_id")).distinct()
 
 
 @query("j4_fan_out_prices", "WITH " + T.PRICES + ",\n" + _LISTINGS + """

@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitrine.operators import hamming as H
@@ -32,13 +31,21 @@ def _newlines(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
+def _lines(parts: Column, hits: Column) -> Column:
+    """The line each hit begins on, from the pieces around the hits."""
+    here = F.transform(hits, lambda h, i: _newlines(F.get(parts, i)) + F.when(i > 0, _newlines(F.get(hits, i - 1))).otherwise(0))
+    start = F.struct(F.lit(1).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("lines"))
+    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["lines"], F.array(acc["at"] + n)).alias("lines"))
+    return F.aggregate(here, start, step, lambda acc: acc["lines"])
+
+
 def audit_text(
     docs: DataFrame, rules=RULES, allowed_emails: list[str] = (), key: str = "doc_id", text: str = "text", path: str | None = None,
 ) -> DataFrame:
     """Findings of every rule over whole texts: ``line, label, hit, severity``.
 
     Only matching texts are split at their matches. The line of a match is one more than the newlines in everything
-    before it, summed over the pieces between matches.
+    before it, summed inside the row over the pieces between matches: nothing is shuffled, and rows of equal keys do not mix.
     """
     if path is not None:
         ext = F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
@@ -49,18 +56,13 @@ def audit_text(
     found = F.array_compact(F.array(*[
         F.when(body.rlike(pattern), F.struct(
             F.lit(label).alias("label"), F.lit(severity).alias("severity"), F.regexp_extract_all(body, F.lit(pattern), F.lit(0)).alias("hits"),
-            F.transform(F.split(body, pattern, -1), _newlines).alias("gaps")))
+            F.split(body, pattern, -1).alias("parts")))
         for label, pattern, severity in rules
     ]))
     some = docs.filter(functools.reduce(lambda a, b: a | b, [body.rlike(pattern) for _, pattern, _ in rules]))
     per_rule = some.select(key, F.inline(found))
-    each = per_rule.select(
-        key, "label", "severity", F.posexplode(F.arrays_zip("hits", F.slice("gaps", 1, F.size("hits")))).alias("n", "m"))
-    each = each.select(key, "label", "severity", "n", F.col("m.hits").alias("hit"), F.col("m.1").alias("gap"))
-    # A text's own matches only: the window is bounded by one text.
-    run = W.partitionBy(key, "label").orderBy("n")
-    before = F.sum("gap").over(run) + F.coalesce(F.sum(_newlines(F.col("hit"))).over(run.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    out = each.withColumn("line", (before + 1).cast("bigint"))
+    each = per_rule.select(key, "label", "severity", F.inline(F.arrays_zip(_lines(F.col("parts"), F.col("hits")).alias("line"), F.col("hits").alias("hit"))))
+    out = each.toDF(key, "label", "severity", "line", "hit")
     if allowed_emails:
         out = out.filter(~((F.col("label") == "email address") & F.lower("hit").isin([e.lower() for e in allowed_emails])))
     return out.select(key, "line", "label", F.substring("hit", 1, EXCERPT).alias("hit"), "severity")

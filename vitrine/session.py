@@ -58,11 +58,6 @@ def _removed_at_exit(spark: SparkSession, folder: str) -> None:
         _marked.add(folder)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows to all slots, for work that costs far more per row than moving the row does."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a frame reliably so that later jobs do not recompute it."""
     spark = df.sparkSession
