@@ -135,3 +135,32 @@ def test_footer_needs_a_clear_gap(spark):
     df = spark.createDataFrame([(near(0b11111111, 0), [0]), (near(0b11111, 0), [0]), (near(0, None), [0])], schema)
     got = [r.c for r in df.select(R.resolve_by_footer(F.col("near"), F.col("strip"), n_words=1).alias("c")).collect()]
     assert got == [2, None, None]
+
+
+@pytest.mark.parametrize("noise", [0, 20, 384])
+def test_long_descriptors_are_bounded_by_their_first_words(spark, noise):
+    """768 bits: near copies of references, and noise that no bound can rule out; ties by id."""
+    rng = np.random.default_rng(noise)
+    refs = prints(rng, 120, words=12, distinct=80)
+    asked = []
+    for i in range(40):
+        flips = rng.choice(768, noise, replace=False)
+        asked.append([int((w ^ sum(1 << int(f % 64) for f in flips if f // 64 == j)) - (1 << 64) if (w ^ sum(1 << int(f % 64) for f in flips if f // 64 == j)) >> 63 else (w ^ sum(1 << int(f % 64) for f in flips if f // 64 == j)))
+                      for j, w in enumerate(x & (2**64 - 1) for x in refs[i])])
+    q, r = list(enumerate(asked)), list(enumerate(refs))
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} bigint, desc array<bigint>")
+    for k, blocks in ((3, {}), (3, {"block_rows": 17}), (200, {})):
+        got = H.hamming_topk(frame(q, "query_id"), frame(r, "ref_id"), k, 12, **blocks)
+        out = {}
+        for x in got.orderBy("query_id", "rank").collect():
+            out.setdefault(x.query_id, []).append((x.distance, x.ref_id))
+        assert out == brute(q, r, k)
+
+
+def test_queries_of_a_block_are_dealt_to_tasks(spark, data):
+    _, r, queries, refs = data
+    assert H.block_count(refs, 100) == 3 and H.block_count(refs.limit(0)) == 1
+    near = H.hamming_nearest(queries, refs, 2, 3)
+    assert near.count() == queries.count() == near.select("query_id").distinct().count()
+    assert near.select(F.spark_partition_id()).distinct().count() > 1
+    assert H.hamming_nearest(queries, refs.limit(0), 2, 3).filter(F.size("nearest") == 0).count() == queries.count()

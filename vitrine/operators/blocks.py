@@ -2,12 +2,14 @@
 
 Some questions (nearest fingerprints, most similar names) must look at every
 query against every reference. They are never written as a join: a join would
-emit every pair. References are dealt once to blocks by a hash of their id, so
-copies and hot values spread; queries go once to every block. A task reads one
-block's references, prepares them once, and streams the queries past them in
+emit every pair. References are counted and dealt to blocks by a hash of their
+id, so copies and hot values spread; a block holds ``BLOCK_ROWS`` of them, so their
+number alone says how often a query is sent. Where there are fewer blocks than
+tasks, the queries of a block are dealt to several tasks, and each gets the
+block. A task prepares one block's references once and streams queries past them in
 batches; the best few per query (or a histogram) leave it, and lists of one
-query are merged. There is one plan at every size, and neither side ever
-reaches the driver.
+query are merged where there is more than one block. There is one plan at every
+size, and neither side ever reaches the driver.
 
 With a ``group``, references only meet queries of their group: the group is
 part of a block's key, and a group is cut into blocks by its own size, so the
@@ -36,8 +38,8 @@ def map_blocks(
     """Run ``kernel`` so that every pair (of a group) is seen exactly once; rows are per query and block.
 
     ``blocks`` is how many blocks references without a group are dealt to, by
-    default ``spark.sql.shuffle.partitions``: size that so that a block's
-    references fit in a task. A block without references sees its queries too.
+    default as many as their number asks for (:func:`block_count`). A block without
+    references sees its queries too.
     """
     spark = queries.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -50,11 +52,17 @@ def map_blocks(
         own = F.col("_group").eqNullSafe(F.col("_g"))
         q, r = q.join(sizes, own, "left").drop("_g"), r.join(sizes, own, "left").drop("_g")
     else:
-        q, r = (x.withColumns({"_group": F.lit(0), "_n": F.lit(blocks or parts)}) for x in (q, r))
+        blocks = blocks or block_count(refs, block_rows)
+        q, r = (x.withColumns({"_group": F.lit(0), "_n": F.lit(blocks)}) for x in (q, r))
     n = F.coalesce("_n", F.lit(1))
-    q = q.select("_group", F.explode(F.sequence(F.lit(0), n - 1)).alias("_block"), F.lit(1).alias("_side"), "_q")
-    r = r.select("_group", F.pmod(F.xxhash64(f"_r.{ref_id}"), n).cast("int").alias("_block"), F.lit(0).alias("_side"), "_r")
-    met = r.unionByName(q, allowMissingColumns=True).repartition(max(parts, blocks or 0), "_group", "_block")
+    # A block's number above, the share of its queries below.
+    shares = 1 if group else max(1, parts // blocks)
+    own = F.pmod(F.xxhash64(F.col(f"_q.{query_id}")), F.lit(shares)).cast("int")
+    q = q.select("_group", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda b: b * shares + own)).alias("_block"), F.lit(1).alias("_side"), "_q")
+    block = F.pmod(F.xxhash64(f"_r.{ref_id}"), n).cast("int")
+    r = r.select("_group", F.explode(F.sequence(block * shares, block * shares + (shares - 1))).alias("_block"), F.lit(0).alias("_side"), "_r")
+    met = r.unionByName(q, allowMissingColumns=True)
+    met = met.repartition(parts, "_group", "_block") if group else met.repartitionById(max(parts, blocks), F.col("_block"))
     met = met.sortWithinPartitions("_group", "_block", "_side", f"_r.{ref_id}")
     # Rows of a block are told from the next one's by a hash and their number; groups may be of any type.
     met = met.select(F.xxhash64("_group", "_block").alias("_key"), "_block", "_side", "_q", "_r")
@@ -86,6 +94,11 @@ def map_blocks(
     return met.mapInArrow(over, schema)
 
 
+def block_count(refs: DataFrame, block_rows: int = BLOCK_ROWS) -> int:
+    """How many blocks the references' number asks for; one row reaches the driver."""
+    return max(1, -(-refs.count() // block_rows))
+
+
 def _fields(schema: str) -> list[str]:
     """Top-level fields of a schema text."""
     out, depth = [""], 0

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitrine.functions import bits as B
-from vitrine.operators.blocks import map_blocks, merge_nearest
+from vitrine.operators.blocks import BLOCK_ROWS, block_count, map_blocks, merge_nearest
 
 _CELLS = 4_000_000  # distances held at once in a task
 
@@ -38,6 +38,26 @@ def distances(q: np.ndarray, r: np.ndarray, mask: np.ndarray | None = None) -> n
     return out
 
 
+def _bounded_nearest(q: np.ndarray, r: np.ndarray, k: int, lead: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, keys): per query its k nearest as distance * len(r) + row, whole distances only where the first words allow it.
+
+    The k rows that are nearest on the first ``lead`` words give an upper bound
+    of the k-th distance; a row that is farther on these words alone is out.
+    """
+    n = len(r)
+    first = distances(q[:, :lead], r[:, :lead])
+    near = np.argpartition(first, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (len(q), 1))
+    rest = np.bitwise_count(q[:, None, lead:] ^ r[near][:, :, lead:]).sum(axis=2, dtype=np.int64)
+    bound = (np.take_along_axis(first, near, axis=1) + rest).max(axis=1)
+    at, row = np.nonzero(first <= bound[:, None])
+    d = first[at, row] + np.bitwise_count(q[at, lead:] ^ r[row, lead:]).sum(axis=1, dtype=np.int64)
+    key = d * n + row
+    order = np.lexsort((key, at))
+    start = np.searchsorted(at, np.arange(len(q)))
+    picked = order[(start[:, None] + np.arange(k)).ravel()]
+    return np.full(len(q), k), key[picked]
+
+
 def _arrow_type(name: str) -> pa.DataType:
     return {
         "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(),
@@ -59,6 +79,10 @@ def _nearest_kernel(
         apart_r = refs.column(apart).to_numpy() if apart else None
         order = np.arange(n_r, dtype=np.int64)
         step = max(1, _CELLS // max(1, n_r))
+        # Long descriptors: the first words bound the distance, the rest is compared for few.
+        lead = n_words // 4
+        bounded = lead > 0 and mask is None and not self_out and not apart and max_distance is None
+        step = max(1, step // 8) if bounded else step
 
         def kernel(queries: pa.Table) -> pa.Table:
             n_q = queries.num_rows
@@ -69,6 +93,12 @@ def _nearest_kernel(
             apart_q = queries.column(apart).to_numpy() if apart else None
             for at in range(0, n_q if n_r else 0, step):
                 block = slice(at, min(n_q, at + step))
+                if bounded:
+                    got = _bounded_nearest(qw[block], rw, min(k, n_r), lead)
+                    counts[block], hit = got[0], got[1]
+                    rows.append(hit % n_r)
+                    dists.append(hit // n_r)
+                    continue
                 d = distances(qw[block], rw, mask)
                 # distance and reference order in one number: ties are exact
                 key = d.astype(np.int64) * n_r + order[None, :]
@@ -136,8 +166,10 @@ def hamming_nearest(
         k, n_words, query_id, ref_id, keep, [(x, _arrow_type(types[x])) for x in carry], _arrow_type(types[ref_id]),
         apart, self_out, max_distance, np_mask, out_schema,
     )
+    if group is None:
+        blocks["blocks"] = blocks.get("blocks") or block_count(refs, blocks.get("block_rows", BLOCK_ROWS))
     out = map_blocks(queries.select(*q_cols), refs.select(*r_cols), kernel, schema, query_id, ref_id, group=group, **blocks)
-    return merge_nearest(out, query_id, keep, k)
+    return out if blocks.get("blocks") == 1 else merge_nearest(out, query_id, keep, k)
 
 
 def hamming_topk(queries: DataFrame, refs: DataFrame, k: int, n_words: int, engine: str = "arrow", **options) -> DataFrame:
