@@ -122,18 +122,55 @@ def test_gates(spark):
     assert newer.count() == 49 and P.prefer_newer_book(book(50, "2026-01-02"), book(50, "2026-01-01"), min_cards=10).first().chosen == "bundled"
 
 
+def book_of(spark, n, day):
+    return spark.range(n).select(F.col("id").alias("card_id"), F.lit("N").alias("variant"), F.lit(1.0).alias("market"), F.lit(day).alias("as_of"))
+
+
 def test_refresh_verdicts(spark, tmp_path):
-    book = lambda n, day: spark.range(n).select(F.col("id").alias("card_id"), F.lit("N").alias("variant"), F.lit(1.0).alias("market"), F.lit(day).alias("as_of"))
     state = str(tmp_path / "state")
     adopted = []
-    see = lambda df: adopted.append(df.count())
-    run = lambda df, at, **k: RF.consider_book(df, state, at, min_cards=10, on_adopt=see, **k)["status"]
-    assert run(book(100, "2026-08-13"), "2026-08-13 08:00") == "updated"
-    assert run(book(100, "2026-08-14"), "2026-08-13 20:00") == "not due"
-    assert run(book(20, "2026-08-14"), "2026-08-14 08:00") == "refused"
-    assert run(book(99, "2026-08-14"), "2026-08-14 09:00", forced=True) == "updated"
-    assert run(book(99, "2026-08-14"), "2026-08-15 09:00") == "current"
-    assert adopted == [100, 99]
+    numbers = iter(range(99))
+
+    def run(n, day, at, **k):
+        return RF.consider_book(book_of(spark, n, day), state, f"{next(numbers):03d}", at, min_cards=10, on_adopt=lambda df, path: adopted.append(df.count()), **k)["status"]
+
+    assert RF.current_book(spark, state) is None
+    assert run(5, "2026-08-13", "2026-08-13 07:00") == "refused"  # nothing stands yet, so the next is due
+    assert run(100, "2026-08-13", "2026-08-13 08:00") == "updated"
+    assert run(100, "2026-08-14", "2026-08-13 20:00") == "not due"
+    assert run(20, "2026-08-14", "2026-08-14 08:00") == "refused"
+    assert run(99, "2026-08-14", "2026-08-14 09:00", forced=True) == "updated"
+    assert run(99, "2026-08-14", "2026-08-15 09:00") == "current"
+    assert adopted == [100, 99] and RF.current_book(spark, state).count() == 99
+    assert [r.status for r in RF.verdicts(spark, state).collect()] == ["refused", "updated", "not due", "refused", "updated", "current"]
+
+
+@pytest.mark.parametrize("step", ["the book", "what it makes", "the commit", "after the commit"])
+def test_an_adoption_that_crashes_repeats_cleanly(spark, tmp_path, monkeypatch, step):
+    """Whatever was written without a commit is not seen, and the same batch again gives the result of one run."""
+    state = str(tmp_path / "state")
+    made = lambda df, path: df.limit(7).write.mode("overwrite").parquet(path)
+    consider = lambda n, day, number, on_adopt=made: RF.consider_book(book_of(spark, n, day), state, number, day + " 08:00", min_cards=10, on_adopt=on_adopt)
+    consider(50, "2026-08-13", "000")
+
+    def fail(*_):
+        raise RuntimeError("killed")
+
+    if step == "after the commit":
+        first = consider(60, "2026-08-14", "001")
+    else:
+        with monkeypatch.context() as patch, pytest.raises(Exception, match="killed"):
+            if step == "the commit":
+                patch.setattr(RF.Commits, "write", fail)
+            if step == "the book":
+                patch.setattr("pyspark.sql.DataFrameWriter.parquet", fail)
+            consider(60, "2026-08-14", "001", fail if step == "what it makes" else made)
+        assert RF.current_book(spark, state).count() == 50 and RF.verdicts(spark, state).count() == 1
+        first = None
+    again = consider(60, "2026-08-14", "001")
+    assert again["status"] == "updated" and first in (None, again)
+    assert RF.current_book(spark, state).count() == 60 and RF.verdicts(spark, state).count() == 2
+    assert spark.read.parquet(f"{state}/made/001").count() == 7
 
 
 def test_set_candidates_by_name_and_code(spark):

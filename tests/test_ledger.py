@@ -124,3 +124,50 @@ def test_library_commands(spark):
     df = spark.createDataFrame(rows, "owner bigint, seq bigint, op string, collection_id string, name string, at bigint")
     got = G.manage_collections(df).collect()
     assert [(r.collection_id, r.name, r.active) for r in got] == [("x", "My cards", True)]
+
+
+def test_versions_stay_few_and_equal_a_loop(spark, tmp_path, monkeypatch):
+    """Many small batches: the same piles as one loop, changed piles only in a part, parts as digits of the number."""
+    monkeypatch.setattr(G, "PARTS", 2)
+    rows = random_log(9, 220)
+    state = str(tmp_path / "state")
+    for i in range(5):
+        lines = G.complete_log(spark.createDataFrame(rows[44 * i:44 * i + 44], LOG))
+        G.apply_batch(lines, state, f"{i:03d}", F.floor(F.col("seq") / 100))
+        parts = G.Commits(spark, f"{state}/commits").read(f"{i:03d}")["parts"]
+        digits = np.base_repr(i + 1, 2)
+        assert len(parts) == sum(map(int, digits)) and [p[1] for p in parts] == sorted((p[1] for p in parts), reverse=True)
+    got = piles_of(G.read_ledger(spark, state))
+    assert [g[:2] + g[8:10] for g in got] == [w[:2] + w[8:10] for w in loop(rows)]
+    assert len(G.Commits(spark, f"{state}/commits").folders(f"{state}/parts")) <= 6
+
+
+@pytest.mark.parametrize("step", ["_write_part", "write"])
+def test_a_killed_batch_repeats_cleanly(spark, tmp_path, monkeypatch, step):
+    rows = random_log(13, 60)
+    state, at = str(tmp_path / "state"), F.floor(F.col("seq") / 100)
+    part = lambda i: G.complete_log(spark.createDataFrame(rows[20 * i:20 * i + 20], LOG))
+    G.apply_batch(part(0), state, "000", at)
+    before = piles_of(G.read_ledger(spark, state))
+
+    def fail(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError, match="killed"):
+        patch.setattr(*((G, step, fail) if step == "_write_part" else (G.Commits, step, fail)))
+        G.apply_batch(part(1), state, "001", at)
+    assert piles_of(G.read_ledger(spark, state)) == before
+    for number, i in (("001", 1), ("001", 1), ("002", 2), ("001", 1)):
+        G.apply_batch(part(i), state, number, at)
+    got = piles_of(G.read_ledger(spark, state))
+    assert [g[:2] + g[8:10] for g in got] == [w[:2] + w[8:10] for w in loop(rows)]
+
+
+def test_a_batch_writes_what_it_changes(spark, tmp_path):
+    state, at = str(tmp_path / "state"), F.floor(F.col("seq") / 100)
+    line = lambda seq, card, n: ("a", seq, seq, "add", card, f"Name {card}", "N", "NM", n, 1.0, None, None, None, None, None, None)
+    G.apply_batch(G.complete_log(spark.createDataFrame([line(i, i, 1) for i in range(50)], LOG)), state, "000", at)
+    G.apply_batch(G.complete_log(spark.createDataFrame([line(60, 7, 2)], LOG)), state, "001", at)
+    stored = spark.read.parquet(f"{state}/parts/001").collect()
+    assert [(r.card_id, r.quantity, r.gone) for r in stored] == [(7, 3, False)]
+    assert G.read_ledger(spark, state).count() == 50

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from vitrine.bindings import base as T
 from vitrine.bindings.fingerprint import names
+from vitrine.bindings.pricing import WANTS, wants
 from vitrine.bindings.reg import registrar
 from vitrine.functions import bits as B
-from vitrine.operators import catalogue as C
-from vitrine.session import shared_path
+from vitrine.operators import piles as L
+from vitrine.operators.book import manifest
+from vitrine.session import settle, shared_path
 from vitrine.streaming import allowance as AL
 from vitrine.streaming import confirm as CF
 from vitrine.streaming import ledger as LG
@@ -222,17 +224,43 @@ def _(spark, d):
     return SE.run_to_end(AL.allowance_stream(_stream(spark, allowance_events(spark, d), "quota", "user_id", "seq")), shared_path(spark, "quota-out"))
 
 
-# Books by year of shipment; a day before each the checks are made.
-@query("g9_price_refresh_stream", """
-WITH y AS (SELECT DISTINCT year(l_shipdate) AS y FROM lineitem WHERE l_discount < 0.09 OR l_tax < 0.07)
-SELECT y || '-12-31' AS as_of, 'updated' AS status FROM y""")
+# Books by year of shipment, those of some years thinned out so that the gate refuses them.
+# What an adopted book makes: the stored piles and wants it would reprice, and its manifest.
+THIN, KEEP, LEAST = 3, 0.9, 20
+
+
+@query("g9_price_refresh_stream", "WITH RECURSIVE " + T.PILES + ",\n" + T.PRICE_FEED + ",\n" + WANTS + f""",
+books AS (SELECT year(l_shipdate) AS y, product_id AS card_id, variant, max(market) AS market FROM feed
+  WHERE (market IS NOT NULL OR low IS NOT NULL) AND (year(l_shipdate) % {THIN} <> 0 OR product_id % 2 = 0) GROUP BY 1, 2, 3),
+y AS (SELECT y, count(DISTINCT card_id) AS cards, row_number() OVER (ORDER BY y) AS rn FROM books GROUP BY 1),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS y, CAST(0 AS BIGINT) AS cards, CAST(0 AS BIGINT) AS prev, CAST(NULL AS VARCHAR) AS reason
+  UNION ALL
+  SELECT s.rn, s.y, s.cards, CASE WHEN s.reason IS NULL THEN s.cards ELSE s.prev END, s.reason
+  FROM (SELECT y.rn, y.y, y.cards, r.prev, CASE WHEN y.cards < {LEAST} THEN 'too few cards' WHEN r.prev > 0 AND y.cards < r.prev * {KEEP} THEN 'lost too many cards' END AS reason
+        FROM r JOIN y ON y.rn = r.rn + 1) s),
+p AS (SELECT y, count(*) AS piles FROM piles JOIN books USING (card_id, variant) WHERE market IS NOT NULL AND market IS DISTINCT FROM unit_price GROUP BY 1),
+w AS (SELECT y, count(*) AS wants FROM wants JOIN (SELECT y, card_id, max(market) AS m FROM books GROUP BY 1, 2) USING (card_id) WHERE m IS NOT NULL AND m IS DISTINCT FROM unit_price GROUP BY 1)
+SELECT r.y || '-12-31' AS as_of, CASE WHEN reason IS NULL THEN 'updated' ELSE 'refused' END AS status, reason,
+  CASE WHEN reason IS NULL THEN r.cards END AS cards, CASE WHEN reason IS NULL THEN coalesce(piles, 0) END AS piles, CASE WHEN reason IS NULL THEN coalesce(wants, 0) END AS wants
+FROM r LEFT JOIN p USING (y) LEFT JOIN w USING (y) WHERE r.rn > 0""")
 def _(spark, d):
     feed = T.price_feed(spark, d, keep=["l_shipdate"]).withColumn("y", F.year("l_shipdate"))
-    books = feed.filter(c("market").isNotNull() | c("low").isNotNull()).groupBy("y", c("product_id").alias("card_id"), "variant").agg(
+    feed = feed.filter((c("market").isNotNull() | c("low").isNotNull()) & ((c("y") % THIN != 0) | (c("product_id") % 2 == 0)))
+    books = feed.groupBy("y", c("product_id").alias("card_id"), "variant").agg(
         F.max("market").alias("market"), F.max("low").alias("low"), F.max("high").alias("high")).select(
         "card_id", "variant", "market", "low", "high", F.concat(c("y").cast("string"), F.lit("-12-31")).alias("as_of"),
         F.to_timestamp(F.concat(c("y").cast("string"), F.lit("-12-31 08:00:00"))).alias("checked_at"))
-    state, log = shared_path(spark, "book-state"), shared_path(spark, "book-log")
-    writer = RF.price_refresh_stream(_stream(spark, books, "books", "as_of", "checked_at"), state, log, min_cards=1, keep=0.0)
+    piles, wanted = settle(T.piles(spark, d)), settle(wants(spark, d))
+
+    def adopted(book, path):
+        count = lambda rows, name: rows.agg(F.sum(c("changed").cast("bigint")).alias(name)).withColumn("one", F.lit(1))
+        changed = count(L.reprice_piles(piles, book), "piles").join(count(L.reprice_wants(wanted, book), "wants"), "one")
+        manifest(book).withColumn("one", F.lit(1)).join(changed, "one").drop("one").write.mode("overwrite").parquet(path)
+
+    state = shared_path(spark, "book-state")
+    writer = RF.price_refresh_stream(_stream(spark, books, "books", "as_of", "checked_at"), state, min_cards=LEAST, keep=KEEP, on_adopt=adopted)
     writer.option("checkpointLocation", shared_path(spark, "book-check")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("as_of STRING, status STRING, reason STRING").json(log + "/*").select("as_of", "status")
+    made = spark.read.schema("updated string, cards bigint, piles bigint, wants bigint").parquet(f"{state}/made/*")
+    done = RF.verdicts(spark, state).select("as_of", "status", "reason")
+    return done.join(made, (c("as_of") == c("updated")) & (c("status") == "updated"), "left").drop("updated")
