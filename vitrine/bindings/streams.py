@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.bindings import base as T
-from vitrine.bindings.fingerprint import names
+from vitrine.bindings.fingerprint import AMBIGUOUS, BAND, DECISIVE, GATE, names
 from vitrine.bindings.pricing import WANTS, wants
 from vitrine.bindings.reg import registrar
 from vitrine.functions import bits as B
@@ -19,6 +19,7 @@ from vitrine.session import settle, shared_path
 from vitrine.streaming import allowance as AL
 from vitrine.streaming import confirm as CF
 from vitrine.streaming import ledger as LG
+from vitrine.streaming import live as LV
 from vitrine.streaming import refresh as RF
 from vitrine.streaming import sessions as SE
 
@@ -90,14 +91,31 @@ def _(spark, d):
     return out.select("device", "frame_no", "depth", F.hex(B.words_to_binary(c("desc"), 2, 16)).alias("desc"))
 
 
+def live_frames(spark, d):
+    """The print log as frames with a footer and a view upside down: the vector read backwards."""
+    values = F.reverse(F.col("embedding").cast("array<double>"))
+    turned = T.table(spark, d, "embeddings").select(
+        c("vec_id").alias("frame_no"), B.pack_bits(F.concat(B.diff_bits(values), B.median_bits(values)), T.FP_BITS).alias("turned_desc"),
+        B.pack_bits(B.median_bits(values), 64).alias("turned_strip"))
+    footers = T.fingerprints(spark, d).select(c("row_id").alias("frame_no"), "strip")
+    look = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: B.bit_at(c("desc"), i).cast("double") * 100)
+    log = print_log(spark, d).drop("flipped").join(turned, "frame_no").join(footers, "frame_no")
+    return log.withColumns({"ts": F.timestamp_seconds("frame_no"), "area": F.lit(1.0), "signature": look})
+
+
 @query("p3_live_hits")
 def _(spark, d):
-    log = print_log(spark, d).withColumn("area", F.lit(1.0)).withColumn(
-        "signature", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: B.bit_at(c("desc"), i).cast("float") * 100))
-    refs = names(T.fingerprints(spark, d).withColumnRenamed("row_id", "ref_id"))
-    hits = CF.live_hits(
-        _stream(spark, log.drop("flipped"), "live"), refs, T.FP_WORDS, T.FP_BITS, max_distance=64, min_name_margin=0, max_drift=64, near=1)
-    return SE.run_to_end(hits, shared_path(spark, "live-hits"))
+    retail = T.cards(spark, d).select(c("card_id").alias("ref_id"), c("retail").alias("price"))
+    refs = names(T.fingerprints(spark, d).withColumnRenamed("row_id", "ref_id")).withColumn("ref_strip_0", c("strip")[0]).join(retail, "ref_id", "left")
+    refs = settle(refs.select("ref_id", "name", "desc", "price", "ref_strip_0"))
+    state = shared_path(spark, "live")
+    writer = LV.live_reads(
+        _stream(spark, live_frames(spark, d), "live-frames"), refs, state, T.FP_WORDS, T.FP_BITS, max_distance=GATE, min_name_margin=0, max_drift=64,
+        flip_gate=38, hit={"margin": AMBIGUOUS, "band": BAND, "decisive": DECISIVE})
+    writer.option("checkpointLocation", shared_path(spark, "live-check")).trigger(availableNow=True).start().awaitTermination()
+    hits = SE.run_to_end(LV.live_hits(spark, state, near=1), shared_path(spark, "live-hits"))
+    rows = LV.hits_with_rivals(hits, LV.stored_reads(spark, state, refs))
+    return rows.select("device", "frame_no", "hit_id", "distance", "sharpest_frame", "orientation", "price", "confidence", "resolved", "ambiguous")
 
 
 STATS = """SELECT user_id AS device, time_bucket(INTERVAL '6 hours', ts) AS window_start, count(*) AS frames, count(*) FILTER (event_type <> 'error') AS detected,

@@ -61,7 +61,7 @@ def _bounded_nearest(q: np.ndarray, r: np.ndarray, k: int, lead: int) -> tuple[n
 def _arrow_type(name: str) -> pa.DataType:
     return {
         "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(),
-        "boolean": pa.bool_(),
+        "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()),
     }[name]
 
 
