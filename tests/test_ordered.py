@@ -70,3 +70,25 @@ def test_hold_last(spark):
     df = spark.createDataFrame(rows, "device int, frame_no int, detected boolean, label string")
     out = R.hold_last(df, "label", F.floor(F.col("frame_no") / 3)).orderBy("frame_no").collect()
     assert [r["held"] for r in out] == ["A"] * 8 + [None, None, "B", None, None]
+
+
+@pytest.mark.parametrize("width", [7, 1000])
+def test_session_values_equal_a_plain_loop(spark, width):
+    from vitrine.streaming.sessions import session_values
+
+    random = np.random.default_rng(width)
+    rows, want, totals = [], {}, {}
+    for seq in range(900):
+        session = 0 if random.random() < 0.5 else int(random.integers(1, 4))
+        undone = None if random.random() < 0.05 else bool(random.random() < 0.5)
+        price = None if random.random() < 0.1 else int(random.integers(0, 5000)) / 100
+        hits, cents = totals.get(session, (0, 0))
+        step = -1 if undone else 1
+        totals[session] = max(0, hits + step), max(0, cents + step * round((price or 0) * 100))
+        want[seq] = totals[session][0], totals[session][1] / 100
+        rows.append((session, seq, undone, price, "x"))
+    df = spark.createDataFrame(rows, "session bigint, seq bigint, undone boolean, price double, note string")
+    got = session_values(df, F.floor(F.col("seq") / width))
+    assert got.columns == [*df.columns, "hits", "value"]
+    assert {r.seq: (r.hits, r.value) for r in got.collect()} == want
+    assert session_values(df.limit(0), F.floor(F.col("seq") / width)).count() == 0

@@ -87,3 +87,28 @@ def test_wants_history_tombstones(spark):
         spark.createDataFrame([("c", "k", ms(9))], MARKS), spark.createDataFrame([("c", "k", ms(3))], MARKS), ["collection_id"])
     assert older.first().removed_at == ms(3)
     assert R.sweep_tombstones(older, F.lit(ms(3))).count() == 0
+
+
+def test_a_failed_publication_leaves_state_and_base(spark, tmp_path):
+    root, broken = str(tmp_path), F.raise_error(F.lit("lost"))
+    state = lambda n, wants=None: {
+        "piles": spark.createDataFrame([("a", n)], "collection_id string, quantity long"),
+        "wants": spark.createDataFrame([("a", n)], "collection_id string, card_id long").withColumn("card_id", F.col("card_id") if wants is None else wants)}
+    seen = lambda which: {name: [r[1] for r in df.collect()] for name, df in R.published(spark, root, which).items()}
+    assert seen("live") == seen("base") == {}
+    R.publish(state(1), root, "01")
+    assert seen("live") == seen("base") == {"piles": [1], "wants": [1]}
+    with pytest.raises(Exception, match="lost"):  # between two tables
+        R.publish(state(2, broken.cast("bigint")), root, "02")
+    assert seen("live") == seen("base") == {"piles": [1], "wants": [1]}
+
+    def push(tables):
+        raise ConnectionError("not pushed")
+
+    with pytest.raises(ConnectionError):  # the base waits for the push
+        R.publish(state(2), root, "02", push)
+    assert seen("live") == {"piles": [2], "wants": [2]} and seen("base") == {"piles": [1], "wants": [1]}
+    pushed = []
+    R.publish(state(2), root, "02", lambda tables: pushed.append(sorted(tables)))
+    assert seen("live") == seen("base") == {"piles": [2], "wants": [2]} and pushed == [["piles", "wants"]]
+    assert [p.name for p in (tmp_path / "versions").iterdir()] == ["02"]

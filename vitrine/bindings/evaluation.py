@@ -145,6 +145,22 @@ def _(spark, d):
     return E.margin_by_group(perfect(spark, d), "label")
 
 
+@query("a18_margin_by_group_first_rows", "WITH " + PERFECT + """,
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY row_id) AS rn FROM pm) WHERE rn <= 60),
+o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY margin) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM f)
+SELECT label, any_value(n) AS n, max(margin) FILTER (i = n // 2) AS median, min(margin) AS worst, count(*) FILTER (margin < 24) AS under_gate FROM o GROUP BY 1""")
+def _(spark, d):
+    """The report's own form: the first sixty rows of each group."""
+    return E.margin_by_group(perfect(spark, d), "label", per_group=60)
+
+
+@query("a18_close_margins", "WITH " + PERFECT + """,
+m AS (SELECT row_id, margin, min(margin) OVER () AS worst FROM pm WHERE label = 3)
+SELECT row_id, margin, margin = worst AS is_worst FROM m WHERE margin < 60""")
+def _(spark, d):
+    return E.close_margins(perfect(spark, d), "label", 3)
+
+
 @query("a20_section_profile", "WITH " + T.FP_PAIRS + """,
 x AS (SELECT bit_count(xor(q.diffs, f.diffs)) AS dd, bit_count(xor(q.strip, f.strip)) AS md FROM ranked r JOIN fp q ON q.row_id = r.query_id JOIN fp f ON f.row_id = r.ref_id WHERE rank = 1 AND q.label = f.label)
 SELECT 'diff' AS name, count(*) AS reads, CAST(63 AS BIGINT) AS "of", sum(dd) / count(*) AS mean, sum(dd) / count(*) / 63 * 100 AS pct, sum(dd) / count(*) / 63 * 100 <= 33 AS ok FROM x

@@ -184,3 +184,12 @@ UNION ALL (SELECT 'top', card_id, name, max_market, 'OK' FROM cards JOIN top USI
 def _(spark, d):
     ids = T.table(spark, d, "supplier").select((c("s_suppkey") * 37).alias("card_id"))
     return P.spot_check(T.cards(spark, d), T.book(spark, d), ids)
+
+
+@query("a24_spot_check_variants", "WITH " + T.CARDS + ",\n" + T.PRICES + """,
+ids AS (SELECT s_suppkey * 37 AS card_id FROM supplier)
+SELECT ids.card_id, name, variant, market, CASE WHEN name IS NULL THEN 'NOT FOUND' WHEN market IS NULL THEN 'NO PRICE' ELSE 'OK' END AS status
+FROM ids LEFT JOIN cards USING (card_id) LEFT JOIN (SELECT card_id, variant, market FROM book WHERE market <> 0) b USING (card_id)""")
+def _(spark, d):
+    ids = T.table(spark, d, "supplier").select((c("s_suppkey") * 37).alias("card_id"))
+    return P.spot_check_variants(T.cards(spark, d), T.book(spark, d), ids)

@@ -178,6 +178,18 @@ def _(spark, d):
     return SE.latest(out, ["session"])
 
 
+@query("l7_session_value", """WITH e AS (SELECT user_id AS session, event_id, CASE WHEN event_type IN ('click', 'view') THEN -1 ELSE 1 END AS n,
+  coalesce(CASE WHEN event_type <> 'error' THEN CAST(round(value * 100) AS BIGINT) END, 0) AS cents FROM events),
+f AS (SELECT session, list_reduce(list_prepend({'n': CAST(0 AS BIGINT), 'v': CAST(0 AS BIGINT)}, list({'n': CAST(n AS BIGINT), 'v': CAST(n * cents AS BIGINT)} ORDER BY event_id)),
+  lambda a, b: {'n': greatest(0, a.n + b.n), 'v': greatest(0, a.v + b.v)}) AS s FROM e GROUP BY 1)
+SELECT session, s.n AS hits, s.v / 100.0::DOUBLE AS value FROM f""")
+def _(spark, d):
+    undone = T.table(spark, d, "events").select("event_id", c("event_type").isin("click", "view").alias("undone"))
+    rows = hits_log(spark, d).join(undone, "event_id").withColumnRenamed("event_id", "seq")
+    out = SE.session_values(rows, F.floor(c("seq") / 2000))
+    return out.groupBy("session").agg(F.max_by(F.struct("hits", "value"), "seq").alias("v")).select("session", "v.*")
+
+
 # -- ledgers ------------------------------------------------------------------------
 def ledger_log(spark, d):
     """Pile lines as a log: F orders add, O orders change, P orders undo or set."""

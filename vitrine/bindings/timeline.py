@@ -205,8 +205,9 @@ def _(spark, d):
     local, remote, bases = replica_sides(spark, d)
     state = R.sync_collections(local, remote, bases, NOW())
     root = shared_path(spark, "sync")
-    R.publish(state, root + "/data", root + "/base")
-    count = lambda name: spark.read.parquet(f"{root}/base/{name}").groupBy("collection_id").agg(
+    R.publish(state, root, "0001")
+    base = R.published(spark, root, "base")
+    count = lambda name: base[name].groupBy("collection_id").agg(
         F.count("*").alias("n")).withColumn("child", F.lit(name))
     return count("wants").unionByName(count("history"))
 

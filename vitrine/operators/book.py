@@ -174,3 +174,11 @@ def spot_check(catalogue: DataFrame, rows: DataFrame, ids: DataFrame, k: int = 1
         .select(F.lit("top").alias("section"), "card_id", "name", "max_market", F.lit("OK").alias("status"))
     )
     return listed.unionByName(best)
+
+
+def spot_check_variants(catalogue: DataFrame, rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Listed ids with every priced variant; an id without one, or unknown, is one row that says so."""
+    priced = rows.filter(F.coalesce(F.col("market") != 0, F.lit(False))).select("card_id", "variant", "market")
+    listed = ids.join(catalogue.select("card_id", "name"), "card_id", "left").join(priced, "card_id", "left")
+    status = F.when(F.col("name").isNull(), "NOT FOUND").when(F.col("market").isNull(), "NO PRICE").otherwise("OK")
+    return listed.select("card_id", "name", "variant", "market", status.alias("status"))

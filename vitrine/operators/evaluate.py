@@ -158,6 +158,14 @@ def margin_by_group(margins: DataFrame, group: str, gate: int = R.MIN_NAME_MARGI
         [F.min("margin").alias("worst"), F.coalesce(F.sum(F.when(F.col("margin") < gate, F.col("n"))), F.lit(0)).alias("under_gate")])
 
 
+def close_margins(margins: DataFrame, group: str, value, under: int = 60, row_id: str = "row_id") -> DataFrame:
+    """One group's rows whose margin is under a bound, and how each compares with the group's worst."""
+    mine = margins.filter(F.col(group) == value).select(row_id, "margin", F.lit(1).alias("_one"))
+    worst = F.broadcast(mine.groupBy("_one").agg(F.min("margin").alias("worst")))  # one row
+    return mine.filter(F.col("margin") < under).join(worst, "_one").select(
+        row_id, "margin", (F.col("margin") == F.col("worst")).alias("is_worst"))
+
+
 # -- diagnosis ------------------------------------------------------------------------------
 def section_profile(matches: DataFrame, spans=B.SECTIONS, n_words: int = 12, limit: float = 33.0) -> DataFrame:
     """Mean disagreement per section over correct reads (``desc``, ``ref_desc``)."""

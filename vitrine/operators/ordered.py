@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vitrine.session import settle
+
 CHUNK = "_chunk"
 
 
@@ -73,6 +75,19 @@ def running(
     return out.filter(F.col("_header") == 1).select(*kept, *names)
 
 
+def clamped(df: DataFrame, keys: list[str], order: list, bucket: Column, steps: dict[str, Column]) -> DataFrame:
+    """Add running values that start at zero and never fall below it: x -> max(0, x + step).
+
+    With A the running sum of the steps, x is A - min(0, the least A so far): a
+    running sum and a running maximum, both carried from chunk to chunk. Steps
+    must be exact types; NULL steps count as zero.
+    """
+    kept = df.columns
+    sums = settle(running(df, keys, order, bucket, sums={"_a_" + n: F.coalesce(v, F.lit(0)) for n, v in steps.items()}))
+    lows = running(sums, keys, order, bucket, tops={"_m_" + n: -F.col("_a_" + n) for n in steps})
+    return lows.select(*kept, *[(F.col("_a_" + n) + F.greatest(F.lit(0), F.col("_m_" + n))).alias(n) for n in steps])
+
+
 def previous(df: DataFrame, keys: list[str], order: list, bucket: Column, columns: dict[str, Column]) -> DataFrame:
     """Add the value each expression had on the previous row of the key.
 

@@ -7,10 +7,14 @@ shuffle, combined on the map side, instead of a chain of outer joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vitrine.operators.piles import attrs_of
+from vitrine.streaming.commits import Commits
 
 # mine wins ties: a higher number is preferred
 MINE, THEIRS, BASE = 2, 1, 0
@@ -157,17 +161,41 @@ def rows_to_push(state: dict, remote: dict) -> dict:
     return out
 
 
-def publish(state: dict, data_path: str, base_path: str) -> None:
-    """Write the merged state, and only then adopt it as the new base.
+def publish(state: dict, root: str, number: str, push=None) -> None:
+    """Store the merged state as one version, push it, and only then adopt it as the new base.
 
-    A base that is published before the push would make the next merge subtract
-    changes nobody has seen. A failure in the first loop leaves the old base.
+    All tables of a version become visible by one commit, and the base is a
+    second one that names the same version, so nothing is written twice. A base
+    adopted before the push (``push(tables)``) would make the next merge subtract
+    changes nobody has seen. A failure anywhere leaves the state and the base as
+    they were; the same ``number`` may be tried again, and numbers sort as text.
+    Versions that neither names are removed.
     """
-    for name, df in state.items():
-        df.write.mode("overwrite").parquet(f"{data_path}/{name}")
     spark = state["piles"].sparkSession
-    for name in state:
-        spark.read.parquet(f"{data_path}/{name}").write.mode("overwrite").parquet(f"{base_path}/{name}")
+    live, base = Commits(spark, f"{root}/live"), Commits(spark, f"{root}/base")
+    if live.read(number) is None:
+        for name, df in state.items():
+            df.write.mode("overwrite").parquet(f"{root}/versions/{number}/{name}")
+        live.write(number, {"tables": {name: df.schema.json() for name, df in state.items()}})
+    tables = published(spark, root)
+    if push is not None:
+        push(tables)
+    if base.read(number) is None:
+        base.write(number, {"tables": live.read(number)["tables"]})
+    for folder in live.folders(f"{root}/versions"):
+        if folder not in (live.numbers()[-1], base.numbers()[-1]):
+            live.remove(f"{root}/versions/{folder}")
+
+
+def published(spark: SparkSession, root: str, which: str = "live") -> dict:
+    """The tables of the newest version, or of the one agreed upon (``which="base"``); none before the first."""
+    commits = Commits(spark, f"{root}/{which}")
+    numbers = commits.numbers()
+    if not numbers:
+        return {}
+    version = commits.read(numbers[-1])
+    kinds = {name: StructType.fromJson(json.loads(text)) for name, text in version["tables"].items()}
+    return {name: spark.read.schema(kind).parquet(f"{root}/versions/{version['number']}/{name}") for name, kind in kinds.items()}
 
 
 def conservation(before: DataFrame, after: DataFrame, by: list[str] | None = None) -> DataFrame:
