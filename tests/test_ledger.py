@@ -13,9 +13,11 @@ from vitrine.streaming import ledger as G
 LOG = ("collection_id string, seq bigint, at bigint, op string, card_id bigint, name string, variant string, condition string, "
        "quantity bigint, unit_price double, new_card_id bigint, new_name string, new_variant string, new_condition string, new_grader string, new_score double")
 
+MOVES = LOG + ", to_collection string"
+
 
 class Row:
-    grader = score = needs_printing = None
+    grader = score = needs_printing = to_collection = None
 
     def __init__(self, values):
         self.__dict__.update(values)
@@ -38,12 +40,11 @@ def random_log(seed, n=1500, crossing=True):
 
 
 def loop(rows):
-    names = [x.split()[0] for x in LOG.split(", ")]
-    states = {}
+    names = [x.split()[0] for x in MOVES.split(", ")]
+    state = G.Ledger()
     for r in rows:
-        row = Row(dict(zip(names, r)))
-        states.setdefault(row.collection_id, G.Ledger()).step(row)
-    return sorted(x for c, s in states.items() for x in s.rows(c))
+        state.step(Row(dict(zip(names, r))))
+    return sorted(state.rows())
 
 
 def piles_of(df):
@@ -171,3 +172,58 @@ def test_a_batch_writes_what_it_changes(spark, tmp_path):
     stored = spark.read.parquet(f"{state}/parts/001").collect()
     assert [(r.card_id, r.quantity, r.gone) for r in stored] == [(7, 3, False)]
     assert G.read_ledger(spark, state).count() == 50
+
+
+def moving_log(seed, n):
+    """Ten names; moves, redirects and repoints stay among names 0-3 or among 4-6, the rest never meets another shelf."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        op = str(rng.choice(["add", "set", "undo", "reclassify", "repoint", "move", "redirect"], p=[0.5, 0.06, 0.1, 0.08, 0.06, 0.12, 0.08]))
+        card = int(rng.integers(0, 7 if op in ("repoint", "move", "redirect") else 10))
+        to = int(rng.integers(0, 4) if card < 4 else rng.integers(4, 7))
+        where = f"c{rng.integers(0, 3)}"
+        rows.append((
+            where, i, 1000 + i, op, card, f"Name {card}", str(rng.choice(["N", "H"])), "NM", int(rng.integers(0, 4)) if op in ("set", "move") else 1 + int(rng.integers(0, 3)),
+            None if rng.random() < 0.3 else float(rng.integers(1, 90)), None if op == "redirect" and rng.random() < 0.1 else to, f"Name {to}",
+            "N" if op == "repoint" or rng.random() < 0.7 else None, None, None, None, None if rng.random() < 0.1 else f"c{rng.integers(0, 3)}"))
+    return rows
+
+
+def test_moves_and_redirects_equal_a_loop(spark):
+    rows = moving_log(21, 1500)
+    log = spark.createDataFrame(rows, MOVES)
+    assert piles_of(G.replay_log(log, F.floor(F.col("seq") / 100))) == loop(rows)
+    units = G._units(G.complete_log(log)).select("_unit", "collection_id", "name").distinct().toPandas()
+    names = units.groupby("_unit")["name"].agg(set)
+    assert len(names) >= 9 + 2 and all(len(n) == 1 or n <= {f"Name {i}" for i in range(4)} or n <= {f"Name {i}" for i in range(4, 7)} for n in names)
+    assert units[units["name"].isin({"Name 7", "Name 8", "Name 9"})].groupby("_unit").size().max() == 1
+
+
+def test_moves_between_stored_piles_equal_a_loop(spark, tmp_path):
+    rows = moving_log(22, 160)
+    for i in range(4):
+        G.apply_batch(G.complete_log(spark.createDataFrame(rows[40 * i:40 * i + 40], MOVES)), str(tmp_path), f"{i:03d}", F.floor(F.col("seq") / 100))
+    assert piles_of(G.read_ledger(spark, str(tmp_path))) == loop(rows)
+
+
+def test_a_move_and_a_redirect_by_hand(spark):
+    line = lambda seq, op, n, card=1, where="a", **more: Row({
+        "collection_id": where, "seq": seq, "at": seq, "op": op, "card_id": card, "name": f"Name {card}", "variant": "N", "condition": "NM", "quantity": n,
+        "unit_price": None, "new_card_id": None, "new_name": None, "new_variant": None, "new_condition": None, "new_grader": None, "new_score": None} | more)
+    lines = [line(1, "add", 5, unit_price=2.0), line(2, "add", 1, where="b", unit_price=7.0), line(3, "move", 3, to_collection="b"), line(4, "move", 9, to_collection="a"),
+             line(5, "redirect", None, new_card_id=8, new_name="Name 8", new_variant="H", unit_price=4.0), line(6, "redirect", None, new_card_id=None),
+             line(7, "redirect", None, card=3, new_card_id=9, new_name="Name 9"), line(8, "move", 9, to_collection="c")]
+    names = [x.split()[0] for x in MOVES.split(", ")]
+    log = spark.createDataFrame([tuple(getattr(x, n) for n in names) for x in lines], MOVES)
+    got = {(r.collection_id, r.key): (r.quantity, r.unit_price, r.updated_at) for r in G.replay_log(log, F.lit(0)).collect()}
+    assert got == {("b", "1|N|NM"): (4, 7.0, 3), ("a", "8|H|NM"): (1, 4.0, 5), ("a", "9|Normal|NM"): (1, None, 7), ("c", "1|N|NM"): (1, 2.0, 8)}
+
+
+def test_components_of_chains_stars_and_nothing(spark):
+    from vitrine.operators.components import components
+
+    edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("z", f"x{i}") for i in range(50)] + [("q", "q"), ("q", None), ("z", "x1")]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert {got[f"n{i:03d}"] for i in range(61)} == {"n000"} and {got["z"], *(got[f"x{i}"] for i in range(50))} == {"x0"} and got["q"] == "q"
+    assert components(spark.createDataFrame([], "a string, b string")).count() == 0
