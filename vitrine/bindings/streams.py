@@ -217,7 +217,7 @@ def _(spark, d):
 
 
 def moving_log(spark, d):
-    """The ledger's log with its largest lines as moves to the next collection and redirects to another card."""
+    """The ledger's log with its largest lines as moves to the next collection and redirects to the next card of eight."""
     log = ledger_log(spark, d)
     shelves = log.select("collection_id").distinct().agg(F.array_sort(F.collect_set("collection_id")).alias("all"), F.lit(1).alias("one"))  # a handful of segments
     log = log.withColumn("one", F.lit(1)).join(F.broadcast(shelves), "one").drop("one")
@@ -225,7 +225,7 @@ def moving_log(spark, d):
     log = log.withColumn("to_collection", F.element_at("all", F.pmod(at, F.size("all")) + 1)).drop("all")
     op = F.when((c("op").isin("reclassify", "add")) & (c("quantity") > 47), "move").when((c("op") == "set") & (c("quantity") > 46), "redirect").otherwise(c("op"))
     right = T.cards(spark, d).select(c("card_id").alias("new_card_id"), c("name").alias("new_name"))
-    log = log.withColumn("op", op).withColumn("new_card_id", F.when(c("op") == "redirect", F.floor(c("card_id") / 3) + 1))
+    log = log.withColumn("op", op).withColumn("new_card_id", F.when(c("op") == "redirect", c("card_id") - c("card_id") % 8 + (c("card_id") + 1) % 8))
     return log.join(right, "new_card_id", "left")
 
 
