@@ -14,6 +14,7 @@ from vitrine.functions import bits as B
 from vitrine.operators import book as P
 from vitrine.operators import hamming as H
 from vitrine.operators import rank as R
+from vitrine.operators import wordindex as X
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -50,6 +51,13 @@ def _(spark, d):
     return H.hamming_topk(q, r, 4, T.FP_WORDS, self_out=True, blocks=37)
 
 
+@query("j9_word_index", "WITH " + T.FP_PAIRS + f" SELECT query_id, ref_id, distance, rank FROM ranked WHERE rank <= 4 AND distance <= {GATE}")
+def _(spark, d):
+    """Through the index of the words; who is not proved there goes to the blocks."""
+    q, r = sides(spark, d)
+    return X.words_topk(q, r, 4, T.FP_WORDS, T.FP_BITS, self_out=True, max_distance=GATE)
+
+
 BEST2 = """best2 AS (SELECT a.query_id, a.ref_id AS best_id, a.distance AS best_distance, b.ref_id AS runner_id, b.distance AS runner_distance,
   a.distance / 127.0::DOUBLE AS normalised, b.distance - a.distance AS margin
   FROM (SELECT * FROM ranked WHERE rank = 1) a LEFT JOIN (SELECT * FROM ranked WHERE rank = 2) b USING (query_id))"""
