@@ -64,6 +64,19 @@ def _(spark, d):
     return CF.confirm_hits_batch(CF.mark_emitted(log, manual), BY_FRAME(), confirm=2, cooldown=400)
 
 
+@query("g11_mark_emitted_live")
+def _(spark, d):
+    """Reads and confirmations as two streams of other pace; a last beat of both lets the watermark pass every line."""
+    log = scan_log(spark, d).withColumn("ts", F.timestamp_seconds("frame_no"))
+    manual = log.filter(c("best_distance") > 200).select("device", "frame_no", "ts", c("best_id").alias("confirmed_id"))
+    beat = log.agg((F.max("frame_no") + 20_000).alias("frame_no")).filter("frame_no is not null").select(
+        F.lit(-1).cast("bigint").alias("device"), "frame_no", F.timestamp_seconds("frame_no").alias("ts"))
+    paced = lambda df, name, batches: SE.replay_in_order(
+        df.unionByName(beat, allowMissingColumns=True), shared_path(spark, name), "device", "frame_no", batches)
+    both = CF.mark_emitted_live(paced(log, "reads", 4), paced(manual, "manual", 2), "1 hour", "2 hours")
+    return SE.run_to_end(CF.confirm_in_order(both, confirm=2, cooldown=400), shared_path(spark, "hits"))
+
+
 @query("g2_reuse_unchanged")
 def _(spark, d):
     log = scan_log(spark, d).withColumn("area", c("best_distance") + 20).withColumn(
