@@ -91,6 +91,38 @@ def test_histogram_counts_every_pair(spark):
         assert got == want
 
 
+def test_histogram_of_copies_and_missing_values(spark):
+    rows = [(0, [5, 0], 1), (1, [5, 0], 1), (2, [5, 0], 1), (3, [5, 0], 2), (4, [4, 0], None), (5, [4, 0], None), (6, None, 1)]
+    df = spark.createDataFrame(rows, "row_id bigint, desc array<bigint>, label int")
+    got = {(r.same, r.distance): r.pairs for r in H.distance_histogram(df, 2).collect()}
+    assert got == {(True, 0): 3, (False, 0): 4, (False, 1): 8}
+
+
+def test_weighted_rerank_against_a_plain_loop(spark):
+    """Shortlists of different lengths, an empty and a missing one, and one whose members all agree."""
+    rng = np.random.default_rng(3)
+    unpack = lambda ws: np.array([int(b) for w in ws for b in format(w & (2**64 - 1), "064b")])[:100]
+    rows, want = [], []
+    for i in range(60):
+        n, desc = i % 5, prints(rng, 1, 2)[0]
+        cand = prints(rng, n, 2) if i % 7 else prints(rng, 1, 2) * n
+        near = [(j, 100 * i + j, *w) for j, w in enumerate(cand)] if i != 20 else None
+        rows.append((i, desc, near))
+        bits = np.array([unpack(w) for w in cand], dtype=np.float64)
+        weight = bits.std(axis=0) if n else np.zeros(100)
+        weight = weight / weight.max() if weight.max() >= 1e-6 else weight * 0
+        weight = np.where(weight > np.percentile(weight, 92), weight, 0)
+        for j, _ in enumerate(cand if near else ()):
+            missed = (weight * (bits[j] != unpack(desc))).sum()
+            want.append((i, 100 * i + j, j, missed / weight.sum() if weight.sum() else 0.0))
+    df = spark.createDataFrame(rows, (
+        "query_id bigint, desc array<bigint>, "
+        "nearest array<struct<distance: bigint, ref_id: bigint, ref_desc_0: bigint, ref_desc_1: bigint>>"))
+    got = sorted((r.query_id, r.ref_id, r.distance, r.score) for r in H.weighted_rerank(df, 2, 100).collect())
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert np.allclose([x[3] for x in got], [x[3] for x in want])
+
+
 def test_majority_ties_fall_to_zero(spark):
     df = spark.createDataFrame([(1, [0b11]), (1, [0b01]), (2, [-1])], "g int, desc array<bigint>")
     got = {r.g: r.desc for r in H.bit_majority(df, ["g"], 64).collect()}

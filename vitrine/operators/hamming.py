@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vitrine.functions import bits as B
 from vitrine.operators.blocks import BLOCK_ROWS, block_count, map_blocks, merge_nearest
+from vitrine.session import settle
 
 _CELLS = 4_000_000  # distances held at once in a task
 
@@ -274,36 +276,50 @@ def distance_histogram(
     """How many unordered pairs lie at each distance, by same or different label.
 
     The exact distribution of every pair's distance, from counts added up in
-    the tasks: ``same, distance, pairs``.
+    the tasks: ``same, distance, pairs``. Rows of one label with equal
+    fingerprints are one weighted row, so copies cost nothing. Two rows without
+    a label are not of the same; rows without a fingerprint make no pair.
     """
     bits = n_words * 64
 
     def prepare(refs: pa.Table):
         rw = word_matrix(refs.column("desc"), n_words) if refs.num_rows else np.zeros((0, n_words), dtype=np.uint64)
-        ri, rl = refs.column("rid").to_numpy(), refs.column("label").to_numpy()
+        ri, rl, rn = (refs.column(x).to_numpy() for x in ("rid", "label", "copies"))
         step = max(1, _CELLS // max(1, len(rw)))
 
+        def count(d: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            if weight.max(initial=0) * float(weight.size) < 2**53:
+                return np.bincount(d, weights=weight, minlength=bits + 1).astype(np.int64)
+            out = np.zeros(bits + 1, dtype=np.int64)  # too many for exact floating-point sums
+            np.add.at(out, d, weight)
+            return out
+
         def kernel(queries: pa.Table) -> pa.Table:
             counts = np.zeros((2, bits + 1), dtype=np.int64)
             qw = word_matrix(queries.column("desc"), n_words)
-            qi, ql = queries.column("qid").to_numpy(), queries.column("label").to_numpy()
+            qi, ql, qn = (queries.column(x).to_numpy() for x in ("qid", "label", "copies"))
             for at in range(0, len(qw), step):
                 block = slice(at, at + step)
                 d = distances(qw[block], rw)
                 once = qi[block, None] < ri[None, :]
                 same = ql[block, None] == rl[None, :]
-                counts[0] += np.bincount(d[once & ~same], minlength=bits + 1)
-                counts[1] += np.bincount(d[once & same], minlength=bits + 1)
+                weight = qn[block, None] * rn[None, :]
+                counts[0] += count(d[once & ~same], weight[once & ~same])
+                counts[1] += count(d[once & same], weight[once & same])
             same_at, dist = np.nonzero(counts)
             return pa.table({
                 "same": pa.array(same_at == 1, pa.bool_()), "distance": pa.array(dist, pa.int64()), "pairs": pa.array(counts[same_at, dist], pa.int64())})
 
         return kernel
 
-    rows = df.select(F.col(row_id).alias("qid"), "desc", F.col(label).alias("label"))
+    kinds = df.select(F.col(row_id).alias("_row"), "desc", F.col(label).alias("label")).filter("desc is not null")
+    kinds = settle(kinds.groupBy("desc", "label").agg(F.min("_row").alias("qid"), F.count("*").alias("copies")))
     out = map_blocks(
-        rows, rows.withColumnRenamed("qid", "rid"), prepare, "same boolean, distance bigint, pairs bigint", "qid", "rid", **options)
-    return out.groupBy("same", "distance").agg(F.sum("pairs").alias("pairs"))
+        kinds, kinds.withColumnRenamed("qid", "rid"), prepare, "same boolean, distance bigint, pairs bigint", "qid", "rid", **options)
+    n = F.col("copies")
+    equal = kinds.filter(n > 1).select(
+        F.col("label").isNotNull().alias("same"), F.lit(0).cast("bigint").alias("distance"), F.expr("copies * (copies - 1) div 2").alias("pairs"))
+    return out.unionByName(equal).groupBy("same", "distance").agg(F.sum("pairs").alias("pairs"))
 
 
 def histogram_profile(hist: DataFrame, by: list[str], value: str = "distance", weight: str = "pairs") -> DataFrame:
@@ -359,30 +375,33 @@ def weighted_rerank(
         raw = words.astype(">u8").view(np.uint8)
         return np.unpackbits(raw.reshape(len(words), -1), axis=1)[:, :n_bits]
 
+    def score(bits: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Queries x candidates, of queries with equally many candidates."""
+        weight = bits.astype(np.float64).std(axis=1)
+        top = weight.max(axis=1, keepdims=True)
+        weight = np.divide(weight, top, out=np.zeros_like(weight), where=top >= 1e-6)
+        weight = np.where(weight > np.percentile(weight, 100 * (1 - top_share), axis=1)[:, None], weight, 0.0)
+        total = weight.sum(axis=1)[:, None]
+        missed = (weight[:, None, :] * (bits != query[:, None, :])).sum(axis=2)
+        return np.divide(missed, total, out=np.zeros_like(missed), where=total > 0)
+
     def over(batches):
         for batch in batches:
-            ids, refs_out, scores, before = [], [], [], []
+            lists = batch.column("nearest")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts, cand = np.cumsum(sizes) - sizes, lists.flatten()
             q_words = word_matrix(batch.column("desc"), n_words)
-            for i, (qid, cand) in enumerate(zip(batch.column(query_id).to_pylist(), batch.column("nearest").to_pylist())):
-                if not cand:
-                    continue
-                words = np.array([[c[n] for n in names] for c in cand], dtype=np.int64).view(np.uint64)
-                bits = unpack(words)
-                weight = bits.astype(np.float64).std(axis=0)
-                if weight.max() >= 1e-6:
-                    weight = weight / weight.max()
-                    weight = np.where(weight > np.percentile(weight, 100 * (1 - top_share)), weight, 0.0)
-                else:
-                    weight = np.zeros(n_bits)
-                query = unpack(q_words[i : i + 1])[0]
-                total = weight.sum()
-                for c, b in zip(cand, bits):
-                    ids.append(qid)
-                    refs_out.append(c[ref_id])
-                    before.append(c["distance"])
-                    scores.append(float((weight * (b != query)).sum() / total) if total > 0 else 0.0)
+            words = np.stack([cand.field(n).to_numpy(zero_copy_only=False) for n in names], axis=1).astype(np.int64).view(np.uint64)
+            scores = np.zeros(len(cand))
+            for n in np.unique(sizes[sizes > 0]):
+                of_n = np.flatnonzero(sizes == n)
+                step = max(1, _CELLS // int(n * n_bits))
+                for some in (of_n[at : at + step] for at in range(0, len(of_n), step)):
+                    place = starts[some][:, None] + np.arange(n)
+                    scores[place] = score(unpack(words[place.ravel()]).reshape(len(some), n, n_bits), unpack(q_words[some]))
+            ids = batch.column(query_id).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(refs_out, pa.int64()), pa.array(before, pa.int64()), pa.array(scores, pa.float64())],
+                [ids.cast(pa.int64()), cand.field(ref_id).cast(pa.int64()), cand.field("distance").cast(pa.int64()), pa.array(scores)],
                 names=[query_id, ref_id, "distance", "score"])
 
     return near.select(query_id, "desc", "nearest").mapInArrow(
